@@ -1,6 +1,8 @@
 """All queries outside the training-data package."""
 
-_MODULES = ()
+from tissuegrid.plans import faults
+
+_MODULES = (faults,)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
 FLAGSHIP = "diffuse_1step"
