@@ -2,13 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tissuegrid.common import clean_label, table
 from tissuegrid.llm import spectral
+from tissuegrid.llm.neighbours import nearest
 
 RADIUS = 3.0
+NEIGHBOURS, REACH, ASKED = 5, 0.03, 100
+COMPONENTS = ["hist_pc1", "hist_pc2", "hist_pc3", "expr_pc1", "expr_pc2", "expr_pc3"]
+
+
+def _space(spark: SparkSession, folder: str) -> tuple[DataFrame, list[Column]]:
+    cells = table(spark, folder, "cell_features").select("cell_id", *COMPONENTS, "mean_gray").filter("mean_gray >= 0")
+    return cells, [*map(F.col, COMPONENTS), F.col("mean_gray") / 32]
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of cells within 0.03 of which one is among the 5 nearest of the other."""
+    cells, space = _space(spark, folder)
+    near = nearest(cells, "cell_id", space, NEIGHBOURS, limit=REACH)
+    return near.select(F.least("query", "neighbour").alias("cell_a"), F.greatest("query", "neighbour").alias("cell_b")).distinct()
+
+
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest of all cells to each cell whose id is divisible by 100."""
+    cells, space = _space(spark, folder)
+    near = nearest(cells, "cell_id", space, 10, queries=F.col("cell_id") % ASKED == 0)
+    return near.select("query", "neighbour", F.round("distance", 6).alias("distance"), "rank")
 
 
 def _groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,9 +52,19 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("sample_id", "clusters", "group_id", "size", F.col("mean_x").alias("mean_gray"), (F.col("mean_y") / 16).alias("entropy_img"), "typical", "affinity")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_groups)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_neighbours, p6_found, p6_groups)}
+
+_SPACE = f"""cells AS (SELECT DISTINCT cell_id, {", ".join(f"{c} AS d{i}" for i, c in enumerate(COMPONENTS))}, mean_gray / 32 AS d6 FROM cell_features
+  WHERE {" AND ".join(f"{c} BETWEEN -1e300 AND 1e300" for c in COMPONENTS)} AND mean_gray BETWEEN 0 AND 1e300)"""
+_D2 = " + ".join(f"(a.d{i} - b.d{i}) ** 2" for i in range(7))
+_NEAR = """{0}, near AS (SELECT a.cell_id AS query, b.cell_id AS neighbour, sqrt({1}) AS distance FROM cells a JOIN cells b ON a.cell_id <> b.cell_id {2}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS rank FROM near)"""
 
 SQL = {
+    "p5_found": f"""WITH {_NEAR.format(_SPACE, _D2, f"AND b.d0 BETWEEN a.d0 - {REACH} AND a.d0 + {REACH}")}
+SELECT DISTINCT least(query, neighbour) AS cell_a, greatest(query, neighbour) AS cell_b FROM ranked WHERE rank <= {NEIGHBOURS} AND distance <= {REACH}""",
+    "p5_neighbours": f"""WITH {_NEAR.format(_SPACE, _D2, f"WHERE a.cell_id % {ASKED} = 0")}
+SELECT query, neighbour, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10""",
     "p6_found": f"""WITH cells AS (SELECT DISTINCT cell_id, sample_id, nullif(trim(clusters), '') AS clusters, mean_gray AS x, 16 * entropy_img AS y FROM cell_features
   WHERE NOT isnan(mean_gray) AND NOT isnan(entropy_img) AND mean_gray >= 0 AND entropy_img >= 0 AND sample_id IS NOT NULL),
 near AS (SELECT a.cell_id, min(b.cell_id) AS group_id FROM cells a JOIN cells b USING (sample_id, clusters)
