@@ -1,235 +1,65 @@
-"""The k most similar vectors of every vector: small-world graphs per shard of the space, their results merged.
+"""The k most similar vectors of every vector: a small-world graph per shard of the space, the shards' results merged.
 
-Shards are the cells of a k-d tree, whose cut planes are fitted on a bounded sample; every vector is indexed in one of them. Equal vectors are one
-node, for which the smallest identifiers stand. The graph of a shard is stored as flat neighbour arrays, one row a node. A query first searches
-its own shard; the distance it finds, or a distance given as limit, tells exactly which other shards may hold something nearer.
+The graph of a shard is stored as flat neighbour arrays, one row a node, and searched by all queries that reach the shard.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 
-from tissuegrid.common import stage, usable
 from tissuegrid.llm.hnsw import Graph
+from tissuegrid.operators.nearest import Shards, lists, matrix
+from tissuegrid.operators.nearest import nearest as by_shards
 
 
 @dataclass(frozen=True)
-class Index:
-    """shard: vectors of a shard, about; sample: rows the cut planes are fitted on, at most about; chunk: queries of one shard that one task takes."""
+class SmallWorld:
+    """links: neighbours of a node on the upper layers, twice as many on the lowest; beams: nodes kept while building and searching."""
 
-    shard: int = 8192
-    sample: int = 50_000
     links: int = 10
     build_beam: int = 40
     search_beam: int = 48
-    chunk: int = 50_000
 
+    schema = "shard int, place int, node long, block long, v array<double>, near array<int>, upper array<int>"
 
-class Tree:
-    """Cut planes in flat arrays. Leaf numbers are stored as negative children."""
-
-    def __init__(self, sample: np.ndarray, leaves: int):
-        self.axis, self.cut, self.left, self.right, self.leaves = [], [], [], [], 0
-        self.root = self._grow(sample, leaves)
-
-    def _grow(self, sample: np.ndarray, leaves: int) -> int:
-        spread = np.ptp(sample, axis=0) if len(sample) > 1 else np.zeros(1)
-        if leaves < 2 or not spread.max() > 0:
-            self.leaves += 1
-            return -self.leaves
-        axis = int(np.argmax(np.var(sample, axis=0)))
-        less = leaves // 2
-        cut = float(np.quantile(sample[:, axis], less / leaves, method="lower"))
-        low = sample[:, axis] <= cut
-        if low.all():
-            cut = float(np.nextafter(cut, -np.inf))
-            low = sample[:, axis] <= cut
-        if not low.any():
-            self.leaves += 1
-            return -self.leaves
-        at = len(self.axis)
-        self.axis.append(axis), self.cut.append(cut), self.left.append(0), self.right.append(0)
-        self.left[at] = self._grow(sample[low], less)
-        self.right[at] = self._grow(sample[~low], leaves - less)
-        return at
-
-    def visits(self, vectors: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) for every leaf whose cell comes within the radius of the row's vector; radius 0 gives its own leaf."""
-        rows, leaves = [], []
-        todo = [(self.root, np.arange(len(vectors)), np.zeros_like(vectors))]
-        while todo:
-            node, some, off = todo.pop()
-            if not len(some):
-                continue
-            if node < 0:
-                rows.append(some)
-                leaves.append(np.full(len(some), -node - 1))
-                continue
-            axis, cut = self.axis[node], self.cut[node]
-            x = vectors[some, axis]
-            for child, gap in ((self.left[node], np.maximum(x - cut, 0)), (self.right[node], np.where(x <= cut, np.maximum(cut - x, 5e-324), 0))):
-                o = off.copy()
-                o[:, axis] = np.maximum(o[:, axis], gap)
-                d = np.sqrt(np.einsum("nd,nd->n", o, o))
-                go = (o.max(axis=1) == 0) | ((d <= radius[some]) & (radius[some] > 0))
-                todo.append((child, some[go], o[go]))
-        return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(leaves or [np.zeros(0, int)])
-
-
-def _matrix(column, width: int) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-
-
-def _lists(rows: np.ndarray, kind) -> pa.ListArray:
-    rows = np.ascontiguousarray(rows)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.reshape(-1), kind))
-
-
-def _graph_rows(p: Index, width: int):
-    """Build the graph of a shard: one row a node with its place, vector and neighbour arrays."""
-
-    def run(table: pa.Table) -> pa.Table:
-        node = table["node"].to_numpy()
-        vectors = _matrix(table["v"], width)
+    def rows(self, table: pa.Table, width: int) -> pa.Table:
+        """Build the graph of a shard: one row a node with its place, vector and neighbour arrays."""
+        node, block, vectors = table["node"].to_numpy(), table["block"].to_numpy(), matrix(table["v"], width)
         by = np.argsort(node * np.int64(-7046029254386353131), kind="stable")  # an order that has nothing to do with the vectors
-        node, vectors = node[by], vectors[by]
-        graph = Graph.build(vectors, p.links, p.build_beam)
-        upper = [np.concatenate([layer[i] for layer in graph.layers[1:] if i < len(layer)] or [np.zeros(0, np.int32)]) for i in range(len(graph.layers[1]) if len(graph.layers) > 1 else 0)]
-        upper += [np.zeros(0, np.int32)] * (len(node) - len(upper))
-        return pa.table(
-            {
-                "shard": pa.array(np.full(len(node), table["shard"][0].as_py()), pa.int32()),
-                "place": pa.array(np.arange(len(node)), pa.int32()),
-                "node": pa.array(node),
-                "v": _lists(vectors, pa.float64()),
-                "near": _lists(graph.layers[0], pa.int32()),
-                "upper": pa.array([u.tolist() for u in upper], pa.list_(pa.int32())),
-            }
-        )
-
-    return run
-
-
-def _restored(table: pa.Table, p: Index, width: int) -> tuple[np.ndarray, Graph]:
-    table = table.sort_by("place")
-    layers = [_matrix(table["near"], 2 * p.links)]
-    counts = np.array([len(u) // p.links for u in table["upper"].to_pylist()])
-    flat = [np.array(u, np.int32).reshape(-1, p.links) for u in table["upper"].slice(0, int((counts > 0).sum())).to_pylist()]
-    for level in range(int(counts.max()) if len(counts) else 0):
-        layers.append(np.array([u[level] for u in flat if len(u) > level], np.int32))
-    return table["node"].to_numpy(), Graph(_matrix(table["v"], width), layers)
-
-
-_HIT = "query long, node long, d2 double"
-
-
-def _search_rows(p: Index, width: int, k: int, limit: float):
-    """Search the graph of a shard for its queries; a query's own node is not reported."""
-
-    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
-        if not index.num_rows or not queries.num_rows:
-            return pa.table({"query": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "d2": pa.array([], pa.float64())})
-        node, graph = _restored(index, p, width)
-        asked = queries["query"].to_numpy()
-        vectors = _matrix(queries["v"], width)
+        node, block, vectors = node[by], block[by], vectors[by]
+        graph = Graph.build(vectors, self.links, self.build_beam)
+        higher = [np.concatenate([layer[i] for layer in graph.layers[1:] if i < len(layer)]) for i in range(len(graph.layers[1]) if len(graph.layers) > 1 else 0)]
+        upper = [u.tolist() for u in higher] + [[]] * (len(node) - len(higher))
+        columns = [pa.array(np.full(len(node), table["shard"][0].as_py()), pa.int32()), pa.array(np.arange(len(node)), pa.int32()), pa.array(node), pa.array(block)]
+        columns += [lists(vectors, pa.float64()), lists(graph.layers[0], pa.int32()), pa.array(upper, pa.list_(pa.int32()))]
+        return pa.Table.from_arrays(columns, ["shard", "place", "node", "block", "v", "near", "upper"])
+
+    def _graph(self, index: pa.Table, width: int) -> Graph:
+        layers = [matrix(index["near"], 2 * self.links)]
+        flat = [np.array(u, np.int32).reshape(-1, self.links) for u in index["upper"].to_pylist() if u]
+        for level in range(max(map(len, flat), default=0)):
+            layers.append(np.array([u[level] for u in flat if len(u) > level], np.int32))
+        return Graph(matrix(index["v"], width), layers)
+
+    def search(self, index: pa.Table, asked: np.ndarray, block: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        index = index.sort_by("place")
+        graph, node, of = self._graph(index, vectors.shape[1]), index["node"].to_numpy(), index["block"].to_numpy()
         by = np.argsort(node)
         at = by[np.minimum(np.searchsorted(node, asked, sorter=by), len(node) - 1)]
-        home = np.where(node[at] == asked, at, -1)
-        ids, d2 = graph.search(vectors, k + 1, p.search_beam, home)
-        row, col = np.nonzero((ids >= 0) & np.isfinite(d2))
+        ids, d2 = graph.search(vectors, k + 1, self.search_beam, np.where(node[at] == asked, at, -1))
+        row, col = np.nonzero(ids >= 0)
         found, d2 = ids[row, col], d2[row, col]
-        ok = (node[found] != asked[row]) & (np.sqrt(d2) <= limit)
-        return pa.table({"query": pa.array(asked[row][ok]), "node": pa.array(node[found][ok]), "d2": pa.array(d2[ok])})
-
-    return run
-
+        ok = (node[found] != asked[row]) & (of[found] == block[row])
+        return row[ok], node[found[ok]], d2[ok]
 
-def _visited(frame: DataFrame, tree: Tree, width: int, limit: float | None, fresh: bool):
-    """(shard, query, v): the shards a query has to look into; fresh: its own only. Beyond the first search, `r` is the distance found and its own shard is left out."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = _matrix(batch.column("v"), width)
-            if len(v):
-                radius = np.full(len(v), limit or 0.0) if fresh else batch.column("r").to_numpy(zero_copy_only=False)
-                row, leaf = tree.visits(v, radius)
-                if not fresh:
-                    own_row, own = tree.visits(v, np.zeros(len(v)))
-                    home = np.empty(len(v), int)
-                    home[own_row] = own
-                    row, leaf = row[leaf != home[row]], leaf[leaf != home[row]]
-                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), batch.column("query").take(pa.array(row)), _lists(v[row], pa.float64()) if len(row) else pa.array([], pa.list_(pa.float64()))], ["shard", "query", "v"])
+def nearest(df: DataFrame, id: str, dimensions: list[Column | str], k: int, queries: Column | None = None, limit: float | None = None, shard: int = 8192, graph: SmallWorld = SmallWorld()) -> DataFrame:
+    """(query, neighbour, distance, rank): the `k` rows nearest to each query row, as `tissuegrid.operators.nearest.nearest` defines it.
 
-    return frame.mapInArrow(run, "shard int, query long, v array<double>")
-
-
-def _search(index: DataFrame, queries: DataFrame, p: Index, width: int, k: int, limit: float) -> DataFrame:
-    """Queries of a shard are cut into chunks, so that no task gets more than about p.chunk of them; the shard's graph goes to each chunk."""
-    queries = stage(queries)
-    chunks = queries.groupBy("shard").agg(F.ceil(F.count("*") / p.chunk).cast("int").alias("chunks"))
-    asked = queries.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("query"), "chunks").cast("int")).drop("chunks")
-    held = index.join(chunks, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    found = held.groupBy("shard", "chunk").cogroup(asked.groupBy("shard", "chunk")).applyInArrow(_search_rows(p, width, k, limit), _HIT)
-    return stage(found)
-
-
-def nearest(df: DataFrame, id: str, dimensions: list[Column], k: int, queries: Column | None = None, limit: float | None = None, params: Index = Index()) -> DataFrame:
-    """(query, neighbour, distance, rank): the `k` rows nearest to each query row, equal distances by the smaller id; Euclidean distance.
-
-    id: a long, unique. dimensions: double expressions. Rows with a null id or a null or NaN dimension take no part; a repeated row counts
-    once. queries: a condition on `df` that picks the query rows (all by default); they are searched for among all rows. limit: only neighbours
-    within this distance. Rows equal in all dimensions are neighbours at distance 0. The graph search is approximate; distances are exact.
-    Fewer than k other rows give fewer neighbours; an empty table gives none. Other columns are ignored.
+    The search within a shard is approximate (a share of some thousandths of the neighbours may be missed), distances are exact.
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    spark, p, width = df.sparkSession, params, len(dimensions)
-    names = [f"d{i}" for i in range(width)]
-    rows = df.select(F.col(id).cast("long").alias("id"), *(c.cast("double").alias(x) for c, x in zip(dimensions, names, strict=True)), (F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))).alias("asked"))
-    for x in names:
-        rows = rows.filter(usable(x)).withColumn(x, F.col(x) + F.lit(0.0))  # -0.0 is 0.0
-    rows = rows.filter("id is not null").distinct()
-    # One node for all rows of one vector: its smallest k + 1 ids are all that can be among anyone's k nearest.
-    low = rows.withColumn("o", F.row_number().over(Window.partitionBy(*names).orderBy("id"))).filter(F.col("o") <= k + 1)
-    heads = low.groupBy(*names).agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    heads = stage(heads.select(F.col("ids")[0].alias("node"), F.array(*names).alias("v"), "ids"))
-    members = rows.filter("asked").select("id", F.array(*names).alias("v"))
-    members = stage(members.join(heads.select("v", "node"), "v").select("id", "node"))
-    n = heads.count()
-    schema = "query long, neighbour long, distance double, rank int"
-    if n == 0:
-        return spark.createDataFrame([], schema)
-    step = max(1, n // p.sample)
-    sample = np.array([r["v"] for r in heads.filter(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).select("v").limit(2 * p.sample).collect()], float).reshape(-1, width)
-    tree = Tree(sample, -(-n // p.shard))
-
-    placed = _visited(heads.select(F.col("node").alias("query"), "v"), tree, width, None, True).withColumnRenamed("query", "node")
-    index = stage(placed.groupBy("shard").applyInArrow(_graph_rows(p, width), "shard int, place int, node long, v array<double>, near array<int>, upper array<int>"))
-    asked = heads.select(F.col("node").alias("query"), "v")
-    if queries is not None:
-        asked = asked.join(members.select(F.col("node").alias("query")).distinct(), "query", "left_semi")
-    hits = _search(index, _visited(asked, tree, width, limit, True), p, width, k, float("inf") if limit is None else limit)
-    best = Window.partitionBy("query").orderBy("d2", "node")
-    if limit is None and tree.leaves > 1:
-        found = hits.withColumn("o", F.row_number().over(best)).filter(F.col("o") <= k).groupBy("query").agg(F.max("d2").alias("d2"), F.count("*").alias("n"))
-        radius = F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.sqrt("d2") * (1 + 1e-12))
-        # A query that is alone in its shard has no distance yet and looks everywhere.
-        known = asked.join(found.select("query", radius.alias("r")), "query", "left").withColumn("r", F.coalesce("r", F.lit(float("inf"))))
-        hits = hits.unionByName(_search(index, _visited(known, tree, width, None, False), p, width, k, float("inf")))
-    hits = hits.withColumn("o", F.row_number().over(best)).filter(F.col("o") <= k)
-    # From nodes to rows: the candidates of a node are its own smallest ids and those of its neighbours.
-    near = hits.join(heads.select("node", "ids"), "node").select(F.col("query").alias("node"), "d2", "ids")
-    own = heads.select("node", F.lit(0.0).alias("d2"), "ids")
-    listed = own.unionByName(near).select("node", F.explode(F.transform("ids", lambda i: F.struct(F.col("d2").alias("d2"), i.alias("id")))).alias("c"))
-    listed = listed.withColumn("o", F.row_number().over(Window.partitionBy("node").orderBy("c"))).filter(F.col("o") <= k + 1)
-    listed = listed.groupBy("node").agg(F.sort_array(F.collect_list("c")).alias("cs"))  # k + 1 entries at most
-    others = F.slice(F.filter("cs", lambda c: c["id"] != F.col("query")), 1, k)
-    each = members.withColumnRenamed("id", "query").join(listed, "node").select("query", F.posexplode(others).alias("o", "c"))
-    return each.select("query", F.col("c.id").alias("neighbour"), F.sqrt("c.d2").alias("distance"), (F.col("o") + 1).alias("rank"))
+    return by_shards(df, id, dimensions, k, queries=queries, limit=limit, shards=Shards(size=shard), kernel=graph)
