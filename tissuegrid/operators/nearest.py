@@ -146,7 +146,12 @@ def _visited(frame: DataFrame, tree: Tree, width: int, limit: float, first: bool
     return frame.mapInArrow(run, "shard int, query long, block long, v array<double>")
 
 
-def _search(index: DataFrame, queries: DataFrame, shards: Shards, width: int, k: int, limit: float, kernel) -> DataFrame:
+def _tasks(spark, tree: Tree) -> int:
+    """A shard is little data but much work, so shards are not put together by their bytes."""
+    return max(spark.sparkContext.defaultParallelism, min(tree.leaves, 20_000))
+
+
+def _search(index: DataFrame, queries: DataFrame, shards: Shards, width: int, k: int, limit: float, kernel, tasks: int) -> DataFrame:
     """Queries of a shard are cut into chunks, so that no task gets more than about shards.chunk of them; the shard goes to each chunk."""
     queries = stage(queries)
     chunks = queries.groupBy("shard").agg(F.ceil(F.count("*") / shards.chunk).cast("int").alias("chunks"))
@@ -162,7 +167,8 @@ def _search(index: DataFrame, queries: DataFrame, shards: Shards, width: int, k:
             row, node, d2 = row[ok], node[ok], d2[ok]
         return pa.table({"query": pa.array(query[row], pa.int64()), "node": pa.array(node, pa.int64()), "d2": pa.array(d2, pa.float64())})
 
-    return stage(held.groupBy("shard", "chunk").cogroup(asked.groupBy("shard", "chunk")).applyInArrow(run, HIT))
+    held, asked = (x.repartition(tasks, "shard", "chunk").groupBy("shard", "chunk") for x in (held, asked))
+    return stage(held.cogroup(asked).applyInArrow(run, HIT))
 
 
 def nearest(df: DataFrame, id: str, dimensions: list[Column | str], k: int, block: list[str] = [], queries: Column | None = None, limit: float | None = None, shards: Shards = Shards(), kernel=None) -> DataFrame:  # noqa: B006
@@ -199,18 +205,18 @@ def nearest(df: DataFrame, id: str, dimensions: list[Column | str], k: int, bloc
 
     as_query = heads.select(F.col("node").alias("query"), "block", "v")
     placed = _visited(as_query, tree, width, 0.0, True).withColumnRenamed("query", "node")
-    index = stage(placed.groupBy("shard").applyInArrow(lambda t: kernel.rows(t, width), kernel.schema))
+    index = stage(placed.repartition(_tasks(spark, tree), "shard").groupBy("shard").applyInArrow(lambda t: kernel.rows(t, width), kernel.schema))
     asked = as_query
     if queries is not None:
         asked = asked.join(members.select(F.col("node").alias("query")).distinct(), "query", "left_semi")
     endless = limit is None
-    hits = _search(index, _visited(asked, tree, width, 0.0 if endless else limit, True), shards, width, k, FAR if endless else limit, kernel)
+    hits = _search(index, _visited(asked, tree, width, 0.0 if endless else limit, True), shards, width, k, FAR if endless else limit, kernel, _tasks(spark, tree))
     best = Window.partitionBy("query").orderBy("d2", "node")
     if endless and tree.leaves > 1:
         found = hits.withColumn("o", F.row_number().over(best)).filter(F.col("o") <= k).groupBy("query").agg(F.max("d2").alias("d2"), F.count("*").alias("n"))
         radius = F.when(F.col("n") == k, F.sqrt("d2") * (1 + 1e-12) + 1e-300)  # with fewer than k found, look everywhere
         known = asked.join(found.select("query", radius.alias("r")), "query", "left").withColumn("r", F.coalesce("r", F.lit(FAR)))
-        hits = hits.unionByName(_search(index, _visited(known, tree, width, 0.0, False), shards, width, k, FAR, kernel))
+        hits = hits.unionByName(_search(index, _visited(known, tree, width, 0.0, False), shards, width, k, FAR, kernel, _tasks(spark, tree)))
     hits = hits.withColumn("o", F.row_number().over(best)).filter(F.col("o") <= k)
     # From nodes to rows: the candidates of a node are its own smallest ids and those of its neighbours.
     near = hits.join(heads.select("node", "ids"), "node").select(F.col("query").alias("node"), "d2", "ids")
