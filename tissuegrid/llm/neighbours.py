@@ -20,9 +20,9 @@ from tissuegrid.operators.nearest import nearest as by_shards
 class SmallWorld:
     """links: neighbours of a node on the upper layers, twice as many on the lowest; beams: nodes kept while building and searching."""
 
-    links: int = 10
-    build_beam: int = 40
-    search_beam: int = 48
+    links: int = 8
+    build_beam: int = 32
+    search_beam: int = 32
 
     schema = "shard int, place int, node long, block long, v array<double>, near array<int>, upper array<int>"
 
