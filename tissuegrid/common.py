@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,33 @@ def fresh(df: DataFrame, stem: str) -> str:
         n += 1
         name = f"{stem}_{n}"
     return name
+
+
+def with_groups(df: DataFrame, by: list[str], *aggregates: Column) -> DataFrame:
+    """`df` with aggregates of each group beside its rows: partial sums before the shuffle, then a join, so that a hot group is no single task.
+
+    Without `by` the aggregates are one row. Rows with a null in `by` are dropped.
+    """
+    if not by:
+        return df.crossJoin(F.broadcast(df.agg(*aggregates)))
+    return df.join(df.groupBy(*by).agg(*aggregates), by)
+
+
+def ordinals(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """`df` with the 0-based place of each row within its group in ascending order of `order`, which must name rows uniquely.
+
+    Rows are range-partitioned over all groups, counted by partition, and numbered within partitions: a group of any size is spread over many tasks.
+    """
+    part, before = fresh(df, "_part"), fresh(df, "_before")
+    keys = [*by, *order]
+    placed = stage(df.repartitionByRange(*keys).withColumn(part, F.spark_partition_id()))
+    counts = placed.groupBy(*by, part).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*(by or [F.lit(1)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*by, part, F.coalesce(upto, F.lit(0)).alias(before))
+    within = F.row_number().over(Window.partitionBy(*by, part).orderBy(*order)) - 1
+    return placed.withColumn(name, within.cast("long")).join(offsets, [*by, part]).withColumn(name, F.col(name) + F.col(before)).drop(part, before)
+
+
+def rounded(c: Column | str, places: int = 6) -> Column:
+    """A double rounded for comparison, without a negative zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, places) + F.lit(0.0)
