@@ -109,7 +109,7 @@ def sql(select: str, **more: str) -> str:
 
     def need(text: str) -> None:
         for name in known:
-            if name not in needed and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+            if name not in needed and re.search(rf"(?:\bFROM|\bJOIN|,)\s+{name}\b", text):
                 need_of = known[name]
                 needed[name] = need_of
                 need(need_of)

@@ -1,8 +1,8 @@
 """All queries outside the training-data package."""
 
-from tissuegrid.plans import faults, graphs
+from tissuegrid.plans import cells, faults, graphs
 
-_MODULES = (faults, graphs)
+_MODULES = (faults, cells, graphs)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
 FLAGSHIP = "diffuse_1step"
