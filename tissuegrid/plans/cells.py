@@ -205,7 +205,7 @@ def _ring_cells(cells: DataFrame) -> DataFrame:
 def ring_gradient(spark, folder):
     """Mean components by distance ring from the region's edge."""
     cells = _cells(spark, folder)
-    return _r(labels.group_means(parts.genes(cells), _ring_cells(cells).select("cell", "ring"), ["ring"]), "mean", places=9)
+    return _r(labels.group_means(parts.genes(cells), _ring_cells(cells).select("cell", "ring"), ["ring"]), "mean", places=11)
 
 
 def savgol_smooth(spark, folder):
@@ -419,7 +419,7 @@ FROM features f JOIN spots s ON f.sample_id = s.sample_id""",
     ),
     "polygon_filter": sql("SELECT cell FROM distance WHERE inside AND d > 0", **_RING),
     "ring_distance": sql(f"SELECT cell, round({_SIGNED}, 6) + 0.0 AS distance FROM distance", **_RING),
-    "ring_gradient": sql(f"SELECT ring, gene, {_round('mean', n=9)} FROM ring_means", **_RINGS),
+    "ring_gradient": sql(f"SELECT ring, gene, {_round('mean', n=11)} FROM ring_means", **_RINGS),
     "savgol_smooth": sql(
         f"SELECT gene, ring, round(sum({_W5}[k + 3] * mean), 6) + 0.0 AS smooth FROM wanted JOIN (SELECT gene, ring AS pos, mean FROM ring_means) USING (gene, pos) GROUP BY 1, 2",
         **_RINGS, wanted="SELECT gene, ring, k, greatest(min(ring) OVER (PARTITION BY gene), least(max(ring) OVER (PARTITION BY gene), ring + k)) AS pos FROM ring_means, (SELECT unnest([-2, -1, 0, 1, 2]) AS k)",
