@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tissuegrid.common import stage
+from tissuegrid.common import fresh, stage
 
 
 @dataclass(frozen=True)
@@ -65,13 +65,19 @@ def judge(df: DataFrame, raw: str, fields: list[Field]) -> DataFrame:
     """`df` with `reason` (null for a valid line) and `values`, a struct of the fields as text (null for a line of wrong structure).
 
     The first reason that holds is given: `quoting`, `columns`, then the names of the fields in their order. Repeated lines are judged alike,
-    each for itself; extra columns stay as they are. Columns of `df` must not be called reason or values.
+    each for itself; extra columns stay as they are, but for columns called reason or values, which are replaced (unless one of them is the raw
+    line). An empty table gives an empty result.
     """
-    split = df.withColumn("_parsed", fields_of(F.col(raw)))
-    bad, of = F.col("_parsed.bad"), F.col("_parsed.fields")
+    df = df.drop(*(c for c in df.columns if c.lower() in ("reason", "values") and c != raw))
+    if raw.lower() in ("reason", "values"):
+        line = fresh(df, "raw_line")
+        df, raw = df.withColumnRenamed(raw, line), line
+    parsed = fresh(df, "_parsed")
+    split = df.withColumn(parsed, fields_of(F.col(raw)))
+    bad, of = F.col(f"{parsed}.bad"), F.col(f"{parsed}.fields")
     structure = F.when(bad, F.lit("quoting")).when(F.size(of) != len(fields), F.lit("columns"))
     values = F.struct(*(f.text(of[i]).alias(f.name) for i, f in enumerate(fields)))
-    rows = split.withColumn("reason", structure).withColumn("values", F.when(F.col("reason").isNull(), values)).drop("_parsed")
+    rows = split.withColumn("reason", structure).withColumn("values", F.when(F.col("reason").isNull(), values)).drop(parsed)
     checked = [f for f in fields if f.valid]
     if not checked:
         return rows
@@ -83,9 +89,9 @@ def judge(df: DataFrame, raw: str, fields: list[Field]) -> DataFrame:
     invalid = stage(distinct.filter(wrong))
     reason = F.col("reason")
     for f in checked:
-        flag = f"_{f.name}_wrong"
-        of_field = invalid.filter(F.col("field") == f.name).select(F.col("value").alias(f"_{f.name}_value"), F.lit(True).alias(flag))
-        rows = rows.join(of_field, F.col("values")[f.name] == F.col(f"_{f.name}_value"), "left")
+        flag, key = fresh(rows, f"_{f.name}_wrong"), fresh(rows, f"_{f.name}_value")
+        of_field = invalid.filter(F.col("field") == f.name).select(F.col("value").alias(key), F.lit(True).alias(flag))
+        rows = rows.join(of_field, F.col("values")[f.name] == F.col(key), "left")
         reason = F.coalesce(reason, F.when(F.col(flag), F.lit(f.name)))
     return rows.withColumn("reason", reason).select(*df.columns, "reason", "values")
 
