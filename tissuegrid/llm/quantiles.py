@@ -40,7 +40,10 @@ def sketch(df: DataFrame, by: list[str], value: str, alpha: float = ALPHA) -> Da
     A group has at most 1,420 / ln(gamma) buckets of each sign whatever its size: some 71,000 for alpha 0.01, and a few hundred
     where values span a few powers of ten. Counting combines rows before the shuffle, so hot groups cost no more than others.
     """
-    return bucketed(df, value, alpha).groupBy(*by, "sign", "bucket").agg(F.count("*").alias("n"))
+    if {"sign", "bucket", "n"} & {c.lower() for c in by}:
+        raise ValueError("groups must not be called sign, bucket or n")
+    value_only = df.select(*by, F.col(value).alias("_v"))  # other columns may have any name
+    return bucketed(value_only, "_v", alpha).groupBy(*by, "sign", "bucket").agg(F.count("*").alias("n"))
 
 
 def merge(sketches: list[DataFrame], by: list[str]) -> DataFrame:
@@ -49,7 +52,7 @@ def merge(sketches: list[DataFrame], by: list[str]) -> DataFrame:
 
 
 def _positions(sk: DataFrame, by: list[str]) -> DataFrame:
-    """Adds `total`, `upto` (rows up to and with the bucket) and the bucket's centre `mid`-less order key."""
+    """Adds `total`, the rows of the group, and `upto`, those up to and with the bucket. A group's buckets are bounded in number, so a window over them is too."""
     keys = by or [F.lit(1)]
     order = Window.partitionBy(*keys).orderBy("sign", F.col("sign") * F.col("bucket"))
     return sk.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
