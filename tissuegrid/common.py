@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -10,6 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session; they need it to run its Arrow functions wherever it is not installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_tissuegrid_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "tissuegrid")  # the driver serves the file to the executors
+        context.addPyFile(shutil.make_archive(archive, "zip", root, "tissuegrid"))
+        context._tissuegrid_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` of a folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -49,10 +49,12 @@ class Tree:
         x = sample[:, axis]
         cut = float(np.quantile(x, (leaves // 2) / leaves, method="lower"))
         if cut == x.max():
-            cut = float(np.nextafter(cut, -np.inf))
-        low = x <= cut
-        if not low.any():
+            cut = float(x[x < cut].max(initial=-np.inf))
+        if not np.isfinite(cut):  # all values are equal
             return self._leaf()
+        above = float(x[x > cut].min())
+        cut += (above - cut) / 2  # midway between two values, so that neither lies on the plane
+        low = x <= cut
         share = min(leaves - 1, max(1, round(leaves * low.mean())))
         at = len(self.axis)
         self.axis.append(axis), self.cut.append(cut), self.left.append(0), self.right.append(0)
@@ -154,6 +156,8 @@ def _tasks(spark, tree: Tree) -> int:
 def _search(index: DataFrame, queries: DataFrame, shards: Shards, width: int, k: int, limit: float, kernel, tasks: int) -> DataFrame:
     """Queries of a shard are cut into chunks, so that no task gets more than about shards.chunk of them; the shard goes to each chunk."""
     queries = stage(queries)
+    if queries.isEmpty():
+        return queries.sparkSession.createDataFrame([], HIT)
     chunks = queries.groupBy("shard").agg(F.ceil(F.count("*") / shards.chunk).cast("int").alias("chunks"))
     asked = queries.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("query"), "chunks").cast("int")).drop("chunks")
     held = index.join(chunks, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
