@@ -46,7 +46,7 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def student_two_sided(t: Column, df: Column) -> Column:
-    """Two-sided p-value of Student's t; null or NaN where t or df is."""
+    """Two-sided p-value of Student's t; null where t or df is null or NaN."""
 
     @F.pandas_udf("double")
     def p(ts: pd.Series, dfs: pd.Series) -> pd.Series:
