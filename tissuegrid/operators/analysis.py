@@ -68,22 +68,47 @@ def log2_fold(entries: DataFrame, groups: DataFrame, base: str) -> DataFrame:
     return met.select("group", "gene", (F.log2(F.coalesce("m", F.lit(0.0)) + 1e-6) - F.log2(F.coalesce("b", F.lit(0.0)) + 1e-6)).alias("log2fc"))
 
 
-def welch(entries: DataFrame, groups: DataFrame, a: str, b: str) -> DataFrame:
-    """(gene, mean_a, mean_b, t, df) of Welch's test between two groups of cells, absent zeros included. groups: (cell, group). Genes without variance have null t."""
+def welch(entries: DataFrame, groups: DataFrame, a: str, b: str, overestimated: bool = False) -> DataFrame:
+    """(gene, mean_a, mean_b, t, df) of Welch's test between two groups of cells, absent zeros included. groups: (cell, group). Genes without variance have null t.
+
+    overestimated: the second group's variance is divided by the first group's size, and that size stands in the degrees of freedom.
+    """
     sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
     pick = lambda g, c: F.max(F.when(F.col("group") == g, F.col(c)))
     n = sizes.agg(pick(a, "n").alias("na"), pick(b, "n").alias("nb"))
     sums = entries.join(groups.filter(F.col("group").isin(a, b)), "cell").groupBy("gene", "group").agg(F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("q"))
     wide = sums.groupBy("gene").agg(*(F.coalesce(pick(g, c), F.lit(0.0)).alias(f"{c}{k}") for g, k in ((a, "a"), (b, "b")) for c in "sq")).crossJoin(F.broadcast(n))
     mean = {k: F.col(f"s{k}") / F.col(f"n{k}") for k in "ab"}
-    error = {k: F.greatest(F.col(f"q{k}") - F.col(f"s{k}") * mean[k], F.lit(0.0)) / (F.col(f"n{k}") - 1) / F.col(f"n{k}") for k in "ab"}
+    size = {"a": F.col("na"), "b": F.col("na" if overestimated else "nb")}
+    error = {k: F.greatest(F.col(f"q{k}") - F.col(f"s{k}") * mean[k], F.lit(0.0)) / (F.col(f"n{k}") - 1) / size[k] for k in "ab"}
     wide = wide.select("gene", "na", "nb", mean["a"].alias("mean_a"), mean["b"].alias("mean_b"), error["a"].alias("ea"), error["b"].alias("eb"))
     both = F.col("ea") + F.col("eb")
     some = F.when(both > 0, both)
-    df = some * some / (F.col("ea") ** 2 / (F.col("na") - 1) + F.col("eb") ** 2 / (F.col("nb") - 1))
+    df = some * some / (F.col("ea") ** 2 / (size["a"] - 1) + F.col("eb") ** 2 / (size["b"] - 1))
     return wide.select("gene", "mean_a", "mean_b", ((F.col("mean_a") - F.col("mean_b")) / F.sqrt(some)).alias("t"), F.when(both > 0, df).alias("df"))
 
 
+def rank_sum(entries: DataFrame, groups: DataFrame, a: str, b: str) -> DataFrame:
+    """(gene, z) of the rank-sum test between two groups of cells, equal values sharing their mean rank, absent zeros included.
+
+    Ranks follow from counts of the distinct values, so no gene's cells are ever sorted: values of few distinct numbers stay few rows. Genes that
+    occur in neither group have no row; a gene with one value has null z.
+    """
+    both = groups.filter(F.col("group").isin(a, b))
+    pick = lambda g: F.count_if(F.col("group") == g)
+    n = both.agg(pick(a).alias("na"), pick(b).alias("nb"))
+    stored = entries.filter("value <> 0").join(both, "cell").groupBy("gene", "value").agg(pick(a).alias("ca"), pick(b).alias("cb"))
+    zeros = stored.groupBy("gene").agg(F.sum("ca").alias("sa"), F.sum("cb").alias("sb")).crossJoin(F.broadcast(n))
+    zeros = zeros.select("gene", F.lit(0.0).alias("value"), (F.col("na") - F.col("sa")).alias("ca"), (F.col("nb") - F.col("sb")).alias("cb"))
+    counted = stored.unionByName(zeros).withColumn("c", F.col("ca") + F.col("cb")).filter("c > 0")
+    upto = F.sum("c").over(Window.partitionBy("gene").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("r", upto - (F.col("c") - 1) / 2)
+    sums = ranked.groupBy("gene").agg(F.sum(F.col("ca") * F.col("r")).alias("w"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties")).crossJoin(F.broadcast(n))
+    total = F.col("na") + F.col("nb")
+    spread = F.col("na") * F.col("nb") / 12 * (total + 1 - F.col("ties") / (total * (total - 1)))
+    return sums.select("gene", ((F.col("w") - F.col("na") * (total + 1) / 2) / F.sqrt(F.when(spread > 0, spread))).alias("z"))
+
+
 def adjusted(tests: DataFrame, p: str = "p", out: str = "p_adjusted") -> DataFrame:
     """Benjamini-Hochberg over the rows, which are genes: p n / rank, the running minimum from the largest p, at most 1. Null p stay out."""
     known = tests.filter(F.col(p).isNotNull() & ~F.isnan(p))

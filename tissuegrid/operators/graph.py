@@ -120,6 +120,14 @@ def transition(edges: DataFrame, weights: DataFrame, share: float = 0.8, prefere
     return off.unionByName(diagonal)
 
 
+def transition_outward(edges: DataFrame, weights: DataFrame, share: float = 0.8, alpha: float = 5.0) -> DataFrame:
+    """The variant in which every row keeps 1 - share of itself, and takes share (1 - w_i) p_ij from its neighbours."""
+    of = flow_edges(edges, weights, alpha)
+    rows = with_groups(of.withColumn("p", F.col("w") * F.col("flow")), ["dst"], F.sum("p").alias("_sum")).join(weights.select(F.col("cell").alias("dst"), "weight"), "dst")
+    off = rows.select("dst", "src", (F.col("p") / F.col("_sum") * (1 - F.col("weight")) * share).alias("t"))
+    return off.unionByName(weights.select(F.col("cell").alias("dst"), F.col("cell").alias("src"), F.lit(1.0 - share).alias("t")))
+
+
 def composed(a: DataFrame, b: DataFrame) -> DataFrame:
     """The product of two transition tables."""
     right = b.select(F.col("dst").alias("m"), F.col("src").alias("s"), F.col("t").alias("u"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tissuegrid.common import stage
+from tissuegrid.operators.spatial import context_sizes, nearest_spot, outliers
+
 
 def centroids(pixels: DataFrame, by: list[str]) -> DataFrame:
     """(by..., label, x, y, pixels): mean column and row of each label above 0."""
@@ -45,6 +48,28 @@ def patch_entropy(patch_pixels: DataFrame, by: list[str], gray: str = "gray") ->
     return sums.select(*by, "cell", (F.log2(F.col("t").cast("double")) - F.col("l") / F.col("t")).alias("entropy"))
 
 
+def cell_features(pixels: DataFrame, by: list[str], channels: list[str], least: int = 10) -> DataFrame:
+    """Image features of the labelled pixels: centres without outliers, the patch size from nearest-neighbour distances, statistics of each patch.
+
+    Outliers are looked for only in images of more than `least` cells, and by the distance of ten neighbours; the patch is as wide as twice the mean
+    nearest-neighbour distance over all images, rounded.
+    """
+    cells = stage(centroids(pixels, by).select(*by, F.col("label").alias("cell"), "x", "y"))
+    many = cells.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(*by)
+    odd = outliers(cells.join(many, by), by)
+    cells = stage(cells.join(odd.select("cell"), "cell", "left_anti"))
+    half = context_sizes(cells, by).agg(F.avg("mean").alias("m")).first()["m"]  # one number
+    parts = stage(patches(cells, pixels, max(1, round(half or 1)), by))
+    return cells.join(patch_stats(parts, by, channels), [*by, "cell"]).join(patch_entropy(parts, by, channels[0]), [*by, "cell"])
+
+
+def nearest_cell(pixels: DataFrame, cells: DataFrame, reach: float, by: list[str]) -> DataFrame:
+    """(pixel, cell, d): the nearest cell of each pixel within reach, a raster of the cells' territories. pixels: (pixel, by..., row, col); cells: (cell, by..., x, y)."""
+    at = pixels.select(F.col("pixel").alias("cell"), *by, F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    found = nearest_spot(at, cells.select(F.col("cell").alias("spot"), *by, "x", "y"), reach, by)
+    return found.select(F.col("cell").alias("pixel"), F.col("spot").alias("cell"), "d")
+
+
 def painted(pixels: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
     """(by..., row, col, value): each labelled pixel with its cell's value; pixels of cells without one stay out. values: (by..., label, value)."""
     return pixels.filter("label > 0").join(values.select(*by, "label", "value"), [*by, "label"]).select(*by, "row", "col", "value")

@@ -65,6 +65,17 @@ def majority(df: DataFrame, by: list[str], label: str, above: float = 0.0) -> Da
     return best.select(*by, F.when(share > above, F.col("b.label")).alias("majority"), share.alias("share"))
 
 
+def annotated(cells: DataFrame, cluster: str, label: str, out: str, above: float = 0.0) -> DataFrame:
+    """`cells` with the majority label of their cluster; null where the cluster has none above the threshold, or the cell no cluster."""
+    return cells.join(majority(cells.filter(F.col(cluster).isNotNull()), [cluster], label, above).select(cluster, F.col("majority").alias(out)), cluster, "left")
+
+
+def levels(entries: DataFrame, groups: DataFrame, group: str, markers: DataFrame) -> DataFrame:
+    """(cell, gene, value, group, level): expression of marker genes, `high` in cells of the group they mark and `low` in others. markers: (gene, marks)."""
+    met = entries.join(markers, "gene").join(groups.select("cell", group), "cell")
+    return met.select("cell", "gene", "value", group, F.when(F.equal_null(F.col(group), F.col("marks")), "high").otherwise("low").alias("level"))
+
+
 def proportions(cells: DataFrame, spot: list[str], label: str) -> DataFrame:
     """(spot..., label, share) of the labels that occur in each spot."""
     counts = cells.filter(F.col(label).isNotNull()).groupBy(*spot, label).agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tissuegrid.common import with_groups
+from tissuegrid.common import stage, union, with_groups
 
 
 def standardize(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -154,6 +154,22 @@ def standardize_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(means)).withColumns({c: F.col(c) - F.col(f"_m{c}") for c in columns}).select(*df.columns)
 
 
+def integrated(parts: dict[str, DataFrame], k: int, target: float = 10_000.0) -> DataFrame:
+    """(source, cell, pc1..pck) of several matrices on their common genes: clipped at 0, log-normalised, put together, reduced."""
+    genes = None
+    for df in parts.values():
+        genes = df.select("gene").distinct() if genes is None else genes.intersect(df.select("gene"))
+    names = [r["gene"] for r in genes.orderBy("gene").collect()]  # genes, not rows of the data
+    frames = []
+    for source, df in parts.items():
+        kept = df.join(F.broadcast(genes), "gene").withColumn("value", F.greatest("value", F.lit(0.0)))
+        wide = log_normalized(kept, "cell", target=target).groupBy("cell").pivot("gene", names).agg(F.first("value")).fillna(0.0)
+        frames.append(wide.toDF("cell", *(f"g{i}" for i in range(len(names)))).withColumn("source", F.lit(source)))
+    both = stage(union(frames).withColumn("key", F.concat_ws(":", "source", F.col("cell").cast("string"))))
+    scores = component_scores(both, "key", [f"g{i}" for i in range(len(names))], k)
+    return both.select("key", "source", "cell").join(scores, "key").drop("key")
+
+
 def k_means(df: DataFrame, id: str, columns: Sequence[str], k: int, seed: int = 1) -> DataFrame:
     """(id, cluster) of k-means over the columns."""
     from pyspark.ml.clustering import KMeans

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tissuegrid.common import with_groups
 from tissuegrid.operators.diffusion import uniform
+from tissuegrid.operators.nearest import nearest
 
 
 def grid_spots(cells: DataFrame, separation: float, block: list[str]) -> DataFrame:
@@ -18,6 +19,17 @@ def grid_spots(cells: DataFrame, separation: float, block: list[str]) -> DataFra
     return box.select("cell", *block, F.concat_ws("_", F.lit("SPOT"), at("x"), at("y")).alias("spot"))
 
 
+def likely_separation(cells: DataFrame, block: list[str]) -> DataFrame:
+    """(block..., separation): left edge of the fullest bin of nearest-neighbour distances, in bins of about one unit; equal counts by the smaller edge."""
+    d = nearest(cells, "cell", ["x", "y"], 1, block).select(F.col("query").alias("cell"), F.col("distance").alias("d"))
+    placed = with_groups(cells.select("cell", *block).join(d, "cell"), block, F.min("d").alias("_l"), F.max("d").alias("_u"))
+    bins = F.greatest(F.floor(F.col("_u") - F.col("_l")), F.lit(1))
+    width = (F.col("_u") - F.col("_l")) / bins
+    k = F.least(F.floor((F.col("d") - F.col("_l")) / F.when(width > 0, width)), bins - 1)
+    counted = placed.withColumn("edge", F.col("_l") + F.coalesce(k, F.lit(0)) * width).groupBy(*block, "edge").agg(F.count("*").alias("n"))
+    return counted.groupBy(*block).agg(F.min(F.struct((-F.col("n")).alias("n"), "edge")).alias("b")).select(*block, F.col("b.edge").alias("separation"))
+
+
 def poisson(mean: Column, u: Column, most: int = 200) -> Column:
     """Poisson numbers by inversion: the count of cumulative probabilities that u exceeds, for means up to some 100."""
     step = lambda s, k: F.struct((s["p"] * mean / k).alias("p"), (s["c"] + s["p"] * mean / k).alias("c"), (s["n"] + (u > s["c"]).cast("int")).alias("n"))
