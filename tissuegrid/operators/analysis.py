@@ -68,8 +68,13 @@ def log2_fold(entries: DataFrame, groups: DataFrame, base: str) -> DataFrame:
     return met.select("group", "gene", (F.log2(F.coalesce("m", F.lit(0.0)) + 1e-6) - F.log2(F.coalesce("b", F.lit(0.0)) + 1e-6)).alias("log2fc"))
 
 
+def _above(n: Column) -> Column:
+    return F.when(n > 0, n)
+
+
 def welch(entries: DataFrame, groups: DataFrame, a: str, b: str, overestimated: bool = False) -> DataFrame:
-    """(gene, mean_a, mean_b, t, df) of Welch's test between two groups of cells, absent zeros included. groups: (cell, group). Genes without variance have null t.
+    """(gene, mean_a, mean_b, t, df) of Welch's test between two groups of cells, absent zeros included. groups: (cell, group). Genes without variance have null t,
+    and so has every gene where a group has fewer than two cells.
 
     overestimated: the second group's variance is divided by the first group's size, and that size stands in the degrees of freedom.
     """
@@ -80,11 +85,11 @@ def welch(entries: DataFrame, groups: DataFrame, a: str, b: str, overestimated:
     wide = sums.groupBy("gene").agg(*(F.coalesce(pick(g, c), F.lit(0.0)).alias(f"{c}{k}") for g, k in ((a, "a"), (b, "b")) for c in "sq")).crossJoin(F.broadcast(n))
     mean = {k: F.col(f"s{k}") / F.col(f"n{k}") for k in "ab"}
     size = {"a": F.col("na"), "b": F.col("na" if overestimated else "nb")}
-    error = {k: F.greatest(F.col(f"q{k}") - F.col(f"s{k}") * mean[k], F.lit(0.0)) / (F.col(f"n{k}") - 1) / size[k] for k in "ab"}
+    error = {k: F.greatest(F.col(f"q{k}") - F.col(f"s{k}") * mean[k], F.lit(0.0)) / _above(F.col(f"n{k}") - 1) / size[k] for k in "ab"}
     wide = wide.select("gene", "na", "nb", mean["a"].alias("mean_a"), mean["b"].alias("mean_b"), error["a"].alias("ea"), error["b"].alias("eb"))
     both = F.col("ea") + F.col("eb")
     some = F.when(both > 0, both)
-    df = some * some / (F.col("ea") ** 2 / (size["a"] - 1) + F.col("eb") ** 2 / (size["b"] - 1))
+    df = some * some / (F.col("ea") ** 2 / _above(size["a"] - 1) + F.col("eb") ** 2 / _above(size["b"] - 1))
     return wide.select("gene", "mean_a", "mean_b", ((F.col("mean_a") - F.col("mean_b")) / F.sqrt(some)).alias("t"), F.when(both > 0, df).alias("df"))
 
 

@@ -51,11 +51,11 @@ def robustnorm_roundtrip(spark, folder):
 
 
 def row_normalize_l1(spark, folder):
-    return _r(matrix.normalized(parts.counts(spark, folder), "cell"), "value", places=9)
+    return _r(matrix.normalized(parts.counts(spark, folder), "cell"), "value", places=12)
 
 
 def col_normalize_l1(spark, folder):
-    return _r(matrix.normalized(parts.counts(spark, folder), "gene"), "value", places=9)
+    return _r(matrix.normalized(parts.counts(spark, folder), "gene"), "value", places=12)
 
 
 def log_normalize(spark, folder):
@@ -357,7 +357,7 @@ _RINGS = _RING | {
 }
 _PATH = _RING | {
     "pieces": "SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len FROM (SELECT a.sample_id, a.place, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM vertices a JOIN vertices b ON a.sample_id = b.sample_id AND b.place = a.place + 1)",
-    "along": "SELECT *, sum(len) OVER (PARTITION BY sample_id ORDER BY place) - len AS s0, sum(len) OVER (PARTITION BY sample_id) AS total FROM pieces",
+    "along": "SELECT *, coalesce(sum(len) OVER (PARTITION BY sample_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0, sum(len) OVER (PARTITION BY sample_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s1, sum(len) OVER (PARTITION BY sample_id) AS total FROM pieces",
     "points": "SELECT *, total * k / 24 AS pos FROM along, (SELECT unnest(range(25)) AS k)",
 }
 _ALL = "SELECT DISTINCT cell_id AS cell, sample_id, nullif(trim(clusters), '') AS clusters, spot_barcodes AS barcode, umi FROM cells"
@@ -372,8 +372,8 @@ SQL = {
     "minmax_features": sql(f"SELECT cell, sample_id, {_over('CASE WHEN max({0}) OVER w > min({0}) OVER w THEN ({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) OVER w) ELSE 0 END')} FROM features WINDOW w AS (PARTITION BY sample_id)"),
     "robustnorm": sql(f"SELECT cell, {_round('scaled')} FROM robust", robust=_ROBUST),
     "robustnorm_roundtrip": sql(f"SELECT cell, {_round('mean_gray')} FROM features"),
-    "row_normalize_l1": sql("SELECT cell, gene, round(value / sum(abs(value)) OVER (PARTITION BY cell), 9) + 0.0 AS value FROM counts"),
-    "col_normalize_l1": sql("SELECT cell, gene, round(value / sum(abs(value)) OVER (PARTITION BY gene), 9) + 0.0 AS value FROM counts"),
+    "row_normalize_l1": sql("SELECT cell, gene, round(value / sum(abs(value)) OVER (PARTITION BY cell), 12) + 0.0 AS value FROM counts"),
+    "col_normalize_l1": sql("SELECT cell, gene, round(value / sum(abs(value)) OVER (PARTITION BY gene), 12) + 0.0 AS value FROM counts"),
     "log_normalize": sql("SELECT cell, gene, round(ln(1 + value / total * (SELECT quantile_cont(total, 0.5) FROM totals)), 6) + 0.0 AS value FROM counts JOIN totals USING (cell)", totals="SELECT cell, sum(value) AS total FROM counts GROUP BY 1"),
     "scale_clip": sql(
         "SELECT cell, gene, round(least((value - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 3), 6) + 0.0 AS value FROM counts JOIN moments USING (gene)",
@@ -425,7 +425,7 @@ FROM features f JOIN spots s ON f.sample_id = s.sample_id""",
         **_RINGS, wanted="SELECT gene, ring, k, greatest(min(ring) OVER (PARTITION BY gene), least(max(ring) OVER (PARTITION BY gene), ring + k)) AS pos FROM ring_means, (SELECT unnest([-2, -1, 0, 1, 2]) AS k)",
     ),
     "polygon_resample": sql(
-        "SELECT sample_id, CAST(k AS INTEGER) AS k, round(arg_max(x0 + (x1 - x0) * (pos - s0) / len, s0), 4) + 0.0 AS x, round(arg_max(y0 + (y1 - y0) * (pos - s0) / len, s0), 4) + 0.0 AS y FROM points WHERE len > 0 AND pos >= s0 AND (pos < s0 + len OR (k = 24 AND place = 7)) GROUP BY 1, 2",
+        "SELECT sample_id, CAST(k AS INTEGER) AS k, round(arg_max(x0 + (x1 - x0) * (pos - s0) / len, s0), 4) + 0.0 AS x, round(arg_max(y0 + (y1 - y0) * (pos - s0) / len, s0), 4) + 0.0 AS y FROM points WHERE len > 0 AND pos >= s0 AND (pos < s1 OR (k = 24 AND place = 7)) GROUP BY 1, 2",
         **_PATH,
     ),
     "roi_bbox": sql("SELECT sample_id, CAST(trunc(min(x) - 100) AS INTEGER) AS \"left\", CAST(trunc(min(y) - 100) AS INTEGER) AS bottom, CAST(trunc(max(x) - min(x) + 200) AS INTEGER) AS width, CAST(trunc(max(y) - min(y) + 200) AS INTEGER) AS height FROM vertices GROUP BY 1", **_RING),

@@ -311,8 +311,8 @@ _WELCH = {
     "na": "SELECT max(CASE WHEN grp = 'r0' THEN n END) AS na, max(CASE WHEN grp = 'r1' THEN n END) AS nb FROM groups",
     "sums": """SELECT gene, coalesce(sum(value) FILTER (grp = 'r0'), 0) AS sa, coalesce(sum(value ** 2) FILTER (grp = 'r0'), 0) AS qa, coalesce(sum(value) FILTER (grp = 'r1'), 0) AS sb,
 coalesce(sum(value ** 2) FILTER (grp = 'r1'), 0) AS qb FROM counts JOIN regions USING (cell) WHERE grp IN ('r0', 'r1') GROUP BY 1""",
-    "errors": "SELECT gene, na, nb, sa / na AS ma, sb / nb AS mb, greatest(qa - sa * sa / na, 0) / (na - 1) / na AS ea, greatest(qb - sb * sb / nb, 0) / (nb - 1) / nb AS eb FROM sums, na",
-    "tests": "SELECT gene, round(ma, 5) + 0.0 AS mean_a, round(mb, 5) + 0.0 AS mean_b, round(CASE WHEN ea + eb > 0 THEN (ma - mb) / sqrt(ea + eb) END, 5) + 0.0 AS t, round(CASE WHEN ea + eb > 0 THEN (ea + eb) ** 2 / (ea ** 2 / (na - 1) + eb ** 2 / (nb - 1)) END, 5) + 0.0 AS df FROM errors",
+    "errors": "SELECT gene, na, nb, sa / na AS ma, sb / nb AS mb, greatest(qa - sa * sa / na, 0) / nullif(na - 1, 0) / na AS ea, greatest(qb - sb * sb / nb, 0) / nullif(nb - 1, 0) / nb AS eb FROM sums, na",
+    "tests": "SELECT gene, round(ma, 5) + 0.0 AS mean_a, round(mb, 5) + 0.0 AS mean_b, round(CASE WHEN ea + eb > 0 THEN (ma - mb) / sqrt(ea + eb) END, 5) + 0.0 AS t, round(CASE WHEN ea + eb > 0 THEN (ea + eb) ** 2 / (ea ** 2 / nullif(na - 1, 0) + eb ** 2 / nullif(nb - 1, 0)) END, 5) + 0.0 AS df FROM errors",
 }
 _ORA = {
     "tops": "SELECT cell, gene FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY value DESC, gene) AS r FROM counts) WHERE r <= 50",
