@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tissuegrid.common import ordinals
+from tissuegrid.common import ordinals, quantiles
 from tissuegrid.functions import shapes
 from tissuegrid.functions.special import incomplete_beta, smoothing_weights, student_two_sided
 from tissuegrid.operators import analysis, cna, images, labels, simulate, spatial
@@ -163,3 +163,14 @@ def test_ordinals_over_partitions(spark):
     for g in range(3):
         ours = sorted((r.v, r.id, r.place) for r in got if r.g == g)
         assert [p for *_, p in ours] == list(range(len(ours)))
+
+
+def test_quantiles_over_partitions(spark):
+    r = np.random.RandomState(3)
+    values = {"a": r.randint(0, 9, 500).astype(float), "b": r.randn(333), "c": np.array([4.0]), "d": np.array([np.nan])}
+    df = spark.createDataFrame([(g, float(v), 1) for g, vs in values.items() for v in vs] + [("b", None, 1)], "g string, v double, _n int")
+    got = {x.g: x for x in quantiles(df.repartition(9), ["g"], "v", {"low": 0.1, "mid": 0.5, "top": 1.0}).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for g in got:
+        assert [got[g].low, got[g].mid, got[g].top] == pytest.approx(list(np.quantile(values[g], [0.1, 0.5, 1.0])))
+    assert quantiles(df.filter("g = 'c'"), [], "v", {"q": 0.3}).first().q == 4 and quantiles(df.limit(0), ["g"], "v", {"q": 0.3}).count() == 0

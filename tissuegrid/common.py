@@ -101,6 +101,30 @@ def ordinals(df: DataFrame, by: list[str], order: list[str], name: str) -> DataF
     return placed.withColumn(name, within.cast("long")).join(offsets, [*by, part]).withColumn(name, F.col(name) + F.col(before)).drop(part, before)
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear between order statistics) of each group: (by..., names of `at`). Null and NaN values don't count; a group of only those has no row.
+
+    Equal values are counted before the shuffle; the counts are range-partitioned over all groups and summed up across partitions, so that no
+    task holds a group.
+    """
+    v, n, part, before, total = (fresh(df, c) for c in ("_v", "_n", "_part", "_before", "_total"))
+    counts = df.filter(usable(value)).groupBy(*by, F.col(value).cast("double").alias(v)).agg(F.count("*").alias(n))
+    placed = stage(counts.repartitionByRange(*by, v).withColumn(part, F.spark_partition_id()))
+    group = Window.partitionBy(*(by or [F.lit(1)]))
+    sums = placed.groupBy(*by, part).agg(F.sum(n).alias("_m"))
+    offsets = sums.select(*by, part, F.coalesce(F.sum("_m").over(group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before), F.sum("_m").over(group).alias(total))
+    upto = F.sum(n).over(Window.partitionBy(*by, part).orderBy(v).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.withColumn("_upto", upto).join(offsets, [*by, part]).withColumn("_upto", F.col("_upto") + F.col(before))
+    picked, out = [], []
+    for name, p in at.items():
+        place = F.lit(p) * (F.col(total) - 1)
+        for side, k in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            picked.append(F.max(F.when((F.col("_upto") > k) & (F.col("_upto") - F.col(n) <= k), F.col(v))).alias(f"_{side}_{name}"))
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (place - F.floor(place))).alias(name))
+    return ranked.groupBy(*by, total).agg(*picked).select(*by, *out)
+
+
 def rounded(c: Column | str, places: int = 6) -> Column:
     """A double rounded for comparison, without a negative zero."""
     return F.round(F.col(c) if isinstance(c, str) else c, places) + F.lit(0.0)

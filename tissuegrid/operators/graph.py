@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tissuegrid.common import with_groups
+from tissuegrid.common import quantiles, with_groups
 
 
 def shared_neighbours(edges: DataFrame, k: int, only_neighbours: bool = False) -> DataFrame:
@@ -85,7 +85,7 @@ def node_weights(df: DataFrame, score: str, by: list[str] = [], steepness: float
 
 def balanced(df: DataFrame, feature: str, by: list[str], low: float = 0.15, high: float = 0.85, alpha: float = 5.0) -> DataFrame:
     """`df` with `balance`: a logistic of the feature over its quantile range; the feature itself where the range is empty."""
-    q = df.groupBy(*by).agg(F.percentile(feature, F.lit(low)).alias("_l"), F.percentile(feature, F.lit(high)).alias("_u"))
+    q = quantiles(df, by, feature, {"_l": low, "_u": high})
     joined = df.join(q, by) if by else df.crossJoin(F.broadcast(q))
     width = F.when(F.col("_u") > F.col("_l"), F.col("_u") - F.col("_l"))
     t = 2 * (F.col(feature) - F.col("_l")) / width - 1

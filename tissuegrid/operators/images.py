@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tissuegrid.common import stage
+from tissuegrid.common import quantiles, stage
 from tissuegrid.operators.spatial import context_sizes, nearest_spot, outliers
 
 
@@ -86,13 +86,13 @@ def color_limit(setting: float | str | None, values: DataFrame, value: str, low:
     if setting is None:
         return ends["l"] if low else ends["u"]
     if isinstance(setting, str):
-        return values.agg(F.percentile(value, F.lit(float(setting.lstrip("p")) / 100)).alias("q")).first()["q"]
+        return quantiles(values, [], value, {"q": float(setting.lstrip("p")) / 100}).first()["q"]
     return min(max(setting, ends["l"]), ends["u"])
 
 
 def limits(values: DataFrame, by: list[str], value: str, low: float, high: float) -> DataFrame:
     """(by..., vmin, vmax) as percentiles of each group."""
-    return values.groupBy(*by).agg(F.percentile(value, F.lit(low)).alias("vmin"), F.percentile(value, F.lit(high)).alias("vmax"))
+    return quantiles(values, by, value, {"vmin": low, "vmax": high})
 
 
 def sampled(pixels: DataFrame, share: Column, key: list[str], seed: int) -> DataFrame:

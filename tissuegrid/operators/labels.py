@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tissuegrid.common import quantiles
+
 
 def unique_names(cells: DataFrame, by: list[str], name: str, order: list[str]) -> DataFrame:
     """`cells` with `ordinal` (0-based within equal names) and `unique_name`: the name itself, then name-1, name-2, ..."""
@@ -103,7 +105,7 @@ def group_means(entries: DataFrame, groups: DataFrame, group: list[str]) -> Data
 
 def top_share(df: DataFrame, by: list[str], value: str, quantile: float) -> DataFrame:
     """Rows above the group's quantile (linear, exact)."""
-    cut = df.groupBy(*by).agg(F.percentile(value, F.lit(quantile)).alias("_cut"))
+    cut = quantiles(df, by, value, {"_cut": quantile})
     return df.join(cut, by).filter(F.col(value) > F.col("_cut")).drop("_cut")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tissuegrid.common import stage, union, with_groups
+from tissuegrid.common import quantiles, stage, union, with_groups
 
 
 def standardize(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -26,8 +26,8 @@ def minmax(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Dat
 
 
 def quantile_range(df: DataFrame, column: str, by: Sequence[str], low: float, high: float, names: tuple[str, str] = ("ql", "qu")) -> DataFrame:
-    """Exact quantiles of each group, linearly interpolated. They hold a group's distinct values in memory; see `ordinals` for groups beyond that."""
-    return df.groupBy(*by).agg(F.percentile(column, F.lit(low)).alias(names[0]), F.percentile(column, F.lit(high)).alias(names[1]))
+    """Two exact quantiles of each group, linearly interpolated."""
+    return quantiles(df, list(by), column, {names[0]: low, names[1]: high})
 
 
 def robust_scaled(v: Column, low: Column, high: Column) -> Column:
@@ -49,7 +49,7 @@ def normalized(entries: DataFrame, by: str, value: str = "value") -> DataFrame:
 def log_normalized(entries: DataFrame, row: str, value: str = "value", target: float | None = None) -> DataFrame:
     """ln(1 + v / row total * target); the target is the median of the positive row totals if not given."""
     totals = entries.groupBy(row).agg(F.sum(value).alias("_total")).filter("_total > 0")
-    goal = totals.agg(F.percentile("_total", F.lit(0.5)).alias("_goal")) if target is None else totals.agg(F.lit(float(target)).alias("_goal"))
+    goal = quantiles(totals, [], "_total", {"_goal": 0.5}) if target is None else totals.agg(F.lit(float(target)).alias("_goal"))
     scaled = entries.join(totals, row).crossJoin(F.broadcast(goal))
     return scaled.withColumn(value, F.log1p(F.col(value) / F.col("_total") * F.col("_goal"))).select(*entries.columns)
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tissuegrid.common import with_groups
+from tissuegrid.common import quantiles, stage, with_groups
 from tissuegrid.operators.nearest import nearest
 
 
@@ -74,8 +74,10 @@ def constrained_knn(cells: DataFrame, dimensions: list[str], k: int, radius: flo
 def context_sizes(cells: DataFrame, block: list[str]) -> DataFrame:
     """Per block mean, median, least and largest nearest-neighbour distance, and twice the mean rounded to an integer: the half width of patches."""
     d = nearest(cells, "cell", ["x", "y"], 1, block).select(F.col("query").alias("cell"), F.col("distance").alias("d"))
-    of = cells.select("cell", *block).join(d, "cell").groupBy(*block)
-    stats = of.agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.5)).alias("median"), F.min("d").alias("least"), F.max("d").alias("largest"))
+    of = stage(cells.select("cell", *block).join(d, "cell"))
+    stats = of.groupBy(*block).agg(F.avg("d").alias("mean"), F.min("d").alias("least"), F.max("d").alias("largest"))
+    middle = quantiles(of, block, "d", {"median": 0.5})
+    stats = stats.join(middle, block) if block else stats.crossJoin(middle)
     return stats.withColumn("context", F.bround(2 * F.col("mean"), 0).cast("int"))
 
 
