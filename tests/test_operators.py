@@ -165,6 +165,16 @@ def test_ordinals_over_partitions(spark):
         assert [p for *_, p in ours] == list(range(len(ours)))
 
 
+def test_stages_are_cleared(spark):
+    from tissuegrid.common import clear_stages, stage
+
+    staged = stage(spark.range(5))
+    assert staged.count() == 5
+    clear_stages(spark)
+    with pytest.raises(Exception, match="(?i)not.exist|no such|not found"):
+        stage(staged).count()
+
+
 def test_quantiles_over_partitions(spark):
     r = np.random.RandomState(3)
     values = {"a": r.randint(0, 9, 500).astype(float), "b": r.randn(333), "c": np.array([4.0]), "d": np.array([np.nan])}

@@ -47,10 +47,19 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_tissuegrid_stages", []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Delete the tables that `stage` wrote in this session; results that are still to be computed from them become unreadable."""
+    context = spark.sparkContext
+    for path in context.__dict__.pop("_tissuegrid_stages", []):
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -170,6 +170,15 @@ def integrated(parts: dict[str, DataFrame], k: int, target: float = 10_000.0) ->
     return both.select("key", "source", "cell").join(scores, "key").drop("key")
 
 
+def bisecting(df: DataFrame, id: str, columns: Sequence[str], k: int, seed: int = 1) -> DataFrame:
+    """(id, cluster) of a divisive hierarchy cut at k clusters."""
+    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(df)
+    return BisectingKMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(vectors).transform(vectors).select(id, "cluster")
+
+
 def k_means(df: DataFrame, id: str, columns: Sequence[str], k: int, seed: int = 1) -> DataFrame:
     """(id, cluster) of k-means over the columns."""
     from pyspark.ml.clustering import KMeans

@@ -19,12 +19,17 @@ from tissuegrid.common import stage, usable
 
 #: Distance between the codes of different blocks, and the largest distance of one search.
 APART, FAR = 1e12, 1e11
+#: Rows of the largest sample that the cut planes are fitted on: some 40 MB.
+MOST = 500_000
 HIT = "query long, node long, d2 double"
 
 
 @dataclass(frozen=True)
 class Shards:
-    """size: vectors of a shard, about; sample: rows the cut planes are fitted on, about; chunk: queries of one shard that one task takes."""
+    """size: vectors of a shard, about; chunk: queries of one shard that one task takes.
+
+    sample: rows the cut planes are fitted on, about; eight for each shard if that is more, up to MOST. Beyond 60,000 shards, shards grow instead.
+    """
 
     size: int = 1024
     sample: int = 50_000
@@ -150,7 +155,7 @@ def _visited(frame: DataFrame, tree: Tree, width: int, limit: float, first: bool
 
 def _tasks(spark, tree: Tree) -> int:
     """A shard is little data but much work, so shards are not put together by their bytes."""
-    return max(spark.sparkContext.defaultParallelism, min(tree.leaves, 20_000))
+    return max(spark.sparkContext.defaultParallelism, min(3 * tree.leaves, 20_000))  # so that few tasks get two shards
 
 
 def _search(index: DataFrame, queries: DataFrame, shards: Shards, width: int, k: int, limit: float, kernel, tasks: int) -> DataFrame:
@@ -203,9 +208,10 @@ def nearest(df: DataFrame, id: str, dimensions: list[Column | str], k: int, bloc
     n = heads.count()
     if n == 0:
         return spark.createDataFrame([], "query long, neighbour long, distance double, rank int")
-    step = max(1, n // shards.sample)
-    sample = heads.filter(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).select("v").limit(2 * shards.sample).collect()
-    tree = Tree(np.array([r["v"] for r in sample], float).reshape(-1, width), -(-n // shards.size))
+    leaves = -(-n // shards.size)
+    step = max(1, n // min(MOST, max(shards.sample, 8 * leaves)))
+    sample = heads.filter(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).select("v").limit(2 * MOST).toArrow()
+    tree = Tree(matrix(sample["v"], width), leaves)
 
     as_query = heads.select(F.col("node").alias("query"), "block", "v")
     placed = _visited(as_query, tree, width, 0.0, True).withColumnRenamed("query", "node")

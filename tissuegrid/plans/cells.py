@@ -136,6 +136,11 @@ def kmeans_clusters(spark, folder):
     return matrix.k_means(matrix.standardize(cells.select("cell", *MORPH), MORPH), "cell", MORPH, 8)
 
 
+def hierarchy_clusters(spark, folder):
+    cells = _cells(spark, folder)
+    return matrix.bisecting(matrix.standardize(cells.select("cell", *MORPH), MORPH), "cell", MORPH, 6)
+
+
 def assign_nearest_spot(spark, folder):
     """The nearest spot of each cell, below five spot diameters where the sample's diameter is known."""
     cells = _cells(spark, folder)
@@ -312,7 +317,7 @@ def stratify_thresholds(spark, folder):
 
 _NAMES = (
     standardize_features, minmax_features, robustnorm, robustnorm_roundtrip, row_normalize_l1, col_normalize_l1, log_normalize, scale_clip, sparsity, dropout_ratio, gene_cosine,
-    relative_distance, gene_cv, entry_ratio, gene_block_union, residual_vs_libsize, variance_stabilized, pearson_vs_roi, select_similar, pca_components, kmeans_clusters,
+    relative_distance, gene_cv, entry_ratio, gene_block_union, residual_vs_libsize, variance_stabilized, pearson_vs_roi, select_similar, pca_components, kmeans_clusters, hierarchy_clusters,
     assign_nearest_spot, hd_radius_mean, hd_radius_sum, nearest_distance_stats, outlier_cells, bbox_filter, roi_filter, tile_split, polygon_filter, ring_distance, ring_gradient,
     savgol_smooth, polygon_resample, roi_bbox, grid_spots, unique_cell_names, downsample_k, spot_cv_heterogeneity, spot_entropy_heterogeneity, spot_mean_from_cells, spot_to_cells,
     median_cells_per_spot, majority_label, majority_label_threshold, deconvolution, grouped_mean_melt, onehot_pivot, label_codes, top_umi_per_cluster, edge_contamination, stratify_thresholds,
