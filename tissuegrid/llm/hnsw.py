@@ -9,6 +9,12 @@ from __future__ import annotations
 import numpy as np
 
 SHRINK, SEEDS, BATCH = 12, 128, 2048
+#: Entries of the table of nodes seen by the queries of a batch; batches over larger graphs are smaller.
+SEEN = 1 << 25
+
+
+def _batch(n: int) -> int:
+    return max(64, min(BATCH, SEEN // max(1, n)))
 
 
 def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -35,6 +41,9 @@ def _beam(vectors, links, queries, entry, ef, steps=4):
     dist[:, :n], done[:, :n] = first, ~np.isfinite(first)
     active = np.flatnonzero(~done.all(axis=1))
     take = min(steps, ef)
+    seen = np.zeros((q, len(links) + 1), bool)  # the last column takes what is absent
+    seen[:, -1] = True
+    np.put_along_axis(seen, ids[:, :n].astype(np.int64), True, 1)
     while len(active):
         a_ids, a_dist, a_done = ids[active], dist[active], done[active]
         at = np.argsort(a_done, axis=1, kind="stable")[:, :take]  # the nearest not yet expanded
@@ -43,9 +52,9 @@ def _beam(vectors, links, queries, entry, ef, steps=4):
         new = np.where(nodes[:, :, None] >= 0, links[nodes], -1).reshape(len(active), -1)
         new.sort(axis=1)
         new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
-        new[(new[:, :, None] == a_ids[:, None, :]).any(axis=2)] = -1
-        some = new >= 0
+        some = ~seen[active[:, None], new]
         rows = np.nonzero(some)[0]
+        seen[active[rows], new[some]] = True
         d = np.full(new.shape, np.inf)
         d[some] = _square(vectors[new[some]], queries[active[rows]])
         d[d >= a_dist[:, -1:]] = np.inf
@@ -126,7 +135,7 @@ class Graph:
             links[:seeds] = _chosen(vectors, near, np.take_along_axis(d, near, 1), width)
             start = seeds
             while start < size:
-                end = min(size, start + min(start, BATCH))
+                end = min(size, start + min(start, _batch(start)))
                 batch = np.arange(start, end, dtype=np.int32)
                 queries = vectors[batch]
                 if graph.layers and len(graph.layers[0]) <= start:
@@ -162,11 +171,12 @@ class Graph:
     def search(self, queries: np.ndarray, k: int, ef: int, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, squared distances) of the k nearest nodes found; home: the query's own node or -1, from which the search starts too."""
         out_i, out_d = np.full((len(queries), k), -1, np.int32), np.full((len(queries), k), np.inf)
-        for lo in range(0, len(queries), BATCH):
-            q = queries[lo : lo + BATCH]
+        size = _batch(len(self.vectors))
+        for lo in range(0, len(queries), size):
+            q = queries[lo : lo + size]
             entry = self._descend(q, 1) if len(self.layers) > 1 else np.zeros((len(q), 1), np.int32)
             if home is not None:
-                entry = np.concatenate([home[lo : lo + BATCH, None].astype(np.int32), entry], axis=1)
+                entry = np.concatenate([home[lo : lo + size, None].astype(np.int32), entry], axis=1)
             ids, dist = _beam(self.vectors, self.layers[0], q, entry, max(ef, k))
-            out_i[lo : lo + BATCH], out_d[lo : lo + BATCH] = ids[:, :k], dist[:, :k]
+            out_i[lo : lo + size], out_d[lo : lo + size] = ids[:, :k], dist[:, :k]
         return out_i, out_d
