@@ -43,7 +43,7 @@ def test_wide_tables(spark, tmp_path):
 
 
 def test_predictions_files(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("cell.names\tcopykat.pred\nx-1\tdiploid\nshort\n")
+    (tmp_path / "a.txt").write_text("cell.names\tlabel\nx-1\tdiploid\nshort\n")
     got = files.read_predictions(spark, str(tmp_path / "a.txt"))
     assert [(r.cell_id, r.cell_type) for r in got.collect()] == [("x-1", "diploid")]
     files.write_predictions(got, str(tmp_path / "p"))
