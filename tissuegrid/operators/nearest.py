@@ -102,12 +102,12 @@ def lists(rows: np.ndarray, kind) -> pa.ListArray:
 
 
 class Exact:
-    """Compares each query with all vectors of the shard."""
+    """Compares each query with all vectors of the shard, as they are: nothing is built beforehand.
 
-    schema = "shard int, node long, block long, v array<double>"
+    A kernel that builds something has `rows(table, width)`, which gets the rows (shard, node, block, v) of a shard and gives rows of its `schema`.
+    """
 
-    def rows(self, table: pa.Table, width: int) -> pa.Table:
-        return table.select(["shard", "node", "block", "v"])
+    schema = None
 
     def search(self, index: pa.Table, asked: np.ndarray, block: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of the query, node, squared distance); the query's own node is left out."""
@@ -215,7 +215,9 @@ def nearest(df: DataFrame, id: str, dimensions: list[Column | str], k: int, bloc
 
     as_query = heads.select(F.col("node").alias("query"), "block", "v")
     placed = _visited(as_query, tree, width, 0.0, True).withColumnRenamed("query", "node")
-    index = stage(placed.repartition(_tasks(spark, tree), "shard").groupBy("shard").applyInArrow(lambda t: kernel.rows(t, width), kernel.schema))
+    index = placed
+    if kernel.schema:
+        index = stage(placed.repartition(_tasks(spark, tree), "shard").groupBy("shard").applyInArrow(lambda t: kernel.rows(t, width), kernel.schema))
     asked = as_query
     if queries is not None:
         asked = asked.join(members.select(F.col("node").alias("query")).distinct(), "query", "left_semi")
