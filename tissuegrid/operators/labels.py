@@ -84,9 +84,9 @@ def proportions(cells: DataFrame, spot: list[str], label: str) -> DataFrame:
     return counts.join(counts.groupBy(*spot).agg(F.sum("n").alias("t")), spot).select(*spot, label, (F.col("n") / F.col("t")).alias("share"))
 
 
-def one_hot(df: DataFrame, id: list[str], label: str, values: Sequence[str]) -> DataFrame:
-    """A 0/1 column for each of the given labels."""
-    return df.select(*id, *(F.coalesce((F.col(label) == v).cast("int"), F.lit(0)).alias(v) for v in values))
+def one_hot(df: DataFrame, id: list[str], label: str) -> DataFrame:
+    """(id..., label, value): a 1 for each row's label, whatever labels there are. Zeros are absent, so a row without label has none."""
+    return df.filter(F.col(label).isNotNull()).select(*id, F.col(label).alias("label"), F.lit(1).alias("value"))
 
 
 def codes(df: DataFrame, label: str, code: str = "code") -> DataFrame:
@@ -124,9 +124,10 @@ def thresholds(df: DataFrame, score: str, labels: int, n: int = 10, at_least: bo
     """
     import math
 
-    step = math.log(labels) / (n - 1)
+    step = math.log(max(labels, 1)) / (n - 1)
+    place = F.floor(F.col(score) / step + 1e-9) if step else F.lit(n - 1)
     cuts = df.sparkSession.range(n).select(F.col("id").cast("int").alias("k"), (F.col("id") * step).alias("threshold"))
-    top = F.least(F.floor(F.col(score) / step + 1e-9), F.lit(n - 1)) if at_least else F.floor(F.col(score) / step + 1e-9) + 1
+    top = F.least(place, F.lit(n - 1)) if at_least else place + 1
     counted = df.filter(F.col(score).isNotNull()).groupBy(top.cast("int").alias("_top")).agg(F.count("*").alias("_n"))
     reach = F.col("_top") >= F.col("k") if at_least else F.col("_top") <= F.col("k")
     return cuts.join(F.broadcast(counted), reach, "left").groupBy("k", "threshold").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))

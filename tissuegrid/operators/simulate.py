@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tissuegrid.common import with_groups
+from tissuegrid.common import stage, with_groups
 from tissuegrid.operators.diffusion import uniform
+from tissuegrid.operators.labels import codes
 from tissuegrid.operators.nearest import nearest
 
 
@@ -56,11 +57,21 @@ def dropouts(entries: DataFrame, means: DataFrame, midpoint: float, shape: float
     return chance.filter(uniform(seed, "cell", "gene") >= F.col("_p")).select(*entries.columns)
 
 
-def mislabelled(cells: DataFrame, label: str, labels: list[str], share: float, seed: int) -> DataFrame:
-    """About a share of the cells with another of the given labels."""
-    others = F.filter(F.array(*map(F.lit, labels)), lambda v: ~F.equal_null(v, F.col(label)))
-    pick = F.floor(uniform(seed + 1, "cell") * F.size(others)).cast("int") + 1
-    return cells.withColumn(label, F.when((uniform(seed, "cell") < share) & (F.size(others) > 0), F.try_element_at(others, pick)).otherwise(F.col(label)))
+def mislabelled(cells: DataFrame, label: str, labels: list[str] | None, share: float, seed: int) -> DataFrame:
+    """About a share of the cells with another of the given labels, or of all labels that the cells have where none are given.
+
+    A cell draws a number below the count of the other labels and passes over its own, so that each other label is equally likely.
+    """
+    known = cells.select(label) if labels is None else cells.sparkSession.createDataFrame([(v,) for v in labels], f"`{label}` string")
+    numbered = stage(codes(known.filter(F.col(label).isNotNull()).distinct(), label, "_code"))
+    own = cells.join(numbered, label, "left")
+    others = F.lit(numbered.count()) - F.col("_code").isNotNull().cast("int")
+    pick = F.floor(uniform(seed + 1, "cell") * others)
+    pick = pick + F.coalesce((pick >= F.col("_code")).cast("int"), F.lit(0))
+    drawn = (uniform(seed, "cell") < share) & (others > 0)
+    placed = own.withColumn("_pick", F.when(drawn, pick).otherwise(-1 - pick))  # negative numbers meet no label, and no key is frequent
+    other = numbered.select(F.col("_code").cast("long").alias("_pick"), F.col(label).alias("_other"))
+    return placed.join(other, "_pick", "left").withColumn(label, F.coalesce("_other", label)).select(*cells.columns)
 
 
 def dropped_cells(cells: DataFrame, share: float, seed: int) -> DataFrame:

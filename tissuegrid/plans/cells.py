@@ -292,7 +292,7 @@ def grouped_mean_melt(spark, folder):
 
 
 def onehot_pivot(spark, folder):
-    return labels.one_hot(_cells(spark, folder), ["cell"], "clusters", ["tumor_core", "stroma_mix", "immune_edge"])
+    return labels.one_hot(_cells(spark, folder), ["cell"], "clusters")
 
 
 def label_codes(spark, folder):
@@ -312,7 +312,8 @@ def edge_contamination(spark, folder):
 def stratify_thresholds(spark, folder):
     cells = _cells(spark, folder)
     placed = cells.join(parts.spots_of(cells), "cell")
-    return _r(labels.thresholds(labels.entropy(placed, ["spot"], "clusters"), "entropy", 8), "threshold")
+    known = cells.agg(F.count_distinct("clusters").alias("n")).first()["n"]
+    return _r(labels.thresholds(labels.entropy(placed, ["spot"], "clusters"), "entropy", known), "threshold")
 
 
 _NAMES = (

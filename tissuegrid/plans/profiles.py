@@ -264,9 +264,14 @@ def simulate_dropouts(spark, folder):
 
 
 def simulate_poisson(spark, folder):
-    """Poisson counts of the marker collections' sets as genes over the cells of each label."""
-    cells = parts.features(spark, folder).filter("clusters is not null").select("cell", F.col("clusters").alias("cluster"))
-    genes = spark.createDataFrame([("g1", "tumor_core"), ("g2", "stroma_mix"), ("g3", "immune_edge")], "gene string, cluster string")
+    """Poisson counts of the marker collections' sets as genes over the cells of each label.
+
+    Sets and labels are numbered in sorted order; a set is high in the label of its number, counted round where there are more sets than labels.
+    """
+    cells = stage(parts.features(spark, folder).filter("clusters is not null").select("cell", F.col("clusters").alias("cluster")))
+    known = stage(labels.codes(cells.select("cluster").distinct(), "cluster"))
+    sets = labels.codes(table(spark, folder, "marker_sets").filter("geneset is not null").select(F.col("geneset").alias("gene")).distinct(), "gene", "set")
+    genes = sets.withColumn("code", F.col("set") % max(known.count(), 1)).join(known, "code").select("gene", "cluster")
     return simulate.expression(cells, genes, 11)
 
 
@@ -278,7 +283,7 @@ def perturb_graph(spark, folder):
 
 
 def mislabel(spark, folder):
-    return simulate.mislabelled(stage(parts.features(spark, folder)).select("cell", "clusters"), "clusters", ["tumor_core", "stroma_mix", "immune_edge"], 0.2, 2)
+    return simulate.mislabelled(stage(parts.features(spark, folder)).select("cell", "clusters"), "clusters", None, 0.2, 2)
 
 
 def spot_mode_label(spark, folder):
