@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tissuegrid.operators import labels, simulate
+from tissuegrid.operators import analysis, labels, simulate
 from tissuegrid.plans import parts, registry
 
 
@@ -42,3 +42,28 @@ def test_thresholds_reach_the_logarithm_of_all_labels(spark, tables):
     assert most == pytest.approx(math.log(parts.features(spark, tables).select("clusters").filter("clusters is not null").distinct().count()), abs=1e-5)
     one = spark.createDataFrame([("s", 0.0)], "spot string, entropy double")
     assert {r.rows for r in labels.thresholds(one, "entropy", 1).collect()} == {1}
+
+
+def _tail(members, drawn, overlap, background):
+    ways = sum(math.comb(members, k) * math.comb(background - members, drawn - k) for k in range(overlap, min(members, drawn) + 1))
+    return (math.log(math.comb(background, drawn)) - math.log(ways)) / math.log(10)
+
+
+def test_draws_five_percent_and_scores_large_sets(spark):
+    e = spark.createDataFrame([(1, g, float(3000 - g)) for g in range(3000)], "cell long, gene long, value double")
+    sets = spark.createDataFrame([("s", g) for g in range(100, 2000)] + [("in", g) for g in range(150)], "geneset string, gene long")
+    got = {r.geneset: (r.overlap, r.score) for r in analysis.over_representation(e, sets, background=1000).collect()}
+    assert got["s"][0] == 50 and got["s"][1] == pytest.approx(_tail(1900, 150, 50, 3000), abs=1e-6)
+    assert got["in"][0] == 150 and got["in"][1] == pytest.approx(_tail(150, 150, 150, 3000), rel=1e-9)
+    wide = analysis.over_representation(e, sets.filter("geneset = 'in'"), 400, 20_000).first()
+    assert wide.overlap == 150 and wide.score == pytest.approx(_tail(150, 400, 150, 20_000), rel=1e-9)
+    every = analysis.over_representation(e, spark.createDataFrame([("in", g) for g in range(400)], "geneset string, gene long"), 400, 20_000).first()
+    assert every.score == pytest.approx(_tail(400, 400, 400, 20_000), rel=1e-9) and every.score > 308  # no smallest double
+
+
+def test_ora_draws_a_share_of_the_genes(spark, tables):
+    counts = parts.counts(spark, tables)
+    top = math.ceil(0.05 * counts.select("gene").distinct().count())
+    stored = {r.cell: r["count"] for r in counts.groupBy("cell").count().collect()}
+    got = registry.QUERIES["ora_scores"](spark, tables).groupBy("cell").agg(F.sum("overlap").alias("o"), F.count_if(F.col("score").isNull()).alias("n")).collect()
+    assert {r.cell for r in got} == set(stored) and all(r.o <= min(top, stored[r.cell]) and r.n == 0 for r in got)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,17 +173,20 @@ def _log_factorials(spark, n: int) -> DataFrame:
     return numbers.withColumn("lf", F.sum(F.log(F.greatest("k", F.lit(1)).cast("double"))).over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def over_representation(entries: DataFrame, sets: DataFrame, top: int, background: int = 20_000, least_members: int = 5) -> DataFrame:
+def over_representation(entries: DataFrame, sets: DataFrame, top: int | None = None, background: int = 20_000, least_members: int = 5) -> DataFrame:
     """(cell, geneset, overlap, score): -log10 of the chance that the `top` genes of a cell hold so many members of the set or more.
 
-    sets: (geneset, gene). Sets with fewer members among the measured genes than `least_members` drop out. Every cell meets every set; no overlap gives 0.
-    The tail is summed once for each (members, overlap) that occurs.
+    sets: (geneset, gene). Without `top`, 5 % of the measured genes are drawn, rounded up; a cell with fewer entries draws those. The background has at least
+    the measured genes. Sets with fewer members among these than `least_members` drop out. Every cell meets every set; no overlap gives 0.
+    The tail is summed once for each (members, drawn, overlap) that occurs: outwards from its largest term, so that neither tiny nor many terms are lost.
     """
     spark = entries.sparkSession
+    measured = stage(entries.select("gene").distinct())
+    n = measured.count()
+    top, background = math.ceil(n / 20) if top is None else top, max(background, n)
     best = Window.partitionBy("cell").orderBy(F.desc("value"), "gene")
     tops = entries.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= top).select("cell", "gene")
     tops = stage(tops)
-    measured = entries.select("gene").distinct()
     members = stage(sets.select("geneset", "gene").distinct().join(measured, "gene", "left_semi"))
     sizes = members.groupBy("geneset").agg(F.count("*").alias("members")).filter(F.col("members") >= least_members)
     drawn = tops.groupBy("cell").agg(F.count("*").alias("drawn"))
@@ -189,16 +194,27 @@ def over_representation(entries: DataFrame, sets: DataFrame, top: int, backgroun
     grid = drawn.crossJoin(sizes).join(met, ["cell", "geneset"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
     grid = stage(grid)
     lf = stage(_log_factorials(spark, background))
-    cases = grid.select("members", "drawn", "overlap").distinct().filter("overlap > 0")
-    terms = cases.withColumn("k", F.explode(F.sequence("overlap", F.least("members", "drawn"))))
-    look = lambda df, n, name: df.join(lf.select(F.col("k").alias("_key"), F.col("lf").alias(name)), n == F.col("_key")).drop("_key")
     m, d, k = F.col("members"), F.col("drawn"), F.col("k")
-    for n, name in ((m, "a"), (k, "b"), (m - k, "c"), (background - m, "d1"), (d - k, "e"), (background - m - d + k, "f"), (F.lit(background), "g"), (d, "h"), (background - d, "i")):
-        terms = look(terms, n, name)
-    p = F.exp(F.col("a") - F.col("b") - F.col("c") + F.col("d1") - F.col("e") - F.col("f") - F.col("g") + F.col("h") + F.col("i"))
-    tails = terms.groupBy("members", "drawn", "overlap").agg(F.sum(p).alias("p"))
+    rest = background - m - d
+    most = F.least(m, d)
+    mode = F.floor((m + 1) * (d + 1) / F.lit(background + 2.0))
+    cases = grid.select("members", "drawn", "overlap").distinct().filter("overlap > 0").withColumn("k", F.greatest("overlap", F.least(mode, most)))
+    look = lambda df, n, name: df.join(lf.select(F.col("k").alias("_key"), F.col("lf").alias(name)), n == F.col("_key")).drop("_key")
+    for n, name in ((m, "a"), (k, "b"), (m - k, "c"), (background - m, "d1"), (d - k, "e"), (rest + k, "f"), (F.lit(background), "g"), (d, "h"), (background - d, "i")):
+        cases = look(cases, n, name)
+    largest = F.col("a") - F.col("b") - F.col("c") + F.col("d1") - F.col("e") - F.col("f") - F.col("g") + F.col("h") + F.col("i")
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("s"))
+
+    def outwards(first: Column, last: Column, ratio) -> Column:
+        """Sum of the terms beside the largest, as multiples of it: each is the one before it times ratio(step)."""
+        step = lambda s, x: F.struct((s["p"] * ratio(x)).alias("p"), (s["s"] + s["p"] * ratio(x)).alias("s"))
+        return F.when(first <= last, F.aggregate(F.sequence(first, F.greatest(first, last)), start, step, lambda s: s["s"])).otherwise(0.0)
+
+    up = outwards(k + 1, most, lambda x: (m - x + 1) * (d - x + 1) / (x * (rest + x)).cast("double"))
+    down = outwards(F.lit(1), k - F.col("overlap"), lambda x: (k - x + 1) * (rest + k - x + 1) / ((m - k + x) * (d - k + x)).cast("double"))
+    tails = cases.select("members", "drawn", "overlap", ((largest + F.log(1 + up + down)) / -math.log(10)).alias("tail"))
     scored = grid.join(tails, ["members", "drawn", "overlap"], "left")
-    return scored.select("cell", "geneset", "overlap", F.when(F.col("p").isNull(), 0.0).otherwise(-F.log10("p") + F.lit(0.0)).alias("score"))
+    return scored.select("cell", "geneset", "overlap", F.when(F.col("overlap") == 0, 0.0).otherwise(F.greatest("tail", F.lit(0.0))).alias("score"))
 
 
 def linear_scores(entries: DataFrame, network: DataFrame, genes: int, least_targets: int = 5) -> DataFrame:

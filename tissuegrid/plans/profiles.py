@@ -96,7 +96,7 @@ def _part_sets(spark, folder) -> DataFrame:
 
 
 def ora_scores(spark, folder):
-    return _r(analysis.over_representation(_counts(spark, folder), _part_sets(spark, folder), 50, 20_000).select("cell", "geneset", "overlap", "score"), "score", places=4)
+    return _r(analysis.over_representation(_counts(spark, folder), _part_sets(spark, folder)).select("cell", "geneset", "overlap", "score"), "score", places=4)
 
 
 def ulm_scores(spark, folder):
