@@ -67,3 +67,17 @@ def test_ora_draws_a_share_of_the_genes(spark, tables):
     stored = {r.cell: r["count"] for r in counts.groupBy("cell").count().collect()}
     got = registry.QUERIES["ora_scores"](spark, tables).groupBy("cell").agg(F.sum("overlap").alias("o"), F.count_if(F.col("score").isNull()).alias("n")).collect()
     assert {r.cell for r in got} == set(stored) and all(r.o <= min(top, stored[r.cell]) and r.n == 0 for r in got)
+
+
+def test_every_cell_is_painted(spark, tables):
+    cells = parts.features(spark, tables)
+    got = registry.QUERIES["paint_mask"](spark, tables)
+    painted = {r.value for r in got.select("value").distinct().collect()}
+    centred = registry.QUERIES["mask_centroids"](spark, tables).select(F.col("label").alias("cell"))
+    assert painted == {r.expr_pc1 for r in cells.join(centred, "cell").select("expr_pc1").distinct().collect()} and min(painted) < 0
+
+
+def test_cells_of_any_positive_total_stay(spark, tables):
+    cells = parts.features(spark, tables)
+    want = cells.filter(" or ".join(f"{c} > 0" for c in parts.GENES)).select("cell")
+    assert {r.cell for r in registry.QUERIES["filter_zero_cells"](spark, tables).collect()} == {r.cell for r in want.collect()}

@@ -181,9 +181,9 @@ def distance_pairs(spark, folder):
 
 
 def filter_zero_cells(spark, folder):
-    """Cells whose positive components sum to more than 2, and components without underscore in their cleaned name."""
+    """Cells whose positive components sum to more than 0."""
     genes = parts.genes(stage(parts.features(spark, folder))).filter("value > 0")
-    return genes.groupBy("cell").agg(F.sum("value").alias("total")).filter("total > 2").select("cell")
+    return genes.groupBy("cell").agg(F.sum("value").alias("total")).filter("total > 0").select("cell")
 
 
 def key_clean(spark, folder):
@@ -231,7 +231,7 @@ def patch_entropy(spark, folder):
 
 
 def paint_mask(spark, folder):
-    values = parts.features(spark, folder).select("sample_id", F.col("cell").alias("label"), F.col("expr_pc1").alias("value")).filter("value > 0")
+    values = parts.features(spark, folder).select("sample_id", F.col("cell").alias("label"), F.col("expr_pc1").alias("value"))
     return images.painted(_pixels(spark, folder), values, ["sample_id"])
 
 
