@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tissuegrid.operators import analysis, labels, simulate
-from tissuegrid.plans import parts, registry
+from tissuegrid.params import Params
+from tissuegrid.plans import inference, parts, registry
 
 
 def test_one_hot_keeps_every_label(spark, tables):
@@ -81,3 +82,10 @@ def test_cells_of_any_positive_total_stay(spark, tables):
     cells = parts.features(spark, tables)
     want = cells.filter(" or ".join(f"{c} > 0" for c in parts.GENES)).select("cell")
     assert {r.cell for r in registry.QUERIES["filter_zero_cells"](spark, tables).collect()} == {r.cell for r in want.collect()}
+
+
+def test_inference_runs_all_iterations(spark, tables, monkeypatch):
+    run = []
+    monkeypatch.setattr(inference.Inference, "predict", lambda self: run.append(self.params) or {20: "last"})
+    assert registry.QUERIES["infer_expression"](spark, tables) == "last"
+    assert run == [Params()] and run[0].run.n_iter == 20

@@ -12,13 +12,14 @@ from tissuegrid.plans import parts
 
 
 def infer_expression(spark: SparkSession, folder: str) -> DataFrame:
-    """Spot means of the components given back to cells and diffused twice over the cell graph."""
+    """Spot means of the components given back to cells and diffused over the cell graph for the default number of iterations."""
     cells = stage(parts.features(spark, folder))
     spots = parts.spots(cells)
     expression = stage(labels.to_spots(parts.genes(cells), parts.spots_of(cells)))
     rows = cells.select("cell", "x", "y", "sample_id", *parts.MORPH)
-    run = Inference(rows, spots, expression, parts.MORPH, parts.PITCH, ["sample_id"], Params().changed(n_iter=2, write_freq=2))
-    return run.predict()[2]
+    params = Params()
+    run = Inference(rows, spots, expression, parts.MORPH, parts.PITCH, ["sample_id"], params)
+    return run.predict()[params.run.n_iter]
 
 
 QUERIES = {"infer_expression": infer_expression}
