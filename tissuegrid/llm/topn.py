@@ -31,8 +31,8 @@ def _next_slot():
     share = (F.col("s") / 2 - F.col("s_min") / 2) / (F.col("s_max") / 2 - F.col("s_min") / 2)
     share = F.when(F.col("s") == F.col("s_max"), F.lit(1.0)).otherwise(share)  # also for infinite scores
     by_score = F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * FANOUT)
-    width = F.col("i_max").cast("double") - F.col("i_min").cast("double") + 1
-    by_id = -F.floor((F.col("i").cast("double") - F.col("i_min").cast("double")) / width * FANOUT)
+    past = lambda c: (F.col(c).cast("decimal(20,0)") - F.col("i_min").cast("decimal(20,0)")).cast("double")  # noqa: E731  exact before it is a double
+    by_id = -F.floor(past("i") / (past("i_max") + 1) * FANOUT)
     return F.when(F.col("s_min") < F.col("s_max"), by_score).otherwise(by_id).cast("long")
 
 
