@@ -96,6 +96,67 @@ def test_diffusion_keeps_range_and_spread(spark, line):
     assert min(kept) == pytest.approx(1) and max(kept) == pytest.approx(9)
 
 
+def test_two_iterations_by_formula(spark):
+    """Two cells swap halves: worked out by hand from S' = T S and the alignment with the iteration before (up to 10 cells: ranges are the extremes).
+
+    S = (0, 4, 8); T S = (2, 4, 7). Scaled: (-1, -0.2, 1) and (-1, 0, 1); targets (-1, -0.1, 1) in [0, 8] give (0, 3.6, 8).
+    T of that = (1.8, 3.6, 6.9). Scaled: 2 * 1.8 / 5.1 - 1 = -0.294118; the iteration before scaled has -0.1 there, the first one 0.
+    Target (-0.294118 - 0.1) / 2 = -0.197059, in [0, 8]: 3.211765. Against the first iteration it would be 3.411765.
+    """
+    s = long(spark, {"g": (0, 4, 8)})
+    t = spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.5), (1, 1, 1.0), (2, 2, 0.75), (2, 1, 0.25)], "dst long, src long, t double")
+    got = diffusion.diffuse(s, t, 2, [1, 2])
+    one, two = (entries(got[k], "cell", "gene", "value") for k in (1, 2))
+    assert [one[k, "g"] for k in range(3)] == pytest.approx([0, 3.6, 8])
+    assert [two[k, "g"] for k in range(3)] == pytest.approx([0, 3.2117647, 8], abs=1e-6)
+
+
+@pytest.mark.parametrize("chunk, row, edges, width", [(262_144, 200_000, 40_000, 128), (16, 200_000, 40, 2), (16, 20, 40, 2)])
+def test_diffusion_equals_matrices(spark, monkeypatch, chunk, row, edges, width):
+    """Also where genes are ranked in several buckets, tiles are small, and rows of many edges are cut."""
+    import numpy as np
+
+    from tissuegrid.operators import blocks
+
+    for name, v in (("CHUNK", chunk), ("ROW", row), ("EDGES", edges), ("WIDTH", width)):
+        monkeypatch.setattr(blocks, name, v)
+    r, n, genes = np.random.RandomState(3), 60, 3
+    s = np.where(r.rand(n, genes) < 0.4, 0, np.round(r.gamma(2, 2, (n, genes)), 1))
+    s[:, 0] = 3
+    t = np.zeros((n, n))
+    for i in range(n):
+        j = r.choice(n, n if i == 0 else 4, replace=False)
+        t[i, j] = r.rand(len(j))
+    t /= t.sum(axis=1, keepdims=True)
+
+    def aligned(new, ref):
+        out = np.empty_like(new)
+        for g in range(genes):
+            (al, au), (bl, bu) = (np.quantile(x[:, g], (5 / n, 1 - 5 / n)) for x in (new, ref))
+            scale = lambda v, lo, hi: v - hi if lo == hi else (v - lo) / (hi - lo) * 2 - 1
+            x, y = scale(new[:, g], al, au), np.sort(scale(ref[:, g], bl, bu))
+            goal = (np.sort(x) + y) / 2
+            out[:, g] = [0.5 * (goal[np.sort(x) == v].mean() + 1) * (bu - bl) + bl for v in x]
+        return out
+
+    want = s
+    for _ in range(2):
+        want = aligned(t @ want, want)
+    stored = spark.createDataFrame([(i, f"g{g}", float(s[i, g])) for i in range(n) for g in range(genes) if s[i, g]], "cell long, gene string, value double")
+    table = spark.createDataFrame([(int(i), int(j), float(t[i, j])) for i, j in zip(*np.nonzero(t))], "dst long, src long, t double")
+    got = entries(diffusion.diffuse(stored, table, 2)[2], "cell", "gene", "value")
+    assert len(got) == n * genes and max(abs(v - want[c, int(g[1:])]) for (c, g), v in got.items()) < 1e-9
+
+
+def test_diffusion_of_nothing(spark):
+    none, table = long(spark, {"g": (1,)}).limit(0), spark.createDataFrame([(0, 0, 1.0)], "dst long, src long, t double")
+    assert diffusion.diffuse(none, table, 2)[2].count() == 0 and diffusion.diffuse(long(spark, {"g": (1,)}), table.limit(0), 2)[2].count() == 0
+    assert diffusion.stabilize(none, none).count() == 0
+    holes = spark.createDataFrame([(0, "g", None), (1, "g", float("nan")), (2, "g", 4.0)], "cell long, gene string, value double")
+    got = entries(diffusion.diffuse(holes, spark.createDataFrame([(k, k, 1.0) for k in range(3)], "dst long, src long, t double"), 1)[1], "cell", "gene", "value")
+    assert got == {(0, "g"): 0, (1, "g"): 0, (2, "g"): 4}
+
+
 def test_frames():
     assert diffusion.frames_to_write(20, 10) == [10, 20] and diffusion.frames_to_write(15, 10) == [10] and diffusion.frames_to_write(5, 10) == []
 

@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
         context = spark.sparkContext
         folder = getattr(context, "_tissuegrid_shared", None)
         if folder is None:
-            if not context.master.startswith("local["):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = context._tissuegrid_shared = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return folder.rstrip("/")
@@ -49,15 +49,29 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     spark.sparkContext.__dict__.setdefault("_tissuegrid_stages", []).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.__dict__["_tissuegrid_stage"] = path
+    return staged
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables that `stage` gave, once all that is made from them is written. Other frames are left alone."""
+    for df in staged:
+        path = df.__dict__.pop("_tissuegrid_stage", None)
+        if path:
+            df.sparkSession.sparkContext.__dict__["_tissuegrid_stages"].remove(path)
+            _delete(df.sparkSession, path)
 
 
 def clear_stages(spark: SparkSession) -> None:
     """Delete the tables that `stage` wrote in this session; results that are still to be computed from them become unreadable."""
-    context = spark.sparkContext
-    for path in context.__dict__.pop("_tissuegrid_stages", []):
-        folder = context._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    for path in spark.sparkContext.__dict__.pop("_tissuegrid_stages", []):
+        _delete(spark, path)
 
 
 def union(frames: list[DataFrame]) -> DataFrame:

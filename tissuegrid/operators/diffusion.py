@@ -5,69 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tissuegrid.common import ordinals, stage, with_groups
-from tissuegrid.operators.matrix import robust_restored, robust_scaled
-
-
-def dense(entries: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
-    """Every (cell, gene) with a value, 0 where there was none. Genes are few beside cells, and are broadcast where their size allows it."""
-    return cells.select("cell").crossJoin(genes.select("gene")).join(entries, ["cell", "gene"], "left").select("cell", "gene", F.coalesce("value", F.lit(0.0)).alias("value"))
+from tissuegrid.common import discard, stage, with_groups
+from tissuegrid.operators import blocks
 
 
 def step(entries: DataFrame, transition: DataFrame) -> DataFrame:
-    """One product of the transition table with the entries."""
+    """One product of the transition table with stored entries. For many products use `diffuse`, which moves blocks of genes."""
     met = transition.join(entries.withColumnRenamed("cell", "src"), "src")
     return met.groupBy(F.col("dst").alias("cell"), "gene").agg(F.sum(F.col("t") * F.col("value")).alias("value"))
 
 
-def _quantile(rank: str, value: str, q: Column) -> list[Column]:
-    """Order statistics beside the position q (n - 1), picked by rank."""
-    at = q * (F.col("_n") - 1)
-    return [F.max(F.when(F.col(rank) == f(at), F.col(value))) for f in (F.floor, F.ceil)]
-
-
-def _ranges(ranked: DataFrame, names: tuple[str, str]) -> DataFrame:
-    """Per gene the quantiles 5 / n and 1 - 5 / n, or the extremes of up to 10 rows."""
-    q = F.when(F.col("_n") > 10, 5 / F.col("_n")).otherwise(0.0)
-    counted = with_groups(ranked, ["gene"], F.count("*").alias("_n"))
-    (l0, l1), (h0, h1) = _quantile("r", "value", q), _quantile("r", "value", 1 - q)
-    got = counted.groupBy("gene", "_n").agg(l0.alias("l0"), l1.alias("l1"), h0.alias("h0"), h1.alias("h1"))
-    part = lambda q: q * (F.col("_n") - 1) - F.floor(q * (F.col("_n") - 1))
-    return got.select("gene", (F.col("l0") + (F.col("l1") - F.col("l0")) * part(q)).alias(names[0]), (F.col("h0") + (F.col("h1") - F.col("h0")) * part(1 - q)).alias(names[1]))
-
-
 def stabilize(new: DataFrame, reference: DataFrame) -> DataFrame:
     """Give each gene of `new` the spread of `reference`: both are scaled by their quantile ranges, values of one rank are averaged, and the result
-    is put back into the reference's range. Ranks stay; tied values get the mean of their targets. Both must have the same cells and genes.
+    is put back into the reference's range. Ranks stay; tied values get the mean of their targets. Both must have the same cells and genes; an absent entry is 0.
 
-    A gene whose range is empty in the reference becomes that one value.
+    The range is from the quantile 5 / n to 1 - 5 / n over n cells, or the extremes of up to 10 cells. A gene whose range is empty in the reference becomes
+    that one value. Without cells or genes the result is empty.
     """
-    a = ordinals(new.select("cell", "gene", "value"), ["gene"], ["value", "cell"], "r")
-    b = ordinals(reference.select("cell", "gene", "value"), ["gene"], ["value", "cell"], "r")
-    ra, rb = _ranges(a, ("al", "au")), _ranges(b, ("bl", "bu"))
-    sorted_b = b.join(rb, "gene").select("gene", "r", robust_scaled(F.col("value"), F.col("bl"), F.col("bu")).alias("y"), "bl", "bu")
-    met = a.join(ra, "gene").withColumn("x", robust_scaled(F.col("value"), F.col("al"), F.col("au"))).join(sorted_b, ["gene", "r"])
-    met = stage(met.withColumn("target", (F.col("x") + F.col("y")) / 2).select("cell", "gene", "value", "target", "bl", "bu"))
-    tied = with_groups(met, ["gene", "value"], F.avg("target").alias("_mean"))
-    return tied.select("cell", "gene", robust_restored(F.col("_mean"), F.col("bl"), F.col("bu")).alias("value"))
-
-
-def diffuse(entries: DataFrame, transition: DataFrame, iterations: int, frames: list[int] = [], stabilized: bool = True, spot_of: DataFrame | None = None, keep: float = 0.8) -> dict[int, DataFrame]:  # noqa: B006
-    """Iterate `step` and `stabilize` against the entries; the frames asked for (the last if none) by iteration.
-
-    spot_of: (cell, spot); then the last iteration is rescaled towards the first one's spot means. Every iteration is written to the shared
-    folder, so that plans stay short and a lost executor costs one iteration.
+    genes, n_genes = blocks.genes_of(reference)
+    tiles = blocks.tiles_of(reference.select("cell"))
+    if not n_genes or not tiles.n:
+        return reference.limit(0).select("cell", "gene", F.col("value").cast("double").alias("value"))
+    a, b = (stage(blocks.runs_of(x, genes, n_genes, tiles)) for x in (new, reference))
+    done = blocks.aligned(a, blocks.sorted_runs(b, tiles.n), tiles.n)
+    return blocks.entries_of(blocks.packed(a, blocks.targets(done), tiles, n_genes), genes)
+
+
+def diffuse(entries: DataFrame, transition: DataFrame, iterations: int, frames: list[int] = [], stabilized: bool = True, spot_of: DataFrame | None = None, keep: float = 0.8, near: DataFrame | None = None) -> dict[int, DataFrame]:  # noqa: B006
+    """Iterate the product with the transition table; each result is stabilised against the iteration before. Frames asked for (the last if none) by
+    iteration, as entries of every row of the table and every gene, zeros included.
+
+    entries: (cell, gene, value), absent ones being 0; cells that are no row of the table drop out. spot_of: (cell, spot); then the last iteration is
+    rescaled towards the first one's spot means. near: (cell, keys...) that put related cells together (see `blocks.tiles_of`). Every iteration is
+    written to the shared folder, so that plans stay short and a lost executor costs one iteration, and the one before is deleted.
     """
-    start, transition = stage(entries), stage(transition)
-    current, first, out = start, None, {}
+    transition = stage(transition)
+    genes, n_genes = blocks.genes_of(entries)
+    tiles = blocks.tiles_of(entries, near, transition)
+    wanted = set(frames or [iterations])
+    if not n_genes or not tiles.n:
+        return {k: entries.limit(0).select("cell", "gene", F.col("value").cast("double").alias("value")) for k in wanted}
+    runs = stage(blocks.runs_of(entries, genes, n_genes, tiles))
+    goal = blocks.aligned_start(runs, tiles.n) if stabilized else None
+    first, out = None, {}
     for k in range(1, iterations + 1):
-        current = step(current, transition)
-        current = stage(stabilize(stage(current), start) if stabilized else current)
-        first = first or current
-        if k == iterations and spot_of is not None:
-            current = stage(rescale_mean(current, first, spot_of, keep))
-        if k in (frames or [iterations]):
-            out[k] = current
+        source = blocks.packed(runs, blocks.targets(goal) if goal is not None and k > 1 else None, tiles, n_genes)
+        after = stage(blocks.multiplied(source, tiles, n_genes))
+        reached = blocks.aligned(after, blocks.order(goal), tiles.n) if stabilized else None
+        if goal is not None:
+            discard(goal)
+        discard(runs)
+        runs, goal = after, reached
+        if k in wanted or (spot_of is not None and k in (1, iterations)):
+            rows = stage(blocks.packed(runs, blocks.targets(goal) if stabilized else None, tiles, n_genes))
+            first = rows if k == 1 else first
+            values = blocks.entries_of(rows, genes)
+            if k == iterations and spot_of is not None:
+                values = stage(rescale_mean(values, blocks.entries_of(first, genes), spot_of, keep))
+            if k in wanted:
+                out[k] = values
+    discard(runs, *([goal] if goal is not None else []), tiles.edges, tiles.links, transition)
     return out
 
 

@@ -38,9 +38,8 @@ class Inference:
         return stage(labels.shared_back(placed, labels.variation(placed, ["spot"], self.features), ["spot"]))
 
     def input(self, placed: DataFrame) -> DataFrame:
-        """Every cell with its spot's expression, without gaps."""
-        entries = labels.to_cells(self.expression, placed.select("cell", "spot"))
-        return stage(diffusion.dense(entries, placed, self.expression.select("gene").distinct()))
+        """Every cell with its spot's expression; zeros are absent."""
+        return stage(labels.to_cells(self.expression, placed.select("cell", "spot")))
 
     def space(self, placed: DataFrame, transcriptome: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
         """Columns whose distances make the graph: position, features and, if given, components (cell, pc1, ...), each block of columns over the root of its number."""

@@ -122,7 +122,7 @@ def quantile_align(spark, folder):
 
 def diffuse_stabilized_3(spark, folder):
     cells = _cells(spark, folder)
-    return _r(diffusion.diffuse(parts.genes(cells), _transition(cells), 3)[3], "value", places=4)
+    return _r(diffusion.diffuse(parts.genes(cells), _transition(cells), 3, near=cells.select("cell", "sample_id"))[3], "value", places=4)
 
 
 def rescale_mean(spark, folder):
@@ -169,8 +169,8 @@ _RADIUS = "SELECT a.cell AS i, b.cell AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y)
 _STEP = "SELECT dst AS cell, gene, sum(t * value) AS value FROM transition JOIN {0} s ON s.cell = src GROUP BY 1, 2"
 
 
-def _stabilize(new: str, out: str) -> dict[str, str]:
-    """Parts that stabilise `new` against the genes."""
+def _stabilize(new: str, out: str, ref: str) -> dict[str, str]:
+    """Parts that stabilise `new` against `ref`, the iteration before."""
     q = "CASE WHEN count(*) > 10 THEN 5.0 / count(*) ELSE 0 END"
     ranked = "SELECT *, row_number() OVER (PARTITION BY gene ORDER BY value, cell) AS r FROM {0}"
 
@@ -182,14 +182,14 @@ def _stabilize(new: str, out: str) -> dict[str, str]:
     scaled = "CASE WHEN {0}l = {0}u THEN value - {0}u ELSE (value - {0}l) / ({0}u - {0}l) * 2 - 1 END"
     return {
         f"{out}_a": f"SELECT gene, {quantile(new, False)} AS al, {quantile(new, True)} AS au FROM {new} GROUP BY gene",
-        f"{out}_b": f"SELECT gene, {quantile('genes', False)} AS bl, {quantile('genes', True)} AS bu FROM genes GROUP BY gene",
+        f"{out}_b": f"SELECT gene, {quantile(ref, False)} AS bl, {quantile(ref, True)} AS bu FROM {ref} GROUP BY gene",
         f"{out}_x": f"SELECT cell, gene, r, value, {scaled.format('a')} AS x FROM ({ranked.format(new)}) JOIN {out}_a USING (gene)",
-        f"{out}_y": f"SELECT gene, r, {scaled.format('b')} AS y, bl, bu FROM ({ranked.format('genes')}) JOIN {out}_b USING (gene)",
+        f"{out}_y": f"SELECT gene, r, {scaled.format('b')} AS y, bl, bu FROM ({ranked.format(ref)}) JOIN {out}_b USING (gene)",
         out: f"SELECT cell, gene, 0.5 * (avg((x + y) / 2) OVER (PARTITION BY gene, value) + 1) * (bu - bl) + bl AS value FROM {out}_x JOIN {out}_y USING (gene, r)",
     }
 
 
-_THREE = {"s1": _STEP.format("genes")} | _stabilize("s1", "d1") | {"s2": _STEP.format("d1")} | _stabilize("s2", "d2") | {"s3": _STEP.format("d2")} | _stabilize("s3", "d3")
+_THREE = {"s1": _STEP.format("genes")} | _stabilize("s1", "d1", "genes") | {"s2": _STEP.format("d1")} | _stabilize("s2", "d2", "d1") | {"s3": _STEP.format("d2")} | _stabilize("s3", "d3", "d2")
 _SMOOTH = "SELECT i AS cell, gene, round(avg(value), {1}) + 0.0 AS value FROM (SELECT i, j FROM {0} UNION ALL SELECT cell, cell FROM features) JOIN genes ON genes.cell = j GROUP BY 1, 2"
 
 SQL = {
