@@ -105,10 +105,14 @@ class Exact:
     """Compares each query with all vectors of the shard, as they are: nothing is built beforehand.
 
     A kernel that builds something has `rows(table, width)`, which gets the rows (shard, node, block, v) of a shard and gives rows of its `schema`.
+    `seconds` is about what a row costs in a shard of the size.
     """
 
     schema = None
 
+    def seconds(self, size: int) -> float:
+        return 5e-8 * size
+
     def search(self, index: pa.Table, asked: np.ndarray, block: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of the query, node, squared distance); the query's own node is left out."""
         index = index.sort_by("node")
@@ -153,14 +157,14 @@ def _visited(frame: DataFrame, tree: Tree, width: int, limit: float, first: bool
     return frame.mapInArrow(run, "shard int, query long, block long, v array<double>")
 
 
-def _tasks(spark, tree: Tree) -> int:
-    """A shard is little data but much work, so shards are not put together by their bytes."""
-    return max(spark.sparkContext.defaultParallelism, min(3 * tree.leaves, 20_000))  # so that few tasks get two shards
+def _tasks(spark, leaves: int, rows: int, shards: Shards, kernel) -> int:
+    """A shard is little data but much work, so shards are put together by work, not by their bytes: a task gets one shard, or some seconds of smaller work."""
+    by_work = int(rows * kernel.seconds(shards.size) / 2)
+    return max(spark.sparkContext.defaultParallelism, min(3 * leaves, by_work, 20_000))  # three for a shard, so that few tasks get two long ones
 
 
 def _search(index: DataFrame, queries: DataFrame, shards: Shards, width: int, k: int, limit: float, kernel, tasks: int) -> DataFrame:
-    """Queries of a shard are cut into chunks, so that no task gets more than about shards.chunk of them; the shard goes to each chunk."""
-    queries = stage(queries)
+    """Queries (a staged table) of a shard are cut into chunks, so that no task gets more than about shards.chunk of them; the shard goes to each chunk."""
     if queries.isEmpty():
         return queries.sparkSession.createDataFrame([], HIT)
     chunks = queries.groupBy("shard").agg(F.ceil(F.count("*") / shards.chunk).cast("int").alias("chunks"))
@@ -204,7 +208,8 @@ def nearest(df: DataFrame, id: str, dimensions: list[Column | str], k: int, bloc
     low = rows.withColumn("o", F.row_number().over(Window.partitionBy("block", *names).orderBy("id"))).filter(F.col("o") <= k + 1)
     heads = low.groupBy("block", *names).agg(F.sort_array(F.collect_list("id")).alias("ids"))
     heads = stage(heads.select(F.col("ids")[0].alias("node"), "block", vector.alias("v"), "ids"))
-    members = stage(rows.filter("asked").select("id", "block", vector.alias("v")).join(heads.select("block", "v", "node"), ["block", "v"]).select("id", "node"))
+    members = rows.filter("asked").select("id", "block", vector.alias("v")).join(heads.select("block", "v", "node"), ["block", "v"]).select("id", "node")
+    members = members if queries is None else stage(members)
     n = heads.count()
     if n == 0:
         return spark.createDataFrame([], "query long, neighbour long, distance double, rank int")
@@ -214,21 +219,24 @@ def nearest(df: DataFrame, id: str, dimensions: list[Column | str], k: int, bloc
     tree = Tree(matrix(sample["v"], width), leaves)
 
     as_query = heads.select(F.col("node").alias("query"), "block", "v")
-    placed = _visited(as_query, tree, width, 0.0, True).withColumnRenamed("query", "node")
-    index = placed
+    tasks = _tasks(spark, tree.leaves, n, shards, kernel)
+    placed = stage(_visited(as_query, tree, width, 0.0, True))
+    index = placed.select(F.col("shard").alias("shard"), F.col("query").alias("node"), F.col("block").alias("block"), F.col("v").alias("v"))
     if kernel.schema:
-        index = stage(placed.repartition(_tasks(spark, tree), "shard").groupBy("shard").applyInArrow(lambda t: kernel.rows(t, width), kernel.schema))
+        index = stage(index.repartition(tasks, "shard").groupBy("shard").applyInArrow(lambda t: kernel.rows(t, width), kernel.schema))
     asked = as_query
     if queries is not None:
-        asked = asked.join(members.select(F.col("node").alias("query")).distinct(), "query", "left_semi")
+        some = members.select(F.col("node").alias("query")).distinct()
+        asked, placed = asked.join(some, "query", "left_semi"), stage(placed.join(some, "query", "left_semi"))
     endless = limit is None
-    hits = _search(index, _visited(asked, tree, width, 0.0 if endless else limit, True), shards, width, k, FAR if endless else limit, kernel, _tasks(spark, tree))
+    first = placed if endless else stage(_visited(asked, tree, width, limit, True))
+    hits = _search(index, first, shards, width, k, FAR if endless else limit, kernel, tasks)
     best = Window.partitionBy("query").orderBy("d2", "node")
     if endless and tree.leaves > 1:
         found = hits.withColumn("o", F.row_number().over(best)).filter(F.col("o") <= k).groupBy("query").agg(F.max("d2").alias("d2"), F.count("*").alias("n"))
         radius = F.when(F.col("n") == k, F.sqrt("d2") * (1 + 1e-12) + 1e-300)  # with fewer than k found, look everywhere
         known = asked.join(found.select("query", radius.alias("r")), "query", "left").withColumn("r", F.coalesce("r", F.lit(FAR)))
-        hits = hits.unionByName(_search(index, _visited(known, tree, width, 0.0, False), shards, width, k, FAR, kernel, _tasks(spark, tree)))
+        hits = hits.unionByName(_search(index, stage(_visited(known, tree, width, 0.0, False)), shards, width, k, FAR, kernel, tasks))
     hits = hits.withColumn("o", F.row_number().over(best)).filter(F.col("o") <= k)
     # From nodes to rows: the candidates of a node are its own smallest ids and those of its neighbours.
     near = hits.join(heads.select("node", "ids"), "node").select(F.col("query").alias("node"), "d2", "ids")
