@@ -40,15 +40,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back.
+def stage(df: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Write a table to the shared folder, in folders of the values of `by`, and read it back.
 
     This cuts the lineage, survives the loss of executors, and lets the planner see the true size of what follows.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     spark.sparkContext.__dict__.setdefault("_tissuegrid_stages", []).append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.__dict__["_tissuegrid_stage"] = path
     return staged
