@@ -41,17 +41,15 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, max_passes:
 
     group: any orderable column; rows with a null group don't count. item: a long that names the row within its group.
     Null and NaN scores don't count; infinite ones do. Repeated rows count once; an item that has several scores in a group counts
-    once for each. A group with `n` rows or fewer is returned whole. Other columns are ignored. An empty table gives an empty result.
+    once for each. Scores and identifiers of any size are told apart exactly. A group with `n` rows or fewer is returned whole. Other columns are ignored. An empty table gives an empty result.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
     names = [group, item, score]
     rows = df.select(F.col(group).alias("g"), F.col(item).cast("long").alias("i"), F.col(score).cast("double").alias("s"))
     rows = rows.filter(F.col("g").isNotNull() & F.col("i").isNotNull() & usable("s")).withColumn("s", F.col("s") + F.lit(0.0))
-    # One shuffle by group and a salt removes repeated rows and puts each group into a few partitions for counting.
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(16)))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    active = stage(salted.repartition(parts, "g", "salt").dropDuplicates(["g", "salt", "i", "s"]).drop("salt"))
+    # Repeated rows are removed by all columns, which spreads every group over all tasks; counts are combined before they are shuffled.
+    active = stage(rows.distinct())
     active, kept, first = active.withColumn("need", F.lit(n).cast("long")), [], True
     for _ in range(max_passes):
         slotted = active.withColumn("slot", _first_slot() if first else _next_slot())
@@ -80,7 +78,7 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, max_passes:
         active, first = done.filter("open").drop("open"), False
         if active.isEmpty():
             return union(kept).toDF(*names)
-    raise RuntimeError("the cutoffs did not settle")  # cannot happen: every pass splits the smallest from the largest code
+    raise RuntimeError("the cutoffs did not settle")  # every pass parts the smallest code from the largest, and most passes divide an interval by 1,024
 
 
 def ranked(top: DataFrame, group: str, item: str, score: str, rank: str = "rank") -> DataFrame:
