@@ -3,6 +3,7 @@ import random
 
 from tissuegrid.llm.spectral import Spectral, clusters, describe
 
+XY = {"x": "x", "y": "y"}
 SCHEMA = "id long, s string, x double, y double, n int, node long"
 
 
@@ -36,15 +37,13 @@ def grouped(df):
 def test_groups_apart(spark):
     rows, groups = sample()
     df = spark.createDataFrame(rows, SCHEMA)
-    assert grouped(clusters(df, "id", ["s"], "x", "y", Spectral(3.0), apart=True)) == set(groups)
-    # The spectral part finds them without the exact check too.
-    assert grouped(clusters(df, "id", ["s"], "x", "y", Spectral(3.0))) == set(groups)
+    assert grouped(clusters(df, "id", ["s"], XY, Spectral(3.0))) == set(groups)
 
 
 def test_typical_members(spark):
     rows, groups = sample()
     df = spark.createDataFrame(rows, SCHEMA)
-    told = describe(clusters(df, "id", ["s"], "x", "y", Spectral(3.0)), "id", ["s"], 3.0, 3).collect()
+    told = describe(clusters(df, "id", ["s"], XY, Spectral(3.0)), "id", ["s"], ["x", "y"], 3.0, 3).collect()
     at = {r[0]: r[2:4] for r in rows if r[0]}
     assert len(told) == len(groups)
     for r in told:
@@ -57,12 +56,36 @@ def test_typical_members(spark):
 
 def test_equal_points_and_empty(spark):
     df = spark.createDataFrame([(k, "p", 1.0, 1.0, 1, 1) for k in range(500)], SCHEMA)
-    assert grouped(clusters(df, "id", ["s"], "x", "y")) == {frozenset(range(500))}
-    assert clusters(df.limit(0), "id", ["s"], "x", "y", apart=True).count() == 0
-    assert describe(clusters(df.limit(0), "id", ["s"], "x", "y"), "id", ["s"], 3.0).count() == 0
+    assert grouped(clusters(df, "id", ["s"], XY)) == {frozenset(range(500))}
+    assert clusters(df.limit(0), "id", ["s"], XY).count() == 0
+    assert describe(clusters(df.limit(0), "id", ["s"], XY), "id", ["s"], ["x", "y"], 3.0).count() == 0
 
 
 def test_chain_is_divided_not_lost(spark):
     df = spark.createDataFrame([(k, "p", k * 1.0, 0.0, 1, 1) for k in range(200)], SCHEMA)
-    found = grouped(clusters(df, "id", ["s"], "x", "y"))
+    found = grouped(clusters(df, "id", ["s"], XY))
     assert sum(map(len, found)) == 200 and len(found) > 1
+
+
+def test_three_coordinates_and_no_block(spark):
+    r = random.Random(4)
+    rows, groups, k = [], [], 0
+    for gx in range(4):
+        for gy in range(4):
+            for gz in range(3):
+                ids = []
+                for _ in range(r.choice([1, 4, 30])):
+                    k += 1
+                    rows.append((k, gx * 5.0 + r.uniform(0, 1.1), gy * 5.0 + r.uniform(0, 1.1), gz * -5.0 + r.uniform(0, 1.1)))
+                    ids.append(k)
+                groups.append(frozenset(ids))
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    found = clusters(df, "id", [], {c: c for c in "abc"}, Spectral(2.0))
+    assert grouped(found) == set(groups)
+    told = describe(found, "id", [], ["a", "b", "c"], 2.0).collect()
+    assert sorted(r["size"] for r in told) == sorted(map(len, groups))
+
+
+def test_one_coordinate(spark):
+    df = spark.createDataFrame([(k, "p", float(k // 5 * 4) + k % 5 * 0.2) for k in range(50)], "id long, s string, x double")
+    assert grouped(clusters(df, "id", ["s"], {"x": "x"}, Spectral(1.0))) == {frozenset(range(5 * k, 5 * k + 5)) for k in range(10)}

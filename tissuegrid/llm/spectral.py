@@ -4,55 +4,65 @@
 2. Nodes within the radius get an affinity; rows are normalised by their sum. The affinities are sparse: a node has a bounded number of neighbours.
 3. A few random vectors are iterated with that matrix. Within a group of mutually similar nodes their entries become equal, while
    different groups keep different ones: the vectors embed the nodes.
-4. k-means in the embedding: centres start from the embedding's occupied cells, near ones are put together, nodes go to the nearest centre.
+4. k-means in the embedding, until no node changes its cluster. k is the number of the embedding's occupied places: the nodes are seeds, and seeds
+   within twice the tolerance of each other are one centre.
 5. Members are ranked by their internal affinity, the mean of 1 - (d / radius)^2 over the group, which follows exactly from the group's moments.
 
-All steps are joins and aggregates over nodes; no block or group is ever held in one task.
+All steps are joins and aggregates over nodes; no block or group is ever held in one task. Points may have any number of coordinates; the squares a node
+looks into grow as three to their number, so a handful is what this is for.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tissuegrid.common import stage, usable
+from tissuegrid.common import discard, stage, usable
 
 
 @dataclass(frozen=True)
 class Spectral:
-    """vectors: iterated together; iterations: of each; tolerance: distance in the embedding (entries lie in [0, 1]) within which centres are one."""
+    """vectors: iterated together; iterations: of each; tolerance: distance in the embedding (entries lie in [0, 1]) within which centres are one;
+    rounds: of k-means at most, which end as soon as no node changes its cluster."""
 
     radius: float = 3.0
     vectors: int = 6
     iterations: int = 8
     tolerance: float = 0.004
-    lloyd: int = 1
+    rounds: int = 20
 
 
-def _square(axis: str, radius: float) -> Column:
-    side = radius / 2**0.5 * 0.999
-    return F.floor(F.col(axis) / side)
+def _squares(axes: list[str], side: float, stem: str) -> dict[str, Column]:
+    return {f"{stem}{c}": F.floor(F.col(c) / side) for c in axes}
 
 
-def _coarse(axis: str, radius: float) -> Column:
-    return F.floor(F.col(axis) / radius)
+def _fine(axes: list[str], p: Spectral) -> dict[str, Column]:
+    """Squares whose diagonal is shorter than the radius."""
+    return _squares(axes, p.radius / len(axes) ** 0.5 * 0.999, "s")
 
 
-def _nodes(points: DataFrame, p: Spectral) -> DataFrame:
-    keyed = points.withColumns({"sx": _square("x", p.radius), "sy": _square("y", p.radius)})
-    return keyed.groupBy("block", "sx", "sy").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.min_by("x", "id").alias("x"), F.min_by("y", "id").alias("y"))
+def _nodes(points: DataFrame, axes: list[str], p: Spectral) -> DataFrame:
+    fine = _fine(axes, p)
+    first = F.min(F.struct("id", *axes)).alias("first")
+    found = points.withColumns(fine).groupBy("block", *fine).agg(first, F.count("*").alias("n"))
+    return found.select("block", *fine, F.col("first.id").alias("node"), "n", *(F.col(f"first.{c}").alias(c) for c in axes))
 
 
-def _edges(nodes: DataFrame, p: Spectral) -> DataFrame:
+def _edges(nodes: DataFrame, axes: list[str], p: Spectral) -> DataFrame:
     """(block, i, j, w): affinities of nodes within the radius, both ways, weighted by the points of j; the node itself is included."""
-    placed = nodes.withColumns({"cx": _coarse("x", p.radius), "cy": _coarse("y", p.radius)})
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (0, 1), (1, 1), (1, -1))))
-    left = placed.withColumn("step", F.explode(steps)).select("block", (F.col("cx") + F.col("step.a")).alias("cx"), (F.col("cy") + F.col("step.b")).alias("cy"), F.col("node").alias("i"), F.col("n").alias("n_i"), F.col("x").alias("x_i"), F.col("y").alias("y_i"), ((F.col("step.a") == 0) & (F.col("step.b") == 0)).alias("same"))
-    right = placed.select("block", "cx", "cy", F.col("node").alias("j"), F.col("n").alias("n_j"), F.col("x").alias("x_j"), F.col("y").alias("y_j"))
-    d2 = (F.col("x_i") - F.col("x_j")) ** 2 + (F.col("y_i") - F.col("y_j")) ** 2
-    met = left.join(right, ["block", "cx", "cy"]).withColumn("d2", d2).filter(F.col("d2") <= p.radius**2).filter(~F.col("same") | (F.col("i") <= F.col("j")))
+    coarse = _squares(axes, p.radius, "c")
+    placed = nodes.withColumns(coarse)
+    half = [s for s in itertools.product((-1, 0, 1), repeat=len(axes)) if s >= (0,) * len(axes)]  # each pair of neighbouring squares once
+    steps = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(s, axes, strict=True))) for s in half))
+    here = reduce(lambda a, b: a & b, [F.col(f"step.{c}") == 0 for c in axes])
+    left = placed.withColumn("step", F.explode(steps)).select("block", *((F.col(f"c{c}") + F.col(f"step.{c}")).alias(f"c{c}") for c in axes), F.col("node").alias("i"), F.col("n").alias("n_i"), *(F.col(c).alias(f"{c}_i") for c in axes), here.alias("same"))
+    right = placed.select("block", *coarse, F.col("node").alias("j"), F.col("n").alias("n_j"), *(F.col(c).alias(f"{c}_j") for c in axes))
+    d2 = sum((F.col(f"{c}_i") - F.col(f"{c}_j")) ** 2 for c in axes)
+    met = left.join(right, ["block", *coarse]).withColumn("d2", d2).filter(F.col("d2") <= p.radius**2).filter(~F.col("same") | (F.col("i") <= F.col("j")))
     k = 1 - F.col("d2") / (4 * p.radius**2)
     both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j", (k * F.col("n_j")).alias("w")))).otherwise(
         F.array(F.struct("i", "j", (k * F.col("n_j")).alias("w")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), (k * F.col("n_i")).alias("w")))
@@ -98,57 +108,57 @@ def _k_means(embedded: DataFrame, p: Spectral) -> DataFrame:
         return a.join(b, ["block", "ca", "cb"]).withColumn("d2", _near(p, names, "", "to_")).filter(F.col("d2") <= (2 * p.tolerance) ** 2)
 
     joined = meet(seeds, seeds).groupBy("block", "centre").agg(F.min("to").alias("merged"), *(F.first(x).alias(x) for x in [*names, "n"]))
-    centres = joined.groupBy("block", F.col("merged").alias("centre")).agg(*mean, F.sum("n").alias("n"))
-    for last in [False] * p.lloyd + [True]:
-        centres = stage(centres.select("block", "centre", *names))
+    centres = joined.groupBy("block", F.col("merged").alias("centre")).agg(*mean, F.sum("n").alias("n")).select("block", "centre", *names)
+    before = None
+    for _ in range(p.rounds):
         nearest = meet(embedded, centres).groupBy("block", "node").agg(F.min_by("to", F.struct("d2", "to")).alias("to"))
-        assigned = embedded.join(nearest, ["block", "node"], "left").withColumn("cluster", F.coalesce("to", "node")).drop("to")  # far from all: alone
-        if last:
-            return assigned.select("block", "node", "cluster")
+        assigned = stage(embedded.join(nearest, ["block", "node"], "left").withColumn("cluster", F.coalesce("to", "node")).drop("to"))  # far from all: alone
+        if before is not None:
+            moved = assigned.select("node", "cluster").join(before.select("node", F.col("cluster").alias("_was")), "node").filter(F.col("cluster") != F.col("_was"))
+            settled = moved.isEmpty()
+            discard(before)
+            if settled:
+                break
+        before = assigned
         centres = assigned.groupBy("block", F.col("cluster").alias("centre")).agg(*mean)
-    raise AssertionError
+    return assigned.select("block", "node", "cluster")
 
 
-def _joined(assigned: DataFrame, edges: DataFrame) -> DataFrame:
-    """Clusters between which an affinity runs become one, under the smallest name; for data whose groups are known to be apart."""
-    of = stage(assigned)
-    while True:
-        here, there = of.select(F.col("node").alias("i"), F.col("cluster").alias("a")), of.select(F.col("node").alias("j"), F.col("cluster").alias("b"))
-        cross = stage(edges.join(here, "i").join(there, "j").filter("a > b").groupBy("a").agg(F.min("b").alias("b")))
-        if cross.isEmpty():
-            return of
-        of = stage(of.join(cross, F.col("cluster") == F.col("a"), "left").select("block", "node", F.coalesce("b", "cluster").alias("cluster")))
+def clusters(df: DataFrame, id: str, block: list[str], coordinates: dict[str, Column | str], params: Spectral = Spectral()) -> DataFrame:
+    """(block columns, id, coordinates, group_id): `group_id` is the smallest id of the group.
 
-
-def clusters(df: DataFrame, id: str, block: list[str], x: Column | str, y: Column | str, params: Spectral = Spectral(), apart: bool = False) -> DataFrame:
-    """(block columns, id, x, y, group_id): `group_id` is the smallest id of the group.
-
-    id: a long, unique. Rows with a null id, a null block column, or a null or NaN coordinate take no part. Repeated rows count once.
-    Equal points are always in one group. apart: groups are known to lie farther apart than the radius, and clusters that an affinity
-    joins are put together as an exact check. Without it a chain of points may be divided into several clusters along its length.
+    id: a long, unique. coordinates: names and the doubles they stand for. Rows with a null id, a null block column, or a null or NaN coordinate take no part. Repeated
+    rows count once. Equal points are always in one group. Groups that lie farther apart than the radius are never joined; a chain of points may be
+    divided into several clusters along its length. An empty table gives no groups.
     """
+    if not coordinates:
+        raise ValueError("points need a coordinate")
+    axes = [f"x{k}" for k in range(len(coordinates))]
     as_column = lambda c: F.col(c) if isinstance(c, str) else c
-    points = df.select(F.col(id).alias("id"), *block, as_column(x).cast("double").alias("x"), as_column(y).cast("double").alias("y"))
-    points = points.filter(usable("x") & usable("y")).dropna(subset=["id", *block]).distinct()
-    points = stage(points.withColumn("block", F.xxhash64(*block)))
-    nodes = stage(_nodes(points, params))
-    edges = stage(_edges(nodes, params))
+    points = df.select(F.col(id).alias("id"), *(F.col(b).alias(f"b{k}") for k, b in enumerate(block)), *(as_column(c).cast("double").alias(a) for a, c in zip(axes, coordinates.values(), strict=True)))
+    for a in axes:
+        points = points.filter(usable(a)).withColumn(a, F.col(a) + F.lit(0.0))
+    held = [f"b{k}" for k in range(len(block))]
+    points = stage(points.dropna(subset=["id", *held]).distinct().withColumn("block", F.xxhash64(*held) if held else F.lit(0).cast("long")))
+    nodes = stage(_nodes(points, axes, params))
+    edges = stage(_edges(nodes, axes, params))
     found = _k_means(_iterate(nodes, edges, params), params)
-    found = _joined(found, edges) if apart else found
-    where = nodes.select("block", "sx", "sy", "node").join(found, ["block", "node"])
-    keyed = points.withColumns({"sx": _square("x", params.radius), "sy": _square("y", params.radius)})
-    members = stage(keyed.join(where, ["block", "sx", "sy"]).select(*block, "id", "x", "y", "cluster", "block"))
+    fine = _fine(axes, params)
+    where = nodes.select("block", *fine, "node").join(found, ["block", "node"])
+    members = stage(points.withColumns(fine).join(where, ["block", *fine]).select(*held, "id", *axes, "cluster", "block"))
+    discard(points, nodes, edges)
     least = members.groupBy("block", "cluster").agg(F.min("id").alias("group_id"))
-    return members.join(least, ["block", "cluster"]).select(*block, F.col("id").alias(id), "x", "y", "group_id")
+    back = [F.col(h).alias(b) for h, b in zip(held, block, strict=True)] + [F.col("id").alias(id)] + [F.col(a).alias(c) for a, c in zip(axes, coordinates, strict=True)]
+    return members.join(least, ["block", "cluster"]).select(*back, "group_id")
 
 
-def describe(found: DataFrame, id: str, block: list[str], radius: float, typical: int = 3) -> DataFrame:
-    """One row a group: size, mean position and its `typical` members of highest internal affinity (equal ones by the smaller id), best first."""
-    moments = found.groupBy("group_id").agg(F.count("*").alias("size"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.avg(F.col("x") ** 2 + F.col("y") ** 2).alias("mean_square"))
-    moments = stage(moments)
-    d2 = F.col("x") ** 2 + F.col("y") ** 2 - 2 * (F.col("x") * F.col("mean_x") + F.col("y") * F.col("mean_y")) + F.col("mean_square")
-    scored = found.join(moments, "group_id").withColumn("affinity", F.round(1 - d2 / radius**2, 9))
+def describe(found: DataFrame, id: str, block: list[str], coordinates: list[str], radius: float, typical: int = 3, places: int = 9) -> DataFrame:
+    """One row a group: size, mean position (mean_...) and its `typical` members of highest internal affinity (equal ones to so many places by the smaller id), best first."""
+    square = sum(F.col(c) ** 2 for c in coordinates)
+    moments = stage(found.groupBy("group_id").agg(F.count("*").alias("size"), *(F.avg(c).alias(f"mean_{c}") for c in coordinates), F.avg(square).alias("_square")))
+    d2 = square - 2 * sum(F.col(c) * F.col(f"mean_{c}") for c in coordinates) + F.col("_square")
+    scored = found.join(moments, "group_id").withColumn("affinity", F.round(1 - d2 / radius**2, places))
     best = Window.partitionBy("group_id").orderBy(F.desc("affinity"), F.asc(id))
     top = scored.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= typical)
     listed = F.transform(F.sort_array(F.collect_list(F.struct("r", F.col(id).alias("member")))), lambda t: t["member"])
-    return top.groupBy(*block, "group_id", "size", "mean_x", "mean_y").agg(listed.alias("typical"), F.max("affinity").alias("affinity"))
+    return top.groupBy(*block, "group_id", "size", *(f"mean_{c}" for c in coordinates)).agg(listed.alias("typical"), F.max("affinity").alias("affinity"))
