@@ -102,3 +102,24 @@ def test_streams(spark, tmp_path):
     q = windowed(events, "ts", ["kind"], "v", "1 minute", "10 minutes").writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start(str(tmp_path / "out"))
     q.awaitTermination()
     assert [(r.n, r.total, r.most) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(2, 4.0, 3.0)]
+
+
+def test_matrix_market_keeps_every_entry(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "part-0").write_text("%%MatrixMarket matrix coordinate real general\n% note\n1 1 1\n1 1 1\n")
+    assert [tuple(r) for r in files.read_matrix_market(spark, str(tmp_path / "a")).collect()] == [(1, 1, 1.0)]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "part-0").write_text("%%MatrixMarket matrix coordinate real general\n3 3 4\n3 3 4\n")
+    (tmp_path / "b" / "part-1").write_text("1 2 0.5\n2 1\n\n3  3   4e0\n")
+    got = sorted(tuple(r) for r in files.read_matrix_market(spark, str(tmp_path / "b")).collect())
+    assert got == [(1, 2, 0.5), (2, 1, 1.0), (3, 3, 4.0), (3, 3, 4.0)]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "part-0").write_text("% nothing\n")
+    assert files.read_matrix_market(spark, str(tmp_path / "c")).count() == 0
+
+
+def test_predictions_have_any_header(spark, tmp_path):
+    (tmp_path / "one.txt").write_text("cell.names\tcopykat.pred\nA-1\tdiploid\nB-1\n\nC-1\taneuploid\tmore\n")
+    (tmp_path / "two.txt").write_text("names\tpred\ncell.names\tdiploid\n\"D\tdiploid\n")
+    got = sorted((r.cell_id, r.cell_type) for r in files.read_predictions(spark, str(tmp_path)).collect())
+    assert got == [('"D', "diploid"), ("A-1", "diploid"), ("C-1", "aneuploid"), ("cell.names", "diploid")]

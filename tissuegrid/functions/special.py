@@ -61,7 +61,6 @@ def student_two_sided(t: Column, df: Column) -> Column:
 
 
 def smoothing_weights(window: int, order: int) -> list[float]:
-    """Weights of a least-squares polynomial of the order over an odd window, for its middle point."""
-    half = window // 2
-    powers = np.vander(np.arange(-half, half + 1), order + 1, increasing=True)
+    """Weights of a least-squares polynomial of the order over a window of even places, for its middle (between two places if the window is even)."""
+    powers = np.vander(np.arange(window) - (window - 1) / 2, order + 1, increasing=True)
     return [float(w) for w in np.linalg.pinv(powers)[0]]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tissuegrid.common import stage, with_groups
 from tissuegrid.functions.special import smoothing_weights, student_two_sided
+from tissuegrid.operators import spatial
 
 
 def qc_metrics(entries: DataFrame, genes: DataFrame) -> DataFrame:
@@ -142,9 +143,49 @@ def top_changes(folds: DataFrame, ring: Column, n: int) -> DataFrame:
     return up.unionByName(down).select("gene", "log2fc", "direction")
 
 
+def against_baseline(entries: DataFrame, distances: DataFrame, reach: tuple[float, float], baseline: tuple[float, float], width: float) -> DataFrame:
+    """(ring, gene, log2fc): mean share of a gene in the cells of each ring against those of a baseline band, 1e-6 added to both.
+
+    distances: (cell, distance) from the edge of a region, negative inside. Rings of `width` lie around reach[0], reach[0] + width, ... up to reach[1];
+    the baseline is the cells from baseline[0] up to baseline[1], and may overlap rings. Each cell's entries are divided by the sum of their sizes; cells
+    without entries count as zeros. Every gene that occurs has a row for each ring that has cells; without baseline cells there is none.
+    """
+    ring = spatial.ring_index(F.col("distance"), *reach, width)
+    inside = (F.col("distance") >= baseline[0]) & (F.col("distance") < baseline[1])
+    both = F.array_compact(F.array(ring, F.when(inside, F.lit(-1))))
+    of = stage(distances.select("cell", F.explode(both).alias("ring")))
+    sizes = of.groupBy("ring").agg(F.count("*").alias("_n"))  # a row for each ring
+    shares = with_groups(entries, ["cell"], F.sum(F.abs("value")).alias("_t")).withColumn("share", F.col("value") / F.when(F.col("_t") != 0, F.col("_t")))
+    sums = shares.join(of, "cell").groupBy("gene", "ring").agg(F.sum("share").alias("_s"))
+    held = sums.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("ring", "_s"))).alias("_sums"))  # as many as there are rings
+    known = entries.select("gene").distinct().join(held, "gene", "left")
+    rings = sizes.agg(F.sort_array(F.collect_list(F.struct("ring", "_n"))).alias("_rings"))
+    each = known.crossJoin(F.broadcast(rings)).select("gene", "_sums", F.explode("_rings").alias("r"), F.filter("_rings", lambda r: r["ring"] == -1)[0]["_n"].alias("_b"))
+    mean = lambda k, n: F.coalesce(F.try_element_at("_sums", k), F.lit(0.0)) / n
+    fold = F.log2(mean(F.col("r.ring"), F.col("r._n")) + 1e-6) - F.log2(mean(F.lit(-1), F.col("_b")) + 1e-6)
+    return each.filter("r.ring >= 0 and _b is not null").select(F.col("r.ring").alias("ring"), "gene", fold.alias("log2fc"))
+
+
+def gradient(folds: DataFrame, rings: int, order: int = 5, window: int = 20) -> DataFrame:
+    """`against_baseline` with `smooth`: polynomials of the order along the rings, over `window` of them or all. Rings without cells are left out of the places."""
+    place = F.row_number().over(Window.partitionBy("gene").orderBy("ring")) - 1  # a gene's rings
+    placed = folds.withColumn("place", place)
+    return smoothed_series(stage(placed), ["gene"], "place", "log2fc", min(window, rings), order).drop("place")
+
+
+def expressed(entries: DataFrame, cells: DataFrame, least: float) -> DataFrame:
+    """(gene) of mean above `least` in the cells, absent zeros included."""
+    n = cells.agg(F.count("*").alias("_n"))
+    sums = entries.join(cells.select("cell"), "cell", "left_semi").groupBy("gene").agg(F.sum("value").alias("_s"))
+    return sums.crossJoin(F.broadcast(n)).filter(F.col("_s") / F.col("_n") > least).select("gene")
+
+
 def smoothed_series(series: DataFrame, by: list[str], at: str, value: str, window: int, order: int) -> DataFrame:
-    """`series` with `smooth`: least-squares polynomials over an odd window of places along `at` (integers without gaps), the ends repeating the edge value."""
-    half, weights = window // 2, smoothing_weights(window, order)
+    """`series` with `smooth`: least-squares polynomials over a window of places along `at` (integers without gaps), the ends repeating the edge value.
+
+    The window reaches as far to both sides, or one place farther ahead if it is even.
+    """
+    half, weights = (window - 1) // 2, smoothing_weights(window, order)
     ends = series.groupBy(*by).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
     offsets = F.explode(F.array(*(F.struct(F.lit(k - half).alias("o"), F.lit(w).alias("w")) for k, w in enumerate(weights))))
     wanted = series.select(*by, at).join(ends, by).withColumn("_k", offsets)

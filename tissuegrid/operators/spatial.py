@@ -179,7 +179,11 @@ def resampled(rings: DataFrame, by: list[str], points: int = 100) -> DataFrame:
 
 
 def ring_index(distance: Column, start: float, end: float, width: float) -> Column:
-    """Number of the ring of a signed distance: rings of the given width around start, start + width, ... up to the end; null outside."""
-    n = math.floor((end - start) / width)
+    """Number of the ring of a signed distance: rings of the given width around start, start + width, ..., as many as cover the range; null outside."""
+    n = ring_count(start, end, width)
     k = F.floor((distance - start) / width + 0.5)
-    return F.when((k >= 0) & (k <= n), k.cast("int"))
+    return F.when((k >= 0) & (k < n), k.cast("int"))
+
+
+def ring_count(start: float, end: float, width: float) -> int:
+    return math.ceil((end - start) / width)

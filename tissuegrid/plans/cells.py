@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tissuegrid.common import clean_label, rounded, stage, table, usable
-from tissuegrid.operators import labels, matrix, spatial
+from tissuegrid.operators import analysis, labels, matrix, spatial
 from tissuegrid.plans import parts
 from tissuegrid.plans.parts import MORPH, PITCH, sql
 
 _KEYS = ["cell", "sample_id"]
+SIX = ["hist_pc1", "hist_pc2", "hist_pc3", *parts.GENES]
 
 
-def _cells(spark: SparkSession, folder: str) -> DataFrame:
-    return stage(parts.features(spark, folder))
+def _cells(spark: SparkSession, folder: str, *need: str) -> DataFrame:
+    return stage(parts.features(spark, folder, *need))
 
 
 def _r(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
@@ -28,11 +29,11 @@ def all_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def standardize_features(spark, folder):
-    return _r(matrix.standardize(_cells(spark, folder).select(*_KEYS, *MORPH), MORPH, ["sample_id"]), *MORPH)
+    return _r(matrix.standardize(_cells(spark, folder, *parts.MORPH).select(*_KEYS, *MORPH), MORPH, ["sample_id"]), *MORPH)
 
 
 def minmax_features(spark, folder):
-    return _r(matrix.minmax(_cells(spark, folder).select(*_KEYS, *MORPH), MORPH, ["sample_id"]), *MORPH)
+    return _r(matrix.minmax(_cells(spark, folder, *parts.MORPH).select(*_KEYS, *MORPH), MORPH, ["sample_id"]), *MORPH)
 
 
 def _robust(cells: DataFrame) -> DataFrame:
@@ -42,12 +43,12 @@ def _robust(cells: DataFrame) -> DataFrame:
 
 
 def robustnorm(spark, folder):
-    return _r(_robust(_cells(spark, folder)).select("cell", "scaled"), "scaled")
+    return _r(_robust(_cells(spark, folder, "mean_gray")).select("cell", "scaled"), "scaled")
 
 
 def robustnorm_roundtrip(spark, folder):
     back = matrix.robust_restored(F.col("scaled"), F.col("ql"), F.col("qu"))
-    return _r(_robust(_cells(spark, folder)).select("cell", back.alias("mean_gray")), "mean_gray")
+    return _r(_robust(_cells(spark, folder, "mean_gray")).select("cell", back.alias("mean_gray")), "mean_gray")
 
 
 def row_normalize_l1(spark, folder):
@@ -113,37 +114,37 @@ def variance_stabilized(spark, folder):
 
 
 def pearson_vs_roi(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.MORPH)
     scaled = matrix.standardize(cells.select("cell", "clusters", *MORPH), MORPH)
     return _r(matrix.pearson_with_group(scaled, "cell", MORPH, F.col("clusters") == "tumor_core"), "r")
 
 
 def select_similar(spark, folder):
-    """Cells whose mean correlation with the tumour core is above the largest one over 1.2."""
-    cells = _cells(spark, folder)
-    scaled = matrix.standardize(cells.select("cell", "clusters", *MORPH), MORPH)
-    r = stage(matrix.pearson_with_group(scaled, "cell", MORPH, F.col("clusters") == "tumor_core"))
+    """Cells whose mean correlation with the tumour core, over the three components of the image and half of those of the expression, is above the largest one over 1.2."""
+    halved = {c: F.col(c) * 0.5 for c in parts.GENES}
+    cells = _cells(spark, folder, *SIX).select("cell", "clusters", *SIX).withColumns(halved)
+    r = stage(matrix.pearson_with_group(cells, "cell", SIX, F.col("clusters") == "tumor_core"))
     return r.crossJoin(F.broadcast(r.agg(F.max("r").alias("most")))).filter(F.col("r") > F.col("most") / 1.2).select("cell")
 
 
 def pca_components(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.MORPH)
     return _r(matrix.component_scores(matrix.standardize(cells.select("cell", *MORPH), MORPH), "cell", MORPH, 3), "pc1", "pc2", "pc3")
 
 
 def kmeans_clusters(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.MORPH)
     return matrix.k_means(matrix.standardize(cells.select("cell", *MORPH), MORPH), "cell", MORPH, 8)
 
 
 def hierarchy_clusters(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.MORPH)
     return matrix.bisecting(matrix.standardize(cells.select("cell", *MORPH), MORPH), "cell", MORPH, 6)
 
 
 def assign_nearest_spot(spark, folder):
     """The nearest spot of each cell, below five spot diameters where the sample's diameter is known."""
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE)
     samples = table(spark, folder, "samples").select("sample_id", "spot_diameter_fullres")
     known = cells.join(samples, "sample_id", "left")
     margin = F.when(usable("spot_diameter_fullres"), 10 * 0.5 * F.col("spot_diameter_fullres"))
@@ -152,7 +153,7 @@ def assign_nearest_spot(spark, folder):
 
 def hd_radius_mean(spark, folder, how="mean"):
     """Bins are the spots with the summed components of their cells."""
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE, *parts.GENES)
     bins = labels.to_spots(parts.genes(cells), parts.spots_of(cells), "sum").withColumnRenamed("spot", "bin")
     spots = parts.spots(cells).withColumnRenamed("spot", "bin")
     return _r(spatial.radius_aggregate(cells.select("cell", "x", "y", "sample_id"), spots, bins, 2500.0, ["sample_id"], how), "value")
@@ -163,23 +164,23 @@ def hd_radius_sum(spark, folder):
 
 
 def nearest_distance_stats(spark, folder):
-    return _r(spatial.context_sizes(_cells(spark, folder), ["sample_id"]), "mean", "median", "least", "largest")
+    return _r(spatial.context_sizes(_cells(spark, folder, *parts.PLACE), ["sample_id"]), "mean", "median", "least", "largest")
 
 
 def outlier_cells(spark, folder):
-    return _r(spatial.outliers(_cells(spark, folder), ["sample_id"], 10, 2.5), "mean_distance", "z")
+    return _r(spatial.outliers(_cells(spark, folder, *parts.PLACE), ["sample_id"], 10, 2.5), "mean_distance", "z")
 
 
 def bbox_filter(spark, folder):
-    return _cells(spark, folder).filter(spatial.in_box(2000.0, 9000.0, 3000.0, 8000.0)).select("cell")
+    return _cells(spark, folder, *parts.PLACE).filter(spatial.in_box(2000.0, 9000.0, 3000.0, 8000.0)).select("cell")
 
 
 def roi_filter(spark, folder):
-    return _cells(spark, folder).filter(spatial.in_roi(2000.0, 3000.0, 4000.0, 6000.0)).select("cell")
+    return _cells(spark, folder, *parts.PLACE).filter(spatial.in_roi(2000.0, 3000.0, 4000.0, 6000.0)).select("cell")
 
 
 def tile_split(spark, folder):
-    return spatial.tiles(_cells(spark, folder), 3, 4, ["sample_id"]).select("cell", "tile_row", "tile_column")
+    return spatial.tiles(_cells(spark, folder, *parts.PLACE), 3, 4, ["sample_id"]).select("cell", "tile_row", "tile_column")
 
 
 def _rings(cells: DataFrame) -> DataFrame:
@@ -195,11 +196,11 @@ def _placed(cells: DataFrame) -> DataFrame:
 
 
 def polygon_filter(spark, folder):
-    return _placed(_cells(spark, folder)).filter(spatial.inside(F.col("x"), F.col("y"), "ring")).select("cell")
+    return _placed(_cells(spark, folder, *parts.PLACE)).filter(spatial.inside(F.col("x"), F.col("y"), "ring")).select("cell")
 
 
 def ring_distance(spark, folder):
-    return _r(_placed(_cells(spark, folder)).select("cell", spatial.signed_distance(F.col("x"), F.col("y"), "ring").alias("distance")), "distance")
+    return _r(_placed(_cells(spark, folder, *parts.PLACE)).select("cell", spatial.signed_distance(F.col("x"), F.col("y"), "ring").alias("distance")), "distance")
 
 
 def _ring_cells(cells: DataFrame) -> DataFrame:
@@ -209,32 +210,49 @@ def _ring_cells(cells: DataFrame) -> DataFrame:
 
 def ring_gradient(spark, folder):
     """Mean components by distance ring from the region's edge."""
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE, *parts.GENES)
     return _r(labels.group_means(parts.genes(cells), _ring_cells(cells).select("cell", "ring"), ["ring"]), "mean", places=11)
 
 
 def savgol_smooth(spark, folder):
     from tissuegrid.operators.analysis import smoothed_series
 
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE, *parts.GENES)
     means = stage(labels.group_means(parts.genes(cells), _ring_cells(cells).select("cell", "ring"), ["ring"]))
     return _r(smoothed_series(means, ["gene"], "ring", "mean", 5, 2).select("gene", "ring", "smooth"), "smooth")
 
 
+def _against_baseline(spark, folder) -> DataFrame:
+    """Positive components as expression; rings as in `ring_gradient`, the first 600 inside as baseline."""
+    cells = _cells(spark, folder, *parts.PLACE, *parts.GENES)
+    d = spatial.signed_distance(F.col("x"), F.col("y"), "ring").alias("distance")
+    return analysis.against_baseline(parts.genes(cells).filter("value > 0"), _placed(cells).select("cell", d), (-1500.0, 1500.0), (-1500.0, -900.0), 300.0)
+
+
+def dge_against_baseline(spark, folder):
+    """Fold change of the components in each ring against the baseline band."""
+    return _r(_against_baseline(spark, folder), "log2fc")
+
+
+def dge_gradient(spark, folder):
+    """The same smoothed over the rings by polynomials of degree 5."""
+    return _r(analysis.gradient(stage(_against_baseline(spark, folder)), 10).select("ring", "gene", "smooth"), "smooth")
+
+
 def polygon_resample(spark, folder):
-    rings = _rings(_cells(spark, folder)).select("sample_id", F.posexplode("ring").alias("place", "p")).select("sample_id", "place", "p.x", "p.y")
+    rings = _rings(_cells(spark, folder, *parts.PLACE)).select("sample_id", F.posexplode("ring").alias("place", "p")).select("sample_id", "place", "p.x", "p.y")
     return _r(spatial.resampled(rings, ["sample_id"], 25), "x", "y", places=4)
 
 
 def roi_bbox(spark, folder):
-    rings = _rings(_cells(spark, folder)).select("sample_id", F.explode("ring").alias("p")).select("sample_id", "p.x", "p.y")
+    rings = _rings(_cells(spark, folder, *parts.PLACE)).select("sample_id", F.explode("ring").alias("p")).select("sample_id", "p.x", "p.y")
     return spatial.roi_of(rings, ["sample_id"], 100)
 
 
 def grid_spots(spark, folder):
     from tissuegrid.operators.simulate import grid_spots as grid
 
-    return grid(_cells(spark, folder), 1500.0, ["sample_id"])
+    return grid(_cells(spark, folder, *parts.PLACE), 1500.0, ["sample_id"])
 
 
 def unique_cell_names(spark, folder):
@@ -251,29 +269,29 @@ def spot_cv_heterogeneity(spark, folder):
 
 
 def spot_entropy_heterogeneity(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE)
     placed = cells.join(parts.spots_of(cells), "cell").select("cell", "spot", "clusters")
     return _r(labels.shared_back(placed, labels.entropy(placed, ["spot"], "clusters"), ["spot"]).select("cell", "entropy"), "entropy")
 
 
 def spot_mean_from_cells(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE, *parts.GENES)
     return _r(labels.to_spots(parts.genes(cells), parts.spots_of(cells)), "value", places=9)
 
 
 def spot_to_cells(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE, *parts.GENES)
     spot_of = parts.spots_of(cells)
     return _r(labels.to_cells(labels.to_spots(parts.genes(cells), spot_of, "sum"), spot_of), "value")
 
 
 def median_cells_per_spot(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE)
     return parts.spots_of(cells).groupBy("spot").agg(F.count("*").alias("n")).agg(F.floor(F.percentile("n", F.lit(0.5))).alias("cells"))
 
 
 def majority_label(spark, folder, above=0.0):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE)
     return _r(labels.majority(cells.join(parts.spots_of(cells), "cell"), ["spot"], "clusters", above), "share")
 
 
@@ -282,21 +300,21 @@ def majority_label_threshold(spark, folder):
 
 
 def deconvolution(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE)
     return _r(labels.proportions(cells.join(parts.spots_of(cells), "cell"), ["spot"], "clusters"), "share")
 
 
 def grouped_mean_melt(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.GENES)
     return _r(labels.group_means(parts.genes(cells), cells.filter("clusters is not null").select("cell", "clusters"), ["clusters"]), "mean", places=9)
 
 
 def onehot_pivot(spark, folder):
-    return labels.one_hot(_cells(spark, folder), ["cell"], "clusters")
+    return labels.one_hot(_cells(spark, folder, parts.NOTHING), ["cell"], "clusters")
 
 
 def label_codes(spark, folder):
-    return labels.codes(_cells(spark, folder).select("cell", "clusters"), "clusters").filter("code is not null").select("cell", "code")
+    return labels.codes(_cells(spark, folder, parts.NOTHING).select("cell", "clusters"), "clusters").filter("code is not null").select("cell", "code")
 
 
 def top_umi_per_cluster(spark, folder):
@@ -310,7 +328,7 @@ def edge_contamination(spark, folder):
 
 
 def stratify_thresholds(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE)
     placed = cells.join(parts.spots_of(cells), "cell")
     known = cells.agg(F.count_distinct("clusters").alias("n")).first()["n"]
     return _r(labels.thresholds(labels.entropy(placed, ["spot"], "clusters"), "entropy", known), "threshold")
@@ -319,7 +337,7 @@ def stratify_thresholds(spark, folder):
 _NAMES = (
     standardize_features, minmax_features, robustnorm, robustnorm_roundtrip, row_normalize_l1, col_normalize_l1, log_normalize, scale_clip, sparsity, dropout_ratio, gene_cosine,
     relative_distance, gene_cv, entry_ratio, gene_block_union, residual_vs_libsize, variance_stabilized, pearson_vs_roi, select_similar, pca_components, kmeans_clusters, hierarchy_clusters,
-    assign_nearest_spot, hd_radius_mean, hd_radius_sum, nearest_distance_stats, outlier_cells, bbox_filter, roi_filter, tile_split, polygon_filter, ring_distance, ring_gradient,
+    assign_nearest_spot, hd_radius_mean, hd_radius_sum, nearest_distance_stats, outlier_cells, bbox_filter, roi_filter, tile_split, polygon_filter, ring_distance, ring_gradient, dge_against_baseline, dge_gradient,
     savgol_smooth, polygon_resample, roi_bbox, grid_spots, unique_cell_names, downsample_k, spot_cv_heterogeneity, spot_entropy_heterogeneity, spot_mean_from_cells, spot_to_cells,
     median_cells_per_spot, majority_label, majority_label_threshold, deconvolution, grouped_mean_melt, onehot_pivot, label_codes, top_umi_per_cluster, edge_contamination, stratify_thresholds,
 )
@@ -341,6 +359,13 @@ _PEARSON = {
     "unit": f"SELECT cell, clusters, {', '.join(f'{c} / nullif({_NORM}, 0) AS {c}' for c in MORPH)} FROM centred",
     "pearson": f"SELECT a.cell, {' + '.join(f'a.{c} * g.{c}' for c in MORPH)} AS r FROM unit a, (SELECT {', '.join(f'avg({c}) AS {c}' for c in MORPH)} FROM unit WHERE clusters = 'tumor_core') g",
 }
+_SIX_MEAN = "(" + " + ".join(SIX) + f") / {len(SIX)}"
+_SIX_PEARSON = _PEARSON | {
+    "z": f"SELECT cell, clusters, {', '.join(c if c in SIX[:3] else f'{c} * 0.5 AS {c}' for c in SIX)} FROM features",
+    "centred": f"SELECT cell, clusters, {', '.join(f'{c} - {_SIX_MEAN} AS {c}' for c in SIX)} FROM z",
+    "unit": f"SELECT cell, clusters, {', '.join(f'{c} / nullif(sqrt({" + ".join(f"{d} ** 2" for d in SIX)}), 0) AS {c}' for c in SIX)} FROM centred",
+    "pearson": f"SELECT a.cell, {' + '.join(f'a.{c} * g.{c}' for c in SIX)} AS r FROM unit a, (SELECT {', '.join(f'avg({c}) AS {c}' for c in SIX)} FROM unit WHERE clusters = 'tumor_core') g",
+}
 _SPOT_SUMS = "SELECT spot, gene, sum(value) AS value FROM genes JOIN spot_of USING (cell) GROUP BY 1, 2"
 _HD = {
     "spot_sums": _SPOT_SUMS,
@@ -358,9 +383,18 @@ count(*) FILTER (((y0 > y) <> (y1 > y)) AND x < (x1 - x0) * (y - y0) / (y1 - y0)
 _RING = {"middle": _MIDDLE, "vertices": _VERTICES, "sides": _SIDES, "distance": _DISTANCE}
 _SIGNED = "CASE WHEN inside THEN -d ELSE d END"
 _RINGS = _RING | {
-    "ring_cells": f"SELECT cell, CAST(floor(({_SIGNED} + 1500) / 300 + 0.5) AS INTEGER) AS ring FROM distance WHERE floor(({_SIGNED} + 1500) / 300 + 0.5) BETWEEN 0 AND 10",
+    "ring_cells": f"SELECT cell, CAST(floor(({_SIGNED} + 1500) / 300 + 0.5) AS INTEGER) AS ring FROM distance WHERE floor(({_SIGNED} + 1500) / 300 + 0.5) BETWEEN 0 AND 9",
     "ring_means": "SELECT ring, gene, avg(value) AS mean FROM genes JOIN ring_cells USING (cell) GROUP BY 1, 2",
 }
+# Rings and the baseline, which overlaps them.
+_BAND = _RING | {
+    "bands": f"""SELECT cell, CAST(floor(({_SIGNED} + 1500) / 300 + 0.5) AS INTEGER) AS ring FROM distance WHERE floor(({_SIGNED} + 1500) / 300 + 0.5) BETWEEN 0 AND 9
+UNION ALL SELECT cell, -1 FROM distance WHERE {_SIGNED} >= -1500 AND {_SIGNED} < -900""",
+    "band_sizes": "SELECT ring, count(*) AS n FROM bands GROUP BY 1",
+    "band_shares": "SELECT cell, gene, value / sum(value) OVER (PARTITION BY cell) AS share FROM genes WHERE value > 0",
+    "band_means": "SELECT ring, gene, sum(coalesce(share, 0)) / any_value(n) AS m FROM bands JOIN band_sizes USING (ring) CROSS JOIN (SELECT DISTINCT gene FROM band_shares) LEFT JOIN band_shares USING (cell, gene) GROUP BY 1, 2",
+    "band_folds": "SELECT a.ring, gene, log2(a.m + 1e-6) - log2(b.m + 1e-6) AS log2fc FROM band_means a JOIN (SELECT gene, m FROM band_means WHERE ring = -1) b USING (gene) WHERE a.ring >= 0",
+}
 _PATH = _RING | {
     "pieces": "SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len FROM (SELECT a.sample_id, a.place, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM vertices a JOIN vertices b ON a.sample_id = b.sample_id AND b.place = a.place + 1)",
     "along": "SELECT *, coalesce(sum(len) OVER (PARTITION BY sample_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0, sum(len) OVER (PARTITION BY sample_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s1, sum(len) OVER (PARTITION BY sample_id) AS total FROM pieces",
@@ -371,6 +405,8 @@ _MAJORITY = """SELECT spot, CASE WHEN n / total > {0} THEN clusters END AS major
 row_number() OVER (PARTITION BY spot ORDER BY n DESC, clusters) AS r FROM label_counts) WHERE r = 1"""
 _LABELS = {"label_counts": "SELECT spot, clusters, count(*) AS n FROM features JOIN spot_of USING (cell) WHERE clusters IS NOT NULL GROUP BY 1, 2"}
 _ENTROPY = _LABELS | {"entropies": "SELECT spot, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS entropy FROM label_counts GROUP BY 1"}
+# Least squares of degree 5 over ten places, at their middle.
+_W10 = "[" + ", ".join(repr(v / 256) for v in (10, -30, 3, 55, 90, 90, 55, 3, -30, 10)) + "]"
 _W5 = "[" + ", ".join(repr(v) for v in (-3 / 35, 12 / 35, 17 / 35, 12 / 35, -3 / 35)) + "]"
 
 SQL = {
@@ -401,7 +437,7 @@ SQL = {
         size=_CELLS, moments="SELECT gene, sum(value) / any_value(n) AS m, (sum(value ** 2) - sum(value) ** 2 / any_value(n)) / (any_value(n) - 1) AS s2 FROM counts, size GROUP BY 1",
     ),
     "pearson_vs_roi": sql(f"SELECT cell, {_round('r')} FROM pearson", **_PEARSON),
-    "select_similar": sql("SELECT cell FROM pearson WHERE r > (SELECT max(r) FROM pearson) / 1.2", **_PEARSON),
+    "select_similar": sql("SELECT cell FROM pearson WHERE r > (SELECT max(r) FROM pearson) / 1.2", **_SIX_PEARSON),
     "assign_nearest_spot": sql(
         f"SELECT cell, spot, {_round('d')} FROM best LEFT JOIN samples USING (sample_id) WHERE r = 1 AND (spot_diameter_fullres IS NULL OR isnan(spot_diameter_fullres) OR d < 5 * spot_diameter_fullres)",
         best="""SELECT f.cell, f.sample_id, s.spot, sqrt((f.x - s.x) ** 2 + (f.y - s.y) ** 2) AS d, row_number() OVER (PARTITION BY cell ORDER BY (f.x - s.x) ** 2 + (f.y - s.y) ** 2, spot) AS r
@@ -426,6 +462,11 @@ FROM features f JOIN spots s ON f.sample_id = s.sample_id""",
     "polygon_filter": sql("SELECT cell FROM distance WHERE inside AND d > 0", **_RING),
     "ring_distance": sql(f"SELECT cell, round({_SIGNED}, 6) + 0.0 AS distance FROM distance", **_RING),
     "ring_gradient": sql(f"SELECT ring, gene, {_round('mean', n=11)} FROM ring_means", **_RINGS),
+    "dge_against_baseline": sql("SELECT ring, gene, round(log2fc, 6) + 0.0 AS log2fc FROM band_folds", **_BAND),
+    "dge_gradient": sql(
+        f"SELECT gene, ring, round(sum({_W10}[k + 5] * log2fc), 6) + 0.0 AS smooth FROM wanted JOIN (SELECT gene, ring AS pos, log2fc FROM band_folds) USING (gene, pos) GROUP BY 1, 2",
+        **_BAND, wanted="SELECT gene, ring, k, greatest(0, least(9, ring + k)) AS pos FROM band_folds, (SELECT unnest(range(-4, 6)) AS k)",
+    ),
     "savgol_smooth": sql(
         f"SELECT gene, ring, round(sum({_W5}[k + 3] * mean), 6) + 0.0 AS smooth FROM wanted JOIN (SELECT gene, ring AS pos, mean FROM ring_means) USING (gene, pos) GROUP BY 1, 2",
         **_RINGS, wanted="SELECT gene, ring, k, greatest(min(ring) OVER (PARTITION BY gene), least(max(ring) OVER (PARTITION BY gene), ring + k)) AS pos FROM ring_means, (SELECT unnest([-2, -1, 0, 1, 2]) AS k)",
@@ -450,7 +491,7 @@ FROM features f JOIN spots s ON f.sample_id = s.sample_id""",
     "majority_label_threshold": sql(_MAJORITY.format(0.5), **_LABELS),
     "deconvolution": sql("SELECT spot, clusters, round(n / sum(n) OVER (PARTITION BY spot), 6) + 0.0 AS share FROM label_counts", **_LABELS),
     "grouped_mean_melt": sql("SELECT clusters, gene, round(avg(value), 9) + 0.0 AS mean FROM genes JOIN features USING (cell) WHERE clusters IS NOT NULL GROUP BY 1, 2"),
-    "onehot_pivot": sql("SELECT cell, " + ", ".join(f"CAST(coalesce(clusters = '{v}', false) AS INTEGER) AS {v}" for v in ("tumor_core", "stroma_mix", "immune_edge")) + " FROM features"),
+    "onehot_pivot": sql("SELECT cell, clusters AS label, 1 AS value FROM features WHERE clusters IS NOT NULL"),
     "label_codes": sql("SELECT cell, code FROM features JOIN (SELECT clusters, CAST(row_number() OVER (ORDER BY clusters) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT clusters FROM features WHERE clusters IS NOT NULL)) USING (clusters)"),
     "top_umi_per_cluster": sql(
         "SELECT cell FROM measured JOIN (SELECT clusters, quantile_cont(umi, 0.5) AS cut FROM measured GROUP BY 1) USING (clusters) WHERE umi > cut",
@@ -461,7 +502,11 @@ FROM features f JOIN spots s ON f.sample_id = s.sample_id""",
         shares="SELECT i, avg(CAST(a.clusters IS DISTINCT FROM b.clusters AS DOUBLE)) AS share FROM knn JOIN features a ON a.cell = i JOIN features b ON b.cell = j GROUP BY i",
     ),
     "stratify_thresholds": sql(
-        'SELECT CAST(k AS INTEGER) AS k, round(k * ln(8) / 9, 6) + 0.0 AS threshold, count(entropy) AS "rows" FROM (SELECT unnest(range(10)) AS k) LEFT JOIN entropies ON entropy >= k * ln(8) / 9 - 1e-9 GROUP BY 1, 2',
-        **_ENTROPY,
+        'SELECT CAST(k AS INTEGER) AS k, round(k * top / 9, 6) + 0.0 AS threshold, count(entropy) AS "rows" FROM (SELECT unnest(range(10)) AS k) CROSS JOIN known LEFT JOIN entropies ON entropy >= k * top / 9 - 1e-9 GROUP BY 1, 2',
+        known="SELECT ln(count(DISTINCT clusters)) AS top FROM features", **_ENTROPY,
     ),
 }
+
+#: What queries need of a cell, where it isn't everything.
+_NEEDS: dict[str, tuple[str, ...]] = {"assign_nearest_spot": (*parts.PLACE,), "bbox_filter": (*parts.PLACE,), "deconvolution": (*parts.PLACE,), "grid_spots": (*parts.PLACE,), "grouped_mean_melt": (*parts.GENES,), "hd_radius_mean": (*parts.PLACE, *parts.GENES,), "hd_radius_sum": (*parts.PLACE, *parts.GENES,), "hierarchy_clusters": (*parts.MORPH,), "kmeans_clusters": (*parts.MORPH,), "label_codes": (parts.NOTHING,), "majority_label": (*parts.PLACE,), "majority_label_threshold": (*parts.PLACE,), "median_cells_per_spot": (*parts.PLACE,), "minmax_features": (*parts.MORPH,), "nearest_distance_stats": (*parts.PLACE,), "onehot_pivot": (parts.NOTHING,), "outlier_cells": (*parts.PLACE,), "pca_components": (*parts.MORPH,), "pearson_vs_roi": (*parts.MORPH,), "polygon_filter": (*parts.PLACE,), "polygon_resample": (*parts.PLACE,), "ring_distance": (*parts.PLACE,), "dge_against_baseline": (*parts.PLACE, *parts.GENES,), "dge_gradient": (*parts.PLACE, *parts.GENES,), "ring_gradient": (*parts.PLACE, *parts.GENES,), "robustnorm": ("mean_gray",), "robustnorm_roundtrip": ("mean_gray",), "roi_bbox": (*parts.PLACE,), "select_similar": tuple(SIX), "roi_filter": (*parts.PLACE,), "savgol_smooth": (*parts.PLACE, *parts.GENES,), "spot_entropy_heterogeneity": (*parts.PLACE,), "spot_mean_from_cells": (*parts.PLACE, *parts.GENES,), "spot_to_cells": (*parts.PLACE, *parts.GENES,), "standardize_features": (*parts.MORPH,), "stratify_thresholds": (*parts.PLACE,), "tile_split": (*parts.PLACE,)}
+SQL = parts.needing(SQL, {k: v for k, v in _NEEDS.items() if k in SQL})

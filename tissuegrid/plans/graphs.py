@@ -11,8 +11,8 @@ from tissuegrid.plans import parts
 from tissuegrid.plans.parts import K, SHARE, sql
 
 
-def _cells(spark: SparkSession, folder: str) -> DataFrame:
-    return stage(parts.features(spark, folder))
+def _cells(spark: SparkSession, folder: str, *need: str) -> DataFrame:
+    return stage(parts.features(spark, folder, *need))
 
 
 def _transition(cells: DataFrame) -> DataFrame:
@@ -24,87 +24,87 @@ def _r(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 
 
 def knn_edges(spark, folder):
-    return _r(parts.knn(_cells(spark, folder)), "d")
+    return _r(parts.knn(_cells(spark, folder, *parts.PLACE, *parts.MORPH)), "d")
 
 
 def knn_constrained(spark, folder):
-    return _r(spatial.constrained_knn(_cells(spark, folder), parts.MORPH, K, 1500.0, ["sample_id"]), "d")
+    return _r(spatial.constrained_knn(_cells(spark, folder, *parts.PLACE, *parts.MORPH), parts.MORPH, K, 1500.0, ["sample_id"]), "d")
 
 
 def radius_edges(spark, folder):
-    return _r(spatial.radius_edges(_cells(spark, folder), 600.0, ["sample_id"]), "d")
+    return _r(spatial.radius_edges(_cells(spark, folder, *parts.PLACE), 600.0, ["sample_id"]), "d")
 
 
 def snn_edges(spark, folder):
-    return _r(graph.shared_neighbours(parts.knn(_cells(spark, folder)), K), "w")
+    return _r(graph.shared_neighbours(parts.knn(_cells(spark, folder, *parts.PLACE, *parts.MORPH)), K), "w")
 
 
 def snn_thresholded(spark, folder):
-    return _r(graph.thresholded(graph.shared_neighbours(parts.knn(_cells(spark, folder)), K), 0.4), "w")
+    return _r(graph.thresholded(graph.shared_neighbours(parts.knn(_cells(spark, folder, *parts.PLACE, *parts.MORPH)), K), 0.4), "w")
 
 
 def snn_of_neighbours(spark, folder):
-    return _r(graph.shared_neighbours(parts.knn(_cells(spark, folder)), K, True), "w")
+    return _r(graph.shared_neighbours(parts.knn(_cells(spark, folder, *parts.PLACE, *parts.MORPH)), K, True), "w")
 
 
 def snn_distance(spark, folder):
-    knn = parts.knn(_cells(spark, folder))
+    knn = parts.knn(_cells(spark, folder, *parts.PLACE, *parts.MORPH))
     return _r(graph.with_distance(parts.snn(knn), knn), "w", "d")
 
 
 def hop2_cells(spark, folder):
-    return graph.two_hops(parts.knn(_cells(spark, folder)))
+    return graph.two_hops(parts.knn(_cells(spark, folder, *parts.PLACE, *parts.MORPH)))
 
 
 def hop2_spots(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE, *parts.MORPH)
     return graph.hop_spots(parts.knn(cells), parts.spots_of(cells))
 
 
 def hop2_spot_cells(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE, *parts.MORPH)
     return graph.hop_spot_cells(parts.knn(cells), parts.spots_of(cells))
 
 
 def graph_symmetry(spark, folder):
     """Differing entries of the shared-neighbour graph (none) and of the neighbour graph."""
-    knn = parts.knn(_cells(spark, folder))
+    knn = parts.knn(_cells(spark, folder, *parts.PLACE, *parts.MORPH))
     count = lambda e, name: graph.asymmetric(e).agg(F.count("*").alias("differing")).select(F.lit(name).alias("graph"), "differing")
     return count(parts.snn(knn), "snn").unionByName(count(knn.withColumn("w", F.lit(1.0)), "knn"))
 
 
 def degree_stats(spark, folder):
-    return _r(graph.degrees(parts.snn(parts.knn(_cells(spark, folder)))), "strength")
+    return _r(graph.degrees(parts.snn(parts.knn(_cells(spark, folder, *parts.PLACE, *parts.MORPH)))), "strength")
 
 
 def neighbour_lists(spark, folder):
-    return graph.neighbour_lists(parts.knn(_cells(spark, folder))).select("i", F.array_join("neighbours", ",").alias("neighbours"))
+    return graph.neighbour_lists(parts.knn(_cells(spark, folder, *parts.PLACE, *parts.MORPH))).select("i", F.array_join("neighbours", ",").alias("neighbours"))
 
 
 def node_weights(spark, folder):
-    return _r(parts.weights(_cells(spark, folder)), "weight")
+    return _r(parts.weights(_cells(spark, folder, *parts.PLACE, *parts.MORPH)), "weight")
 
 
 def node_weights_balanced(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, "entropy_img")
     return _r(graph.balanced(cells.select("cell", "sample_id", "entropy_img"), "entropy_img", ["sample_id"]).select("cell", "balance"), "balance")
 
 
 def preferential_flow(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE, *parts.MORPH)
     return _r(graph.flow_edges(parts.snn(parts.knn(cells)), parts.weights(cells)), "w", "flow")
 
 
 def transition_matrix(spark, folder):
-    return _r(_transition(_cells(spark, folder)), "t")
+    return _r(_transition(_cells(spark, folder, *parts.PLACE, *parts.MORPH)), "t")
 
 
 def transition_rowsum(spark, folder):
-    return _r(_transition(_cells(spark, folder)).groupBy("dst").agg(F.sum("t").alias("total")), "total")
+    return _r(_transition(_cells(spark, folder, *parts.PLACE, *parts.MORPH)).groupBy("dst").agg(F.sum("t").alias("total")), "total")
 
 
 def inflation_transition(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE, *parts.MORPH)
     return _r(graph.inflated(parts.snn(parts.knn(cells)), parts.weights(cells), SHARE, 0.0), "t")
 
 
@@ -137,12 +137,12 @@ def neighbor_mean_std(spark, folder):
 
 
 def knn_smooth(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE, *parts.GENES)
     return _r(diffusion.smooth(parts.genes(cells), spatial.knn_edges(cells, "cell", ["x", "y"], 20, ["sample_id"])), "value")
 
 
 def radius_smooth(spark, folder):
-    cells = _cells(spark, folder)
+    cells = _cells(spark, folder, *parts.PLACE, *parts.GENES)
     return _r(diffusion.smooth(parts.genes(cells), spatial.radius_edges(cells, 600.0, ["sample_id"])), "value", places=9)
 
 
@@ -242,3 +242,7 @@ FROM features a JOIN features b ON a.sample_id = b.sample_id AND a.cell <> b.cel
     ),
     "radius_smooth": sql(_SMOOTH.format("near", 9), near=_RADIUS.format(600.0)),
 }
+
+#: What queries need of a cell, where it isn't everything.
+_NEEDS: dict[str, tuple[str, ...]] = {"degree_stats": (*parts.PLACE, *parts.MORPH,), "graph_symmetry": (*parts.PLACE, *parts.MORPH,), "hop2_cells": (*parts.PLACE, *parts.MORPH,), "hop2_spot_cells": (*parts.PLACE, *parts.MORPH,), "hop2_spots": (*parts.PLACE, *parts.MORPH,), "inflation_transition": (*parts.PLACE, *parts.MORPH,), "knn_constrained": (*parts.PLACE, *parts.MORPH,), "knn_edges": (*parts.PLACE, *parts.MORPH,), "knn_smooth": (*parts.PLACE, *parts.GENES,), "neighbour_lists": (*parts.PLACE, *parts.MORPH,), "node_weights": (*parts.PLACE, *parts.MORPH,), "node_weights_balanced": ("entropy_img",), "preferential_flow": (*parts.PLACE, *parts.MORPH,), "radius_edges": (*parts.PLACE,), "radius_smooth": (*parts.PLACE, *parts.GENES,), "snn_distance": (*parts.PLACE, *parts.MORPH,), "snn_edges": (*parts.PLACE, *parts.MORPH,), "snn_of_neighbours": (*parts.PLACE, *parts.MORPH,), "snn_thresholded": (*parts.PLACE, *parts.MORPH,), "transition_matrix": (*parts.PLACE, *parts.MORPH,), "transition_rowsum": (*parts.PLACE, *parts.MORPH,)}
+SQL = parts.needing(SQL, {k: v for k, v in _NEEDS.items() if k in SQL})

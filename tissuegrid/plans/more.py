@@ -29,19 +29,19 @@ def dge_welch_overestimated(spark, folder):
 
 def annotate_clusters(spark, folder):
     """The most frequent tissue label of each spot, given back to its cells."""
-    cells = stage(parts.features(spark, folder))
+    cells = stage(parts.features(spark, folder, *parts.PLACE))
     return labels.annotated(cells.join(parts.spots_of(cells), "cell"), "spot", "clusters", "annotation", 0.2).select("cell", "annotation")
 
 
 def annotate_by_expression(spark, folder):
     """Clusters of the components, each named after its most frequent label."""
-    cells = stage(parts.features(spark, folder))
+    cells = stage(parts.features(spark, folder, *parts.GENES))
     found = matrix.k_means(matrix.component_scores(cells, "cell", parts.GENES, 2), "cell", ["pc1", "pc2"], 20)
     return labels.annotated(cells.join(found, "cell"), "cluster", "clusters", "annotation").select("cell", "annotation")
 
 
 def marker_levels(spark, folder):
-    cells = stage(parts.features(spark, folder))
+    cells = stage(parts.features(spark, folder, *parts.GENES))
     markers = cells.sparkSession.createDataFrame([("expr_pc1", "tumor_core"), ("expr_pc2", "stroma_mix"), ("expr_pc3", "immune_edge")], "gene string, marks string")
     return labels.levels(parts.genes(cells), cells.filter("clusters is not null"), "clusters", F.broadcast(markers))
 
@@ -65,13 +65,13 @@ def gene_symbols(spark, folder):
 
 
 def transition_outward(spark, folder):
-    cells = stage(parts.features(spark, folder))
+    cells = stage(parts.features(spark, folder, *parts.PLACE, *parts.MORPH))
     return _r(graph.transition_outward(parts.snn(parts.knn(cells)), parts.weights(cells), SHARE), "t")
 
 
 def density_smooth(spark, folder):
     """Components smoothed over four times the median number of cells in a spot."""
-    cells = stage(parts.features(spark, folder))
+    cells = stage(parts.features(spark, folder, *parts.PLACE, *parts.GENES))
     k = 4 * cell_plans.median_cells_per_spot(spark, folder).first()["cells"]
     return _r(diffusion.smooth(parts.genes(cells), spatial.knn_edges(cells, "cell", ["x", "y"], int(k), ["sample_id"])), "value", places=8)
 
@@ -84,7 +84,7 @@ def integrated_components(spark, folder):
 
 
 def likely_separation(spark, folder):
-    return _r(simulate.likely_separation(parts.features(spark, folder), ["sample_id"]), "separation")
+    return _r(simulate.likely_separation(parts.features(spark, folder, *parts.PLACE), ["sample_id"]), "separation")
 
 
 def voronoi_raster(spark, folder):
@@ -103,12 +103,12 @@ def image_features(spark, folder):
 
 def minmax_expression(spark, folder):
     """Components scaled to [0, 1] over all cells, as an encoder takes them."""
-    return _r(matrix.minmax(parts.features(spark, folder).select("cell", *parts.GENES), parts.GENES), *parts.GENES)
+    return _r(matrix.minmax(parts.features(spark, folder, *parts.GENES).select("cell", *parts.GENES), parts.GENES), *parts.GENES)
 
 
 def spots_per_label(spark, folder):
     """Spots of the pitch by sample and label, with their cells."""
-    cells = stage(parts.features(spark, folder))
+    cells = stage(parts.features(spark, folder, *parts.PLACE))
     placed = cells.join(parts.spots_of(cells), "cell").filter("clusters is not null")
     return placed.groupBy("sample_id", "clusters").agg(F.count_distinct("spot").alias("spots"), F.count("*").alias("cells"))
 
@@ -161,3 +161,7 @@ FROM pixels p JOIN centres c ON p.sample_id = c.sample_id AND c.x BETWEEN p.col
         **{k: profiles._PIXELS[k] for k in ("pixels_all", "pixels", "centres")},
     ),
 }
+
+#: What queries need of a cell, where it isn't everything.
+_NEEDS: dict[str, tuple[str, ...]] = {"annotate_by_expression": (*parts.GENES,), "annotate_clusters": (*parts.PLACE,), "density_smooth": (*parts.PLACE, *parts.GENES,), "likely_separation": (*parts.PLACE,), "marker_levels": (*parts.GENES,), "minmax_expression": (*parts.GENES,), "spots_per_label": (*parts.PLACE,), "transition_outward": (*parts.PLACE, *parts.MORPH,)}
+SQL = parts.needing(SQL, {k: v for k, v in _NEEDS.items() if k in SQL})

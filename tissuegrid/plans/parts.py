@@ -16,15 +16,26 @@ from tissuegrid.operators import graph, matrix, spatial
 
 MORPH = ["mean_gray", "std_gray", "entropy_img", "mean_r", "mean_g", "mean_b"]
 GENES = ["expr_pc1", "expr_pc2", "expr_pc3"]
+#: For queries that need the label only.
+NOTHING = "-"
 PITCH, K, THRESHOLD, SHARE = 2000.0, 5, 0.1, 0.8
 
 
-def features(spark: SparkSession, folder: str) -> DataFrame:
-    """Cells with position and complete features: (cell, sample_id, clusters, x, y, features, components)."""
-    rows = table(spark, folder, "cell_features").select(F.col("cell_id").alias("cell"), "sample_id", clean_label("clusters").alias("clusters"), "x", "y", *MORPH, *GENES)
-    for c in ["x", "y", *MORPH, *GENES]:
-        rows = rows.filter(usable(c))
-    return rows.filter(" and ".join(f"{c} >= 0" for c in MORPH)).filter("sample_id is not null").distinct()
+PLACE = ["x", "y"]
+ALL = [*PLACE, *MORPH, *GENES]
+
+
+def features(spark: SparkSession, folder: str, *need: str) -> DataFrame:
+    """Cells with (cell, sample_id, clusters, the columns needed): those in which these are neither null nor NaN, and image features not negative; all columns by default.
+
+    A cell that lacks something else stays.
+    """
+    need = need or tuple(ALL)
+    rows = table(spark, folder, "cell_features").select(F.col("cell_id").alias("cell"), "sample_id", clean_label("clusters").alias("clusters"), *(c for c in need if c != NOTHING))
+    for c in need:
+        if c != NOTHING:
+            rows = rows.filter(usable(c) & (F.col(c) >= 0) if c in MORPH else usable(c))
+    return rows.filter("sample_id is not null").distinct()
 
 
 def spots_of(cells: DataFrame) -> DataFrame:
@@ -78,10 +89,18 @@ def counts(spark: SparkSession, folder: str) -> DataFrame:
 _Z = lambda c, n: f"CASE WHEN stddev_pop({c}) OVER w > 0 THEN ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w ELSE 0 END / sqrt({n}) AS {c}"
 _SPACE = [*((c, 2) for c in "xy"), *((c, len(MORPH)) for c in MORPH)]
 
+
+def features_sql(*need: str) -> str:
+    """`features` as SQL."""
+    columns = [c for c in need or ALL if c != NOTHING]
+    # As text, since a filter on NaN is dropped where the file's statistics, which leave NaN out, say that it always holds.
+    known = [f"CAST({c} AS VARCHAR) <> 'nan'" + (f" AND {c} >= 0" if c in MORPH else "") for c in columns]
+    return f"SELECT DISTINCT {', '.join(['cell_id AS cell', 'sample_id', "nullif(trim(clusters), '') AS clusters", *columns])} FROM cell_features WHERE {' AND '.join(['sample_id IS NOT NULL', *known])}"
+
+
 #: Common table expressions, in the order in which they may refer to each other.
 PARTS = {
-    "features": f"""SELECT DISTINCT cell_id AS cell, sample_id, nullif(trim(clusters), '') AS clusters, x, y, {", ".join(MORPH + GENES)} FROM cell_features
-WHERE sample_id IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in ["x", "y", *MORPH, *GENES])} AND {" AND ".join(f"{c} >= 0" for c in MORPH)}""",
+    "features": features_sql(),
     "spot_of": f"SELECT cell, concat_ws(':', sample_id, CAST(floor(x / {PITCH}) AS BIGINT), CAST(floor(y / {PITCH}) AS BIGINT)) AS spot FROM features",
     "spots": f"""SELECT DISTINCT concat_ws(':', sample_id, CAST(floor(x / {PITCH}) AS BIGINT), CAST(floor(y / {PITCH}) AS BIGINT)) AS spot, sample_id,
 (floor(x / {PITCH}) + 0.5) * {PITCH} AS x, (floor(y / {PITCH}) + 0.5) * {PITCH} AS y FROM features""",
@@ -103,6 +122,15 @@ UNION ALL SELECT cell, cell, (1 - {SHARE}) * weight FROM weights""",
 }
 
 
+def needing(statements: dict[str, str], needs: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    """The statements with the cells that have the columns a query needs, in place of those that have all."""
+    whole = PARTS["features"]
+    for name, need in needs.items():
+        if whole not in statements[name]:
+            raise ValueError(f"{name} reads no features")
+    return {k: s.replace(whole, features_sql(*needs[k])) if k in needs else s for k, s in statements.items()}
+
+
 def sql(select: str, **more: str) -> str:
     """A statement with the parts it needs as common table expressions; `more` are parts of its own."""
     known, needed = PARTS | more, {}

@@ -12,6 +12,7 @@ from tissuegrid.operators import analysis, cna, images, labels, simulate, spatia
 from tissuegrid.plans import cells as cell_plans
 from tissuegrid.plans import parts
 from tissuegrid.plans.parts import GENES, sql
+from tissuegrid.sources import files
 from tissuegrid.sources.delimited import PREDICTION, judge, valid_rows
 
 
@@ -115,7 +116,7 @@ def smoothed_set_score(spark, folder):
     """Mean of the components, smoothed over 20 neighbours, infinite and missing values replaced by the largest."""
     from tissuegrid.operators import diffusion
 
-    cells = stage(parts.features(spark, folder))
+    cells = stage(parts.features(spark, folder, *parts.PLACE, *parts.GENES))
     scores = cells.select("cell", F.lit("mean").alias("gene"), (sum(F.col(c) for c in GENES) / len(GENES)).alias("value"))
     return _r(diffusion.smooth(analysis.finite(scores, "value"), spatial.knn_edges(cells, "cell", ["x", "y"], 20, ["sample_id"])).select("cell", "value"), "value", places=8)
 
@@ -135,7 +136,10 @@ def _predictions(spark, folder) -> DataFrame:
 
 
 def cna_conflicts(spark, folder):
-    return cna.conflicts(_predictions(spark, folder), "cell_id", "cell_type")
+    """Barcodes whose label in the file differs from what their score says: half or more of the score stands for aneuploid."""
+    told = _predictions(spark, folder)
+    by_score = told.filter("score is not null").select("cell_id", F.when(F.col("score") >= 0.5, "aneuploid").otherwise("diploid").alias("cell_type"))
+    return cna.conflicts(told.select("cell_id", "cell_type").unionByName(by_score), "cell_id", "cell_type")
 
 
 def cna_merge_predictions(spark, folder):
@@ -144,9 +148,14 @@ def cna_merge_predictions(spark, folder):
 
 
 def cna_label_lookup(spark, folder):
-    """Barcodes of cells with their predicted label, as it is written or with dots and dashes exchanged; and the row order of heat-maps."""
-    barcodes = table(spark, folder, "cells").select(F.col("spot_barcodes").alias("barcode")).filter("barcode is not null").distinct()
-    found = cna.looked_up(barcodes, "barcode", cna_merge_predictions(spark, folder), "cell_id", "cell_type")
+    """The predicted label of barcodes, as they are written or with dots and dashes exchanged, and the row order of heat-maps.
+
+    Looked up are the barcodes of the cells, those of the predictions, and these in the other spelling.
+    """
+    merged = stage(cna_merge_predictions(spark, folder))
+    of_cells = table(spark, folder, "cells").select(F.col("spot_barcodes").alias("barcode")).filter("barcode is not null")
+    known = _predictions(spark, folder).select(F.explode(F.array("cell_id", cna.flipped(F.col("cell_id")))).alias("barcode"))
+    found = cna.looked_up(of_cells.unionByName(known).distinct(), "barcode", merged, "cell_id", "cell_type")
     return found.withColumn("place", cna.label_order(F.col("cell_type")))
 
 
@@ -175,14 +184,14 @@ def ligrec_pathway_filter(spark, folder):
 
 def distance_pairs(spark, folder):
     """Distances of all cells within the cut-off, each cell with itself included."""
-    cells = stage(parts.features(spark, folder))
+    cells = stage(parts.features(spark, folder, *parts.PLACE))
     a, b = (cells.select(F.col("cell").alias(k), "x", "y", "sample_id") for k in "ij")
     return _r(spatial.within(a, b, 500.0, ["sample_id"]).select("i", "j", "d"), "d")
 
 
 def filter_zero_cells(spark, folder):
     """Cells whose positive components sum to more than 0."""
-    genes = parts.genes(stage(parts.features(spark, folder))).filter("value > 0")
+    genes = parts.genes(stage(parts.features(spark, folder, *parts.GENES))).filter("value > 0")
     return genes.groupBy("cell").agg(F.sum("value").alias("total")).filter("total > 0").select("cell")
 
 
@@ -236,7 +245,7 @@ def paint_mask(spark, folder):
 
 
 def color_limits(spark, folder):
-    return _r(images.limits(parts.features(spark, folder), ["sample_id"], "expr_pc1", 0.01, 0.99), "vmin", "vmax")
+    return _r(images.limits(parts.features(spark, folder, "expr_pc1"), ["sample_id"], "expr_pc1", 0.01, 0.99), "vmin", "vmax")
 
 
 def sampled_pixels(spark, folder):
@@ -246,9 +255,9 @@ def sampled_pixels(spark, folder):
 
 def features_left_join_suffix(spark, folder):
     """Image features beside the large table's measurements; a name both have gets a suffix, and cells without a partner keep nulls."""
-    a = parts.features(spark, folder).select("cell", F.col("clusters").alias("clusters_default"), "mean_gray")
-    b = cell_plans.all_cells(spark, folder).groupBy("cell").agg(F.max("clusters").alias("clusters_external"), F.max("barcode").alias("barcode"))
-    return a.join(b, "cell", "left")
+    a = parts.features(spark, folder, "mean_gray").select("cell", "clusters", "mean_gray")
+    b = cell_plans.all_cells(spark, folder).groupBy("cell").agg(F.max("clusters").alias("clusters"), F.max("barcode").alias("barcode"))
+    return files.join_external(a, b, "cell")
 
 
 def logistic_dropout_prob(spark, folder):
@@ -288,7 +297,7 @@ def mislabel(spark, folder):
 
 def spot_mode_label(spark, folder):
     """The most frequent label of each simulated spot."""
-    cells = stage(parts.features(spark, folder))
+    cells = stage(parts.features(spark, folder, *parts.PLACE))
     placed = simulate.grid_spots(cells, 1500.0, ["sample_id"]).join(cells.select("cell", "clusters"), "cell")
     return labels.majority(placed, ["sample_id", "spot"], "clusters").select("sample_id", "spot", "majority")
 
@@ -320,7 +329,7 @@ coalesce(sum(value ** 2) FILTER (grp = 'r1'), 0) AS qb FROM counts JOIN regions
     "tests": "SELECT gene, round(ma, 5) + 0.0 AS mean_a, round(mb, 5) + 0.0 AS mean_b, round(CASE WHEN ea + eb > 0 THEN (ma - mb) / sqrt(ea + eb) END, 5) + 0.0 AS t, round(CASE WHEN ea + eb > 0 THEN (ea + eb) ** 2 / (ea ** 2 / nullif(na - 1, 0) + eb ** 2 / nullif(nb - 1, 0)) END, 5) + 0.0 AS df FROM errors",
 }
 _ORA = {
-    "tops": "SELECT cell, gene FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY value DESC, gene) AS r FROM counts) WHERE r <= 50",
+    "tops": "SELECT cell, gene FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY value DESC, gene) AS r FROM counts) WHERE r <= (SELECT ceil(count(DISTINCT gene) / 20) FROM counts)",
     "members": "SELECT DISTINCT p_brand AS geneset, p_partkey AS gene FROM part WHERE p_partkey IN (SELECT gene FROM counts)",
     "sizes": "SELECT geneset, count(*) AS m FROM members GROUP BY 1 HAVING count(*) >= 5",
     "grid": "SELECT cell, d, geneset, m FROM (SELECT cell, count(*) AS d FROM tops GROUP BY 1), sizes",
@@ -398,11 +407,14 @@ FROM (SELECT * FROM by_cell CROSS JOIN by_source) LEFT JOIN met USING (cell, sou
     "pattern_mean_scaled": sql(
         "SELECT module, cell, round(coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0), 6) + 0.0 AS value FROM (SELECT module, cell, coalesce(s, 0) / n AS v FROM (SELECT * FROM (SELECT p_type AS module, count(*) AS n FROM part GROUP BY 1) CROSS JOIN (SELECT DISTINCT cell FROM counts)) LEFT JOIN (SELECT p_type AS module, cell, sum(value) AS s FROM counts JOIN part ON p_partkey = gene GROUP BY 1, 2) USING (module, cell)) WINDOW w AS (PARTITION BY cell)",
     ),
-    "cna_conflicts": _predicted("SELECT cell_id, string_agg(DISTINCT cell_type, ',' ORDER BY cell_type) AS labels FROM valid GROUP BY 1 HAVING count(DISTINCT cell_type) > 1"),
+    "cna_conflicts": _predicted(
+        "SELECT cell_id, string_agg(DISTINCT cell_type, ',' ORDER BY cell_type) AS labels FROM both_calls GROUP BY 1 HAVING count(DISTINCT cell_type) > 1",
+        both_calls="SELECT cell_id, cell_type FROM valid UNION ALL SELECT trim(f[1]), CASE WHEN CAST(trim(f[3]) AS DOUBLE) >= 0.5 THEN 'aneuploid' ELSE 'diploid' END FROM judged WHERE reason IS NULL AND trim(f[3]) <> ''",
+    ),
     "cna_merge_predictions": _predicted(_MERGED),
     "cna_label_lookup": _predicted(
         """SELECT barcode, coalesce(a.cell_type, b.cell_type, 'NA') AS cell_type, CAST(CASE coalesce(a.cell_type, b.cell_type, 'NA') WHEN 'aneuploid' THEN 0 WHEN 'diploid' THEN 1 ELSE 99 END AS INTEGER) AS place
-FROM (SELECT DISTINCT spot_barcodes AS barcode FROM cells WHERE spot_barcodes IS NOT NULL) LEFT JOIN merged a ON a.cell_id = barcode LEFT JOIN merged b ON b.cell_id = translate(barcode, '.-', '-.')""",
+FROM (SELECT spot_barcodes AS barcode FROM cells WHERE spot_barcodes IS NOT NULL UNION SELECT cell_id FROM valid UNION SELECT translate(cell_id, '.-', '-.') FROM valid) LEFT JOIN merged a ON a.cell_id = barcode LEFT JOIN merged b ON b.cell_id = translate(barcode, '.-', '-.')""",
         merged=_MERGED,
     ),
     "cna_flip_ids": _predicted("SELECT line_id, translate(cell_id, '.-', '-.') AS flipped FROM valid"),
@@ -410,7 +422,7 @@ FROM (SELECT DISTINCT spot_barcodes AS barcode FROM cells WHERE spot_barcodes IS
     "cna_combine": "SELECT strftime(l_shipdate, '%Y-%m') AS month, l_returnflag, sum(CASE WHEN l_suppkey % 2 = 0 THEN l_quantity ELSE 0 END) AS half_0, sum(CASE WHEN l_suppkey % 2 = 1 THEN l_quantity ELSE 0 END) AS half_1 FROM lineitem GROUP BY 1, 2",
     "ligrec_pathway_filter": "SELECT geneset, count(*) AS members FROM marker_sets WHERE upper(collection) = 'CELL_MARKER' GROUP BY 1",
     "distance_pairs": sql("SELECT a.cell AS i, b.cell AS j, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) + 0.0 AS d FROM features a JOIN features b ON a.sample_id = b.sample_id WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 500.0 * 500.0"),
-    "filter_zero_cells": sql("SELECT cell FROM genes WHERE value > 0 GROUP BY 1 HAVING sum(value) > 2"),
+    "filter_zero_cells": sql("SELECT cell FROM genes WHERE value > 0 GROUP BY 1 HAVING sum(value) > 0"),
     "key_clean": "SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events",
     "roi_json_parse": """WITH box AS (SELECT event_type, min(value) AS x0, max(value) AS x1, min(user_id)::DOUBLE AS y0, max(user_id)::DOUBLE AS y1 FROM events GROUP BY 1),
 points AS (SELECT event_type, 'rect' AS form, unnest([0, 1, 2, 3, 4]) AS vertex, unnest([x0, x1, x1, x0, x0]) AS x, unnest([y0, y0, y1, y1, y0]) AS y FROM box
@@ -419,7 +431,7 @@ SELECT event_type, form, vertex, round(x / 2, 4) + 0.0 AS x, round(y / 2, 4) + 0
     "mask_centroids": sql("SELECT sample_id, cell AS label, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, pixels FROM centres", **_PIXELS),
     "patch_stats": sql("SELECT sample_id, cell, round(avg(gray), 8) + 0.0 AS mean_gray, round(stddev_pop(gray), 8) + 0.0 AS std_gray FROM patch GROUP BY 1, 2", **_PIXELS),
     "patch_entropy": sql("SELECT sample_id, cell, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) + 0.0 AS entropy FROM levels GROUP BY 1, 2", **_PIXELS, levels="SELECT sample_id, cell, gray, count(*) AS n FROM patch GROUP BY 1, 2, 3"),
-    "paint_mask": sql('SELECT p.sample_id, p."row", p.col, expr_pc1 AS value FROM pixels p JOIN features f ON f.cell = p.label AND f.sample_id = p.sample_id WHERE expr_pc1 > 0', **_PIXELS),
+    "paint_mask": sql('SELECT p.sample_id, p."row", p.col, expr_pc1 AS value FROM pixels p JOIN features f ON f.cell = p.label AND f.sample_id = p.sample_id', **_PIXELS),
     "color_limits": sql("SELECT sample_id, round(quantile_cont(expr_pc1, 0.01), 6) + 0.0 AS vmin, round(quantile_cont(expr_pc1, 0.99), 6) + 0.0 AS vmax FROM features GROUP BY 1"),
     "features_left_join_suffix": sql(
         "SELECT f.cell, f.clusters AS clusters_default, mean_gray, clusters_external, barcode FROM features f LEFT JOIN outside USING (cell)",
@@ -431,3 +443,7 @@ SELECT event_type, form, vertex, round(x / 2, 4) + 0.0 AS x, round(y / 2, 4) + 0
         placed="SELECT cell, sample_id, clusters, concat_ws('_', 'SPOT', CAST(floor((x - min(x) OVER w + 750) / 1500) AS BIGINT), CAST(floor((y - min(y) OVER w + 750) / 1500) AS BIGINT)) AS spot FROM features WINDOW w AS (PARTITION BY sample_id)",
     ),
 }
+
+#: What queries need of a cell, where it isn't everything.
+_NEEDS: dict[str, tuple[str, ...]] = {"color_limits": ("expr_pc1",), "distance_pairs": (*parts.PLACE,), "features_left_join_suffix": ("mean_gray",), "filter_zero_cells": (*parts.GENES,), "smoothed_set_score": (*parts.PLACE, *parts.GENES,), "spot_mode_label": (*parts.PLACE,)}
+SQL = parts.needing(SQL, {k: v for k, v in _NEEDS.items() if k in SQL})

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tissuegrid.common import ordinals, stage
@@ -52,9 +52,9 @@ def write_wide(entries: DataFrame, path: str, keys: list[str], cells: list[str],
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(file, cell_id, cell_type) of prediction files whose first line is a header; lines of fewer than two fields don't count."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.split("value", "\t").alias("f")).filter("size(f) >= 2")
-    return lines.select("file", F.col("f")[0].alias("cell_id"), F.col("f")[1].alias("cell_type")).filter("cell_id <> 'cell.names'")
+    """(file, cell_id, cell_type) of prediction files: their first line is a header whatever it says, and lines without two fields don't count."""
+    rows = spark.read.csv(path, sep="\t", header=True, quote="", schema="cell_id string, cell_type string")
+    return rows.select(F.col("_metadata.file_path").alias("file"), "cell_id", "cell_type").filter("cell_type is not null")
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
@@ -78,14 +78,20 @@ def write_matrix_market(entries: DataFrame, folder: str) -> None:
 
 
 def read_matrix_market(spark: SparkSession, folder: str) -> DataFrame:
-    """(g, c, value) with coordinates from 1."""
-    parts = F.split("value", " ")
-    lines = spark.read.text(folder).filter(~F.startswith("value", F.lit("%"))).select(parts[0].cast("long").alias("g"), parts[1].cast("long").alias("c"), parts[2].cast("double").alias("value"), F.size(parts).alias("n"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    sizes = lines.agg(F.max("g").alias("mg"), F.max("c").alias("mc"))  # the line of sizes has the largest of both, and comes first in the first file
-    first = lines.agg(F.min("file").alias("ff"))
-    marked = lines.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(first))
-    entries = lines.count() - 1
-    return marked.filter(~((F.col("file") == F.col("ff")) & (F.col("g") == F.col("mg")) & (F.col("c") == F.col("mc")) & (F.col("value") == entries))).select("g", "c", "value")
+    """(g, c, value) with coordinates from 1; entries without a value, as patterns have them, count as 1.
+
+    The line of sizes is the first line of the first file that is no comment; it alone is left out, whatever stands in it.
+    """
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")).filter(~F.startswith("value", F.lit("%")) & (F.trim("value") != ""))
+    first = lines.agg(F.min(F.struct("file", "at")).alias("f"), F.count("*").alias("n")).first()
+    if not first["n"]:
+        return spark.createDataFrame([], "g long, c long, value double")
+    leading = (F.col("file") == first["f"]["file"]) & (F.col("at") == first["f"]["at"])
+    # Lines of one split keep their order; only those of the first one are numbered.
+    head = lines.filter(leading).withColumn("o", F.monotonically_increasing_id())
+    head = head.withColumn("o", F.row_number().over(Window.orderBy("o"))).filter("o > 1").select("value")
+    part = F.split(F.trim("value"), r"\s+")
+    return lines.filter(~leading).select("value").unionByName(head).select(part[0].cast("long").alias("g"), part[1].cast("long").alias("c"), F.coalesce(F.get(part, 2).cast("double"), F.lit(1.0)).alias("value"))
 
 
 def write_frames(frames: dict[int, DataFrame], path: str) -> None:
