@@ -1,7 +1,8 @@
 """Lines of delimited text: typed rows from the valid ones, the others apart with the reason of their failure.
 
 Structure (quoting, number of fields) is judged line by line. Values are judged once for each distinct value of a column: the invalid ones
-form a dictionary (column, value, reason), which is joined back to the lines. Everything is built from JVM expressions.
+form a dictionary (column, value, reason), which is joined back to the lines. Everything is built from JVM expressions. Lines are parsed once, and their
+fields written to the shared folder; the dictionary reads one column of fields at a time.
 """
 
 from __future__ import annotations
@@ -57,8 +58,14 @@ def fields_of(raw: Column, separator: str = "\t") -> Column:
     line = F.when(F.endswith(line, F.lit("\r")), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
     parts = F.split(line, separator, -1)
     folded = _fold(parts)
-    quoted = F.struct(folded["fields"].alias("fields"), (folded["bad"] | folded["open"].isNotNull()).alias("bad"))
-    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.struct(parts.alias("fields"), F.lit(False).alias("bad")))
+    general = F.struct(folded["fields"].alias("fields"), (folded["bad"] | folded["open"].isNotNull()).alias("bad"))
+    # Without doubled quotes fields can be matched one by one; characters that no match takes stand after a closing quote or behind one that never closes.
+    led = F.concat(F.lit(separator), line)
+    matches = F.regexp_extract_all(led, F.lit(rf'{separator}(?:"[^"]*+"|[^"{separator}][^{separator}]*+|)'), F.lit(0))
+    text = lambda m: F.when(F.startswith(m, F.lit(separator + '"')), F.substring(m, F.lit(3), F.length(m) - 3)).otherwise(F.substring(m, 2, 2147483647))
+    simple = F.struct(F.transform(matches, text).alias("fields"), (F.length(F.array_join(matches, "")) != F.length(led)).alias("bad"))
+    plain = F.struct(parts.alias("fields"), F.lit(False).alias("bad"))
+    return F.when(~F.contains(line, F.lit('"')), plain).when(~F.contains(line, F.lit('""')), simple).otherwise(general)
 
 
 def judge(df: DataFrame, raw: str, fields: list[Field]) -> DataFrame:
@@ -76,24 +83,19 @@ def judge(df: DataFrame, raw: str, fields: list[Field]) -> DataFrame:
     split = df.withColumn(parsed, fields_of(F.col(raw)))
     bad, of = F.col(f"{parsed}.bad"), F.col(f"{parsed}.fields")
     structure = F.when(bad, F.lit("quoting")).when(F.size(of) != len(fields), F.lit("columns"))
-    values = F.struct(*(f.text(of[i]).alias(f.name) for i, f in enumerate(fields)))
-    rows = split.withColumn("reason", structure).withColumn("values", F.when(F.col("reason").isNull(), values)).drop(parsed)
-    checked = [f for f in fields if f.valid]
-    if not checked:
-        return rows
-    pairs = F.explode(F.array(*(F.struct(F.lit(f.name).alias("field"), F.col("values")[f.name].alias("value")) for f in checked)))
-    distinct = rows.filter("reason is null").select(pairs.alias("p")).select("p.field", "p.value").distinct()
-    wrong = F.lit(False)
-    for f in checked:
-        wrong = F.when(F.col("field") == f.name, ~F.coalesce(f.valid(F.col("value")), F.lit(False))).otherwise(wrong)
-    invalid = stage(distinct.filter(wrong))
+    held = [fresh(df, f"_field_{i}") for i in range(len(fields))]
+    texts = [F.when(F.col("reason").isNull(), f.text(F.get(of, i))).alias(h) for i, (f, h) in enumerate(zip(fields, held, strict=True))]
+    rows = stage(split.withColumn("reason", structure).select(*df.columns, "reason", *texts))
     reason = F.col("reason")
-    for f in checked:
-        flag, key = fresh(rows, f"_{f.name}_wrong"), fresh(rows, f"_{f.name}_value")
-        of_field = invalid.filter(F.col("field") == f.name).select(F.col("value").alias(key), F.lit(True).alias(flag))
-        rows = rows.join(of_field, F.col("values")[f.name] == F.col(key), "left")
-        reason = F.coalesce(reason, F.when(F.col(flag), F.lit(f.name)))
-    return rows.withColumn("reason", reason).select(*df.columns, "reason", "values")
+    for f, h in zip(fields, held, strict=True):
+        if f.valid:
+            key = fresh(rows, f"_{f.name}_wrong")
+            invalid = stage(rows.filter("reason is null").select(F.col(h).alias(key)).distinct().filter(~F.coalesce(f.valid(F.col(key)), F.lit(False))))
+            rows = rows.join(invalid, F.col(h) == F.col(key), "left")
+            reason = F.coalesce(reason, F.when(F.col(key).isNotNull(), F.lit(f.name)))
+    values = F.struct(*(F.col(h).alias(f.name) for f, h in zip(fields, held, strict=True)))
+    found = fresh(rows, "_structure")
+    return rows.withColumn(found, F.col("reason")).withColumn("reason", reason).select(*df.columns, "reason", F.when(F.col(found).isNull(), values).alias("values"))
 
 
 def faults(judged: DataFrame) -> DataFrame:
