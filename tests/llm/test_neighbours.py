@@ -88,6 +88,17 @@ def test_recall_on_features_over_half(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_recall_of_all_neighbours(spark):
+    """p5_all searches every shard a neighbour may lie in; compared for every hundredth cell."""
+    from tissuegrid.llm.feature_queries import _space, p5_all
+
+    folder = "/root/testdata/sf0.01"
+    got = {(r["query"], r["neighbour"]) for r in p5_all(spark, folder).filter("query % 100 = 0").collect()}
+    cells, space = _space(spark, folder)
+    want = {(r["query"], r["neighbour"]) for r in exact(cells, "cell_id", space, 10, queries=F.col("cell_id") % 100 == 0).collect()}
+    assert len(want) > 300 and len(got & want) / len(want) >= 0.9
+
+
 def test_graph_is_flat_and_connected():
     v = np.random.RandomState(0).randn(3000, 5)
     g = Graph.build(v, 8, 32)

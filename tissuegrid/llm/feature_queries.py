@@ -33,6 +33,13 @@ def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.select("query", "neighbour", F.round("distance", 6).alias("distance"), "rank")
 
 
+def p5_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest of all cells to every cell, from all shards they may lie in."""
+    cells, space = _space(spark, folder)
+    near = nearest(cells, "cell_id", space, 10)
+    return near.select("query", "neighbour", F.round("distance", 6).alias("distance"), "rank")
+
+
 def _groups(spark: SparkSession, folder: str) -> DataFrame:
     cells = table(spark, folder, "cell_features").select("cell_id", "sample_id", clean_label("clusters").alias("clusters"), "mean_gray", "entropy_img")
     cells = cells.filter((F.col("mean_gray") >= 0) & (F.col("entropy_img") >= 0))
@@ -48,12 +55,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Every group with its size, mean and three most typical cells."""
-    told = spectral.describe(_groups(spark, folder), "cell_id", ["sample_id", "clusters"], ["gray", "entropy"], RADIUS, 3, 6)
+    told = spectral.describe(_groups(spark, folder), "cell_id", ["sample_id", "clusters"], ["gray", "entropy"], RADIUS, 3, 10)
     members = F.array_join(F.transform("typical", lambda m: m.cast("string")), ",").alias("typical")
-    return told.select("sample_id", "clusters", "group_id", "size", rounded("mean_gray").alias("mean_gray"), rounded(F.col("mean_entropy") / 16).alias("entropy_img"), members, rounded("affinity", 5).alias("affinity"))
+    return told.select("sample_id", "clusters", "group_id", "size", rounded("mean_gray", 9).alias("mean_gray"), rounded(F.col("mean_entropy") / 16, 9).alias("entropy_img"), members, rounded("affinity", 5).alias("affinity"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_neighbours, p6_found, p6_groups)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_neighbours, p5_all, p6_found, p6_groups)}
 
 _SPACE = f"""cells AS (SELECT DISTINCT cell_id, {", ".join(f"{c} AS d{i}" for i, c in enumerate(COMPONENTS))}, mean_gray / 32 AS d6 FROM cell_features
   WHERE {" AND ".join(f"{c} BETWEEN -1e300 AND 1e300" for c in COMPONENTS)} AND mean_gray BETWEEN 0 AND 1e300)"""
@@ -74,9 +81,9 @@ SELECT query, neighbour, round(distance, 6) AS distance, CAST(rank AS INTEGER) A
     "p6_found": f"WITH {_GROUPS} SELECT group_id, cell_id FROM near WHERE group_id IN (SELECT group_id FROM near GROUP BY 1 HAVING count(*) > 1)",
     # The affinity of a member by its pairs; the operator takes it from the group's moments.
     "p6_groups": f"""WITH {_GROUPS}, members AS (SELECT * FROM cells JOIN near USING (cell_id)),
-scored AS (SELECT a.cell_id, a.sample_id, a.clusters, a.group_id, any_value(a.x) AS x, any_value(a.y) AS y, round(avg(1 - ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / {RADIUS**2}), 6) AS affinity
+scored AS (SELECT a.cell_id, a.sample_id, a.clusters, a.group_id, any_value(a.x) AS x, any_value(a.y) AS y, round(avg(1 - ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / {RADIUS**2}), 10) AS affinity
   FROM members a JOIN members b USING (group_id) GROUP BY ALL),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY affinity DESC, cell_id) AS r FROM scored)
-SELECT sample_id, clusters, group_id, count(*) AS size, round(avg(x), 6) + 0.0 AS mean_gray, round(avg(y) / 16, 6) + 0.0 AS entropy_img, string_agg(cell_id, ',' ORDER BY r) FILTER (r <= 3) AS typical,
+SELECT sample_id, clusters, group_id, count(*) AS size, round(avg(x), 9) + 0.0 AS mean_gray, round(avg(y) / 16, 9) + 0.0 AS entropy_img, string_agg(cell_id, ',' ORDER BY r) FILTER (r <= 3) AS typical,
 round(max(affinity), 5) + 0.0 AS affinity FROM numbered GROUP BY 1, 2, 3""",
 }

@@ -154,9 +154,9 @@ def clusters(df: DataFrame, id: str, block: list[str], coordinates: dict[str, Co
 
 def describe(found: DataFrame, id: str, block: list[str], coordinates: list[str], radius: float, typical: int = 3, places: int = 9) -> DataFrame:
     """One row a group: size, mean position (mean_...) and its `typical` members of highest internal affinity (equal ones to so many places by the smaller id), best first."""
-    square = sum(F.col(c) ** 2 for c in coordinates)
-    moments = stage(found.groupBy("group_id").agg(F.count("*").alias("size"), *(F.avg(c).alias(f"mean_{c}") for c in coordinates), F.avg(square).alias("_square")))
-    d2 = square - 2 * sum(F.col(c) * F.col(f"mean_{c}") for c in coordinates) + F.col("_square")
+    spread = sum(F.var_pop(c) for c in coordinates)
+    moments = stage(found.groupBy("group_id").agg(F.count("*").alias("size"), *(F.avg(c).alias(f"mean_{c}") for c in coordinates), spread.alias("_spread")))
+    d2 = sum((F.col(c) - F.col(f"mean_{c}")) ** 2 for c in coordinates) + F.col("_spread")
     scored = found.join(moments, "group_id").withColumn("affinity", F.round(1 - d2 / radius**2, places))
     best = Window.partitionBy("group_id").orderBy(F.desc("affinity"), F.asc(id))
     top = scored.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= typical)
