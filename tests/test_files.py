@@ -123,3 +123,15 @@ def test_predictions_have_any_header(spark, tmp_path):
     (tmp_path / "two.txt").write_text("names\tpred\ncell.names\tdiploid\n\"D\tdiploid\n")
     got = sorted((r.cell_id, r.cell_type) for r in files.read_predictions(spark, str(tmp_path)).collect())
     assert got == [('"D', "diploid"), ("A-1", "diploid"), ("C-1", "aneuploid"), ("cell.names", "diploid")]
+
+
+def test_parameters_work_or_raise(spark):
+    cells = spark.createDataFrame([(1, 0.0, 0.0, 1.0)], "cell long, x double, y double, f double")
+    spots = spark.createDataFrame([("a", 0.0, 0.0)], "spot string, x double, y double")
+    expression = spark.createDataFrame([("a", "g", 1.0, "raw"), ("a", "g", 2.0, "log")], "spot string, gene string, value double, layer string")
+    make = lambda expression, **p: Inference(cells, spots, expression, ["f"], 5.0, params=Params().changed(**p))
+    assert [r.value for r in make(expression, layer="log").expression.collect()] == [2.0]
+    plain = expression.drop("layer")
+    for given, p in ((expression, {}), (plain, {"layer": "log"}), (plain, {"conn_csr_matrix": "x"}), (plain, {"initialize": False}), (plain, {"out_prefix": "z"}), (plain, {"node_features_obs_list": ("q",)})):
+        with pytest.raises(ValueError):
+            make(given, **p)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tissuegrid.common import ordinals, quantiles
 from tissuegrid.functions import shapes
 from tissuegrid.functions.special import incomplete_beta, smoothing_weights, student_two_sided
-from tissuegrid.operators import analysis, cna, images, labels, simulate, spatial
+from tissuegrid.operators import analysis, cna, images, labels, matrix, simulate, spatial
 
 
 def test_heterogeneity_and_entropy(spark):
@@ -184,3 +184,47 @@ def test_quantiles_over_partitions(spark):
     for g in got:
         assert [got[g].low, got[g].mid, got[g].top] == pytest.approx(list(np.quantile(values[g], [0.1, 0.5, 1.0])))
     assert quantiles(df.filter("g = 'c'"), [], "v", {"q": 0.3}).first().q == 4 and quantiles(df.limit(0), ["g"], "v", {"q": 0.3}).count() == 0
+
+
+def test_entry_components_equal_numpy(spark):
+    r = np.random.RandomState(5)
+    x = np.where(r.rand(40, 6) < 0.3, 0, r.gamma(2, 2, (40, 6)))
+    df = spark.createDataFrame([(i, f"g{j}", float(x[i, j])) for i in range(40) for j in range(6) if x[i, j]], "cell long, gene string, value double")
+    got = {v.cell: (v.pc1, v.pc2) for v in matrix.entry_components(df, "cell", 2).collect()}
+    centred = x - x.mean(axis=0)
+    axes = np.linalg.svd(centred)[2][:2]
+    axes *= np.sign(axes[np.arange(2), np.abs(axes).argmax(axis=1)])[:, None]
+    want = centred @ axes.T
+    assert len(got) == 40 and max(abs(got[i][j] - want[i, j]) for i in range(40) for j in range(2)) < 1e-9
+
+
+def test_rings_and_baseline_by_hand(spark):
+    """Rings of width 2 around 0 and 2 (the range ends at 3), baseline from 0 to 1: cell 1 is in both, cell 3 beyond the last ring, cell 4 has no expression."""
+    distances = spark.createDataFrame([(1, 0.5), (2, 1.5), (3, 3.5), (4, 2.0)], "cell long, distance double")
+    entries = spark.createDataFrame([(1, "a", 3.0), (1, "b", 1.0), (2, "a", 2.0), (3, "b", 9.0)], "cell long, gene string, value double")
+    got = {(r.ring, r.gene): r.log2fc for r in analysis.against_baseline(entries, distances, (0.0, 3.0), (0.0, 1.0), 2.0).collect()}
+    mean = {(0, "a"): 0.75, (0, "b"): 0.25, (1, "a"): 0.5, (1, "b"): 0.0, (-1, "a"): 0.75, (-1, "b"): 0.25}
+    want = {(k, g): math.log2(v + 1e-6) - math.log2(mean[-1, g] + 1e-6) for (k, g), v in mean.items() if k >= 0}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert analysis.against_baseline(entries, distances.limit(0), (0.0, 3.0), (0.0, 1.0), 2.0).count() == 0
+    assert {r.gene for r in analysis.expressed(entries, distances, 1.5).collect()} == {"b"}
+    flat = spark.createDataFrame([(k, "g", 2.0) for k in range(10)], "ring int, gene string, log2fc double")
+    assert all(abs(r.smooth - 2) < 1e-9 for r in analysis.gradient(flat, 10).collect())
+
+
+def test_adjusted_over_stretches(spark):
+    p = spark.range(150_000).select(F.col("id").alias("gene"), (((F.col("id") * 7919) % 150_000 + 1) / 150_000.0).alias("p"))
+    got = analysis.adjusted(p).agg(F.min("p_adjusted"), F.max("p_adjusted"), F.count("*")).first()
+    assert abs(got[0] - 1) < 1e-9 and got[1] == 1 and got[2] == 150_000  # evenly spread chances: p n / rank is 1 throughout
+
+
+def test_variable_genes_have_no_cap(spark):
+    scores = spark.createDataFrame([(f"g{k}", 1.0, 2.0) for k in range(3000)] + [("low", 0.01, 2.0), ("flat", 1.0, 0.2), ("none", 1.0, None)], "gene string, mean double, score double")
+    assert analysis.variable(scores).count() == 3000
+    assert analysis.variable(scores.filter("gene in ('low', 'none')")).count() == 2
+
+
+def test_names_of_one_hot_name(spark):
+    cells = spark.range(5000).select(F.col("id").alias("cell"), F.lit("s").alias("s"), F.lit("n").alias("name"))
+    got = labels.unique_names(cells, ["s"], "name", ["cell"]).agg(F.count_distinct("unique_name"), F.max("ordinal")).first()
+    assert tuple(got) == (5000, 4999)

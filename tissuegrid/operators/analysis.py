@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tissuegrid.common import stage, with_groups
+from tissuegrid.common import ordinals, stage, with_groups
 from tissuegrid.functions.special import smoothing_weights, student_two_sided
 from tissuegrid.operators import spatial
 
@@ -48,11 +48,18 @@ def dispersions(entries: DataFrame, cells: int, bins: int = 20) -> DataFrame:
     return scored.select("gene", "mean", "dispersion", "bin", z.alias("score"))
 
 
+def variable(scores: DataFrame, least_mean: float = 0.0125, most_mean: float = 3.0, least_score: float = 0.5) -> DataFrame:
+    """(gene) of `dispersions` within these bounds (strictly), as many as there are; every gene where none is."""
+    inside = F.coalesce((F.col("mean") > least_mean) & (F.col("mean") < most_mean) & (F.col("score") > least_score), F.lit(False))
+    any_ = scores.agg(F.max(inside).alias("_any"))
+    return scores.crossJoin(F.broadcast(any_)).filter(inside | ~F.col("_any")).select("gene")
+
+
 def by_reconstruction(cosines: DataFrame, means: DataFrame, keep: float = 0.9, least_mean: float = 0.5) -> DataFrame:
     """Genes that a reduced model restores well: among the first `keep` of all in order of 1 - cosine, with at least the mean."""
     n = cosines.agg(F.count("*").alias("_n"))
-    order = Window.orderBy(F.asc_nulls_last(1 - F.col("cosine")), "gene")  # genes, not rows of the data
-    ranked = cosines.withColumn("rank", F.row_number().over(order) - 1).crossJoin(F.broadcast(n))
+    far = cosines.withColumn("_far", F.coalesce(1 - F.col("cosine"), F.lit(float("inf"))))
+    ranked = ordinals(far, [], ["_far", "gene"], "rank").withColumn("rank", F.col("rank").cast("int")).crossJoin(F.broadcast(n))
     return ranked.join(means, "gene").filter((F.col("rank") < keep * F.col("_n")) & (F.col("mean") >= least_mean)).select("gene", "rank", "mean")
 
 
@@ -118,13 +125,18 @@ def rank_sum(entries: DataFrame, groups: DataFrame, a: str, b: str) -> DataFrame
 
 
 def adjusted(tests: DataFrame, p: str = "p", out: str = "p_adjusted") -> DataFrame:
-    """Benjamini-Hochberg over the rows, which are genes: p n / rank, the running minimum from the largest p, at most 1. Null p stay out."""
+    """Benjamini-Hochberg over the rows, which are genes: p n / rank, the running minimum from the largest p, at most 1. Null p stay out.
+
+    Ranks are range-partitioned, and the minimum runs within stretches of ranks whose minima are put together.
+    """
     known = tests.filter(F.col(p).isNotNull() & ~F.isnan(p))
-    up = Window.orderBy(p, "gene")
-    ranked = known.withColumn("_r", F.row_number().over(up)).crossJoin(F.broadcast(known.agg(F.count("*").alias("_n"))))
-    raw = ranked.withColumn("_raw", F.col(p) * F.col("_n") / F.col("_r"))
-    lowest = F.min("_raw").over(Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
-    return raw.withColumn(out, F.least(lowest, F.lit(1.0))).drop("_r", "_n", "_raw")
+    ranked = ordinals(known, [], [p, "gene"], "_r").crossJoin(F.broadcast(known.agg(F.count("*").alias("_n"))))
+    raw = stage(ranked.withColumn("_raw", F.col(p) * F.col("_n") / (F.col("_r") + 1)).withColumn("_s", F.floor(F.col("_r") / 65_536)))
+    lows = raw.groupBy("_s").agg(F.min("_raw").alias("_low"))
+    later = lows.select("_s", F.min("_low").over(Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))  # one row a stretch
+    lowest = F.min("_raw").over(Window.partitionBy("_s").orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
+    done = raw.withColumn("_lowest", lowest).join(later, "_s")
+    return done.withColumn(out, F.least("_lowest", F.coalesce("_later", F.lit(1.0)), F.lit(1.0))).drop("_r", "_n", "_raw", "_s", "_lowest", "_later")
 
 
 def differential(entries: DataFrame, groups: DataFrame, a: str, b: str, cutoff: float = 0.01, least_fold: float = 1.0) -> DataFrame:
@@ -160,7 +172,7 @@ def against_baseline(entries: DataFrame, distances: DataFrame, reach: tuple[floa
     held = sums.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("ring", "_s"))).alias("_sums"))  # as many as there are rings
     known = entries.select("gene").distinct().join(held, "gene", "left")
     rings = sizes.agg(F.sort_array(F.collect_list(F.struct("ring", "_n"))).alias("_rings"))
-    each = known.crossJoin(F.broadcast(rings)).select("gene", "_sums", F.explode("_rings").alias("r"), F.filter("_rings", lambda r: r["ring"] == -1)[0]["_n"].alias("_b"))
+    each = known.crossJoin(F.broadcast(rings)).select("gene", "_sums", F.explode("_rings").alias("r"), F.get(F.filter("_rings", lambda r: r["ring"] == -1), 0)["_n"].alias("_b"))
     mean = lambda k, n: F.coalesce(F.try_element_at("_sums", k), F.lit(0.0)) / n
     fold = F.log2(mean(F.col("r.ring"), F.col("r._n")) + 1e-6) - F.log2(mean(F.lit(-1), F.col("_b")) + 1e-6)
     return each.filter("r.ring >= 0 and _b is not null").select(F.col("r.ring").alias("ring"), "gene", fold.alias("log2fc"))
@@ -279,8 +291,11 @@ def set_scores(entries: DataFrame, sets: DataFrame, genes: DataFrame, bins: int
 
     genes: (gene, mean); all genes of those bins serve as controls, so nothing is drawn at random. Absent entries are 0.
     """
-    order = Window.orderBy("mean", "gene")  # genes, not rows of the data
-    binned = stage(genes.withColumn("bin", F.ntile(bins).over(order)).select("gene", "bin"))
+    n = genes.count()
+    small, more = n // bins, n % bins  # the first bins have one gene more
+    place = F.col("_place")
+    bin = F.when(place < more * (small + 1), F.floor(place / (small + 1))).otherwise(more + F.floor((place - more * (small + 1)) / max(small, 1)))
+    binned = stage(ordinals(genes, [], ["mean", "gene"], "_place").select("gene", (bin + 1).cast("int").alias("bin")))
     members = stage(sets.select("geneset", "gene").distinct().join(binned, "gene"))
     controls = members.select("geneset", "bin").distinct().join(binned, "bin").join(members, ["geneset", "gene"], "left_anti").select("geneset", "gene")
     both = stage(members.select("geneset", "gene", F.lit(True).alias("member")).unionByName(controls.withColumn("member", F.lit(False))))

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tissuegrid.common import quantiles
+from tissuegrid.common import ordinals, quantiles
 
 
 def unique_names(cells: DataFrame, by: list[str], name: str, order: list[str]) -> DataFrame:
-    """`cells` with `ordinal` (0-based within equal names) and `unique_name`: the name itself, then name-1, name-2, ..."""
-    ordinal = F.row_number().over(Window.partitionBy(*by, name).orderBy(*order)) - 1
+    """`cells` with `ordinal` (0-based within equal names) and `unique_name`: the name itself, then name-1, name-2, ... A name may have any number of cells;
+    `order` must tell them apart. Cells without a name, or with a null in `by`, drop out."""
     suffixed = F.when(F.col("ordinal") == 0, F.col(name)).otherwise(F.concat_ws("-", F.col(name), F.col("ordinal").cast("string")))
-    return cells.withColumn("ordinal", ordinal).withColumn("unique_name", suffixed)
+    return ordinals(cells.dropna(subset=[*by, name]), [*by, name], order, "ordinal").withColumn("unique_name", suffixed)
 
 
 def downsample(cells: DataFrame, by: list[str], name: str, order: list[str], k: int) -> DataFrame:
@@ -90,9 +90,9 @@ def one_hot(df: DataFrame, id: list[str], label: str) -> DataFrame:
 
 
 def codes(df: DataFrame, label: str, code: str = "code") -> DataFrame:
-    """Numbers of the labels in sorted order; null has none. The distinct labels are numbered in one task: they are categories, not rows."""
+    """Numbers of the labels in sorted order; null has none."""
     distinct = df.select(label).filter(F.col(label).isNotNull()).distinct()
-    numbered = distinct.withColumn(code, F.row_number().over(Window.orderBy(label)) - 1)
+    numbered = ordinals(distinct, [], [label], code).withColumn(code, F.col(code).cast("int"))
     return df.join(numbered, label, "left")
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tissuegrid.common import quantiles, stage, union, with_groups
+from tissuegrid.common import ordinals, quantiles, stage, union, with_groups
 
 
 def standardize(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -154,20 +156,49 @@ def standardize_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(means)).withColumns({c: F.col(c) - F.col(f"_m{c}") for c in columns}).select(*df.columns)
 
 
+def entry_components(entries: DataFrame, row: str, k: int) -> DataFrame:
+    """Principal components of entries (row, gene, value), absent ones being 0: (row, pc1..pck) of the centred columns; the loading of largest size is positive.
+
+    A row is one vector of all genes; the covariance of the genes is summed up over the rows. Up to 65,535 genes. Fewer than k genes or no rows are an error.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    genes = stage(ordinals(entries.select("gene").distinct(), [], ["gene"], "_at"))
+    n = genes.count()
+    listed = entries.join(genes, "gene").groupBy(row).agg(F.collect_list("_at").alias("_at"), F.collect_list("value").alias("_v"))  # a row's genes
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(lo, 256) for lo in range(0, batch.num_rows, 256)):
+                full = np.zeros((part.num_rows, n))
+                at, v = part.column("_at"), part.column("_v")
+                of = np.repeat(np.arange(part.num_rows), np.diff(at.offsets.to_numpy()))
+                full[of, at.flatten().to_numpy()] = v.flatten().to_numpy(zero_copy_only=False)
+                ends = pa.array(np.arange(0, full.size + 1, n, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(row), pa.ListArray.from_arrays(ends, pa.array(full.reshape(-1)))], [row, "_x"])
+
+    kind = entries.schema[row].dataType.simpleString()
+    vectors = stage(listed.mapInArrow(run, f"`{row}` {kind}, _x array<double>")).select(row, array_to_vector("_x").alias("_x"))
+    model = PCA(k=k, inputCol="_x", outputCol="_p").fit(vectors)
+    loadings = model.pc.toArray()
+    signs = [1.0 if loadings[abs(loadings[:, j]).argmax(), j] > 0 else -1.0 for j in range(k)]
+    parts = model.transform(vectors).select(row, vector_to_array("_p").alias("_p")).select(row, *((F.col("_p")[j] * signs[j]).alias(f"pc{j + 1}") for j in range(k)))
+    return standardize_mean(stage(parts), [f"pc{j + 1}" for j in range(k)])
+
+
 def integrated(parts: dict[str, DataFrame], k: int, target: float = 10_000.0) -> DataFrame:
     """(source, cell, pc1..pck) of several matrices on their common genes: clipped at 0, log-normalised, put together, reduced."""
     genes = None
     for df in parts.values():
         genes = df.select("gene").distinct() if genes is None else genes.intersect(df.select("gene"))
-    names = [r["gene"] for r in genes.orderBy("gene").collect()]  # genes, not rows of the data
-    frames = []
+    genes, frames = stage(genes), []
     for source, df in parts.items():
-        kept = df.join(F.broadcast(genes), "gene").withColumn("value", F.greatest("value", F.lit(0.0)))
-        wide = log_normalized(kept, "cell", target=target).groupBy("cell").pivot("gene", names).agg(F.first("value")).fillna(0.0)
-        frames.append(wide.toDF("cell", *(f"g{i}" for i in range(len(names)))).withColumn("source", F.lit(source)))
+        kept = df.join(genes, "gene").withColumn("value", F.greatest("value", F.lit(0.0)))
+        frames.append(log_normalized(kept, "cell", target=target).withColumn("source", F.lit(source)))
     both = stage(union(frames).withColumn("key", F.concat_ws(":", "source", F.col("cell").cast("string"))))
-    scores = component_scores(both, "key", [f"g{i}" for i in range(len(names))], k)
-    return both.select("key", "source", "cell").join(scores, "key").drop("key")
+    scores = entry_components(both.select("key", "gene", "value"), "key", k)
+    return both.select("key", "source", "cell").distinct().join(scores, "key").drop("key")
 
 
 def bisecting(df: DataFrame, id: str, columns: Sequence[str], k: int, seed: int = 1) -> DataFrame:

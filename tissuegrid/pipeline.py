@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tissuegrid.common import stage
@@ -20,7 +20,9 @@ MANY, KEPT = 20, 15
 class Inference:
     """cells: (cell, x, y, block..., features...); spots: (spot, x, y, block...); expression: (spot, gene, value).
 
-    block: columns within which cells are neighbours (a sample). reach: the largest distance of a cell from its spot.
+    block: columns within which cells are neighbours (a sample). reach: the largest distance of a cell from its spot. Where a layer is set in the parameters,
+    `expression` has a column `layer`. edges: (i, j, w), a given graph of the cells in place of the one made here; table: (dst, src, t), a given transition
+    table, which is needed where the parameters say not to initialise. Parameters that name parts of a container are an error if they are changed.
     """
 
     cells: DataFrame
@@ -30,6 +32,26 @@ class Inference:
     reach: float
     block: list[str] = field(default_factory=list)
     params: Params = Params()
+    edges: DataFrame | None = None
+    table: DataFrame | None = None
+
+    def __post_init__(self):
+        g, r, usual = self.params.graph, self.params.run, Params()
+        if r.layer is not None:
+            if "layer" not in self.expression.columns:
+                raise ValueError("a layer is set, but the expression has no column for it")
+            self.expression = self.expression.filter(F.col("layer") == r.layer).drop("layer")
+        elif "layer" in self.expression.columns:
+            raise ValueError("the expression has layers, but none is set")
+        if g.conn_csr_matrix not in (None, "force"):
+            raise ValueError("give a graph as `edges`")
+        if not r.initialize and self.table is None:
+            raise ValueError("without initialising, a transition table must be given as `table`")
+        for part, names in ((g, ("conn_key", "node_features_obs_list", "reduced_dimension_transcriptome_obsm_key")), (r, ("conn_key", "out_prefix"))):
+            base = usual.graph if part is g else usual.run
+            changed = [k for k in names if getattr(part, k) != getattr(base, k)]
+            if changed:
+                raise ValueError(f"tables have no such names: {', '.join(changed)}")
 
     def prepare(self) -> DataFrame:
         """Cells with their nearest spot and its heterogeneity; cells out of reach drop out."""
@@ -73,7 +95,8 @@ class Inference:
 
     def transition(self, placed: DataFrame, knn: DataFrame) -> DataFrame:
         g = self.params.graph
-        edges = stage(graph.thresholded(graph.shared_neighbours(knn, g.n_neighbors), g.snn_threshold))
+        edges = self.edges if self.edges is not None and g.conn_csr_matrix != "force" else graph.shared_neighbours(knn, g.n_neighbors)
+        edges = stage(graph.thresholded(edges, g.snn_threshold))
         weights = graph.node_weights(placed.select("cell", *self.block, "heterogeneity"), "heterogeneity", self.block)
         if g.balance_cell_quality:
             balance = graph.balanced(placed.select("cell", *self.block, "heterogeneity"), "heterogeneity", self.block, *g.bcq_IQR).select("cell", "balance")
@@ -87,15 +110,16 @@ class Inference:
     def burn_in(self, placed: DataFrame, entries: DataFrame) -> DataFrame:
         """Components of the variable genes after a short diffusion over the graph of position and features: (cell, pc1, ...)."""
         p = self.params
-        n = placed.count()
-        scores = analysis.dispersions(entries.filter("value <> 0"), n).filter("score is not null")
-        chosen = scores.withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "gene"))).filter("r <= 2000").select("gene")  # genes, not rows of the data
-        few = stage(entries.join(F.broadcast(chosen), "gene"))
-        done = diffusion.diffuse(few, self.transition(placed, self.knn(placed)), p.run.burn_in_steps)[p.run.burn_in_steps]
-        genes = [r["gene"] for r in chosen.orderBy("gene").collect()]  # at most 2,000 names
-        wide = done.groupBy("cell").pivot("gene", genes).agg(F.first("value")).fillna(0.0)
-        renamed = wide.toDF("cell", *(f"g{k}" for k in range(len(genes))))
-        return stage(matrix.component_scores(renamed, "cell", renamed.columns[1:], p.graph.reduced_dimension_transcriptome_obsm_dims))
+        scores = analysis.dispersions(entries.filter("value <> 0"), placed.count())
+        few = stage(entries.join(analysis.variable(scores), "gene"))
+        done = diffusion.diffuse(few, self.transition(placed, self.knn(placed)), p.run.burn_in_steps, near=self.near(placed))[p.run.burn_in_steps]
+        kept = min(p.graph.reduced_dimension_transcriptome_obsm_dims, few.select("gene").distinct().count())
+        return stage(matrix.entry_components(done, "cell", kept))
+
+    def near(self, placed: DataFrame) -> DataFrame:
+        """Keys by which cells of one block that lie together come together."""
+        square = lambda c: F.floor(F.col(c) / self.reach)
+        return placed.select("cell", *(F.col(b).alias(f"_b{k}") for k, b in enumerate(self.block)), square("x").alias("_x"), square("y").alias("_y"))
 
     def predict(self, genes: list | None = None) -> dict[int, DataFrame]:
         """Diffused expression (cell, gene, value) by iteration written; `genes` restricts the genes that are followed."""
@@ -106,10 +130,10 @@ class Inference:
         theta = p.graph.adjust_cell_network_by_transcriptome_scale
         components = self.burn_in(placed, entries) if theta > 0 else None
         knn = self.knn(placed, components)
-        table = self.transition(placed, knn)
-        frames = diffusion.frames_to_write(p.run.n_iter, p.run.write_freq) or [p.run.n_iter]
+        table = self.transition(placed, knn) if p.run.initialize else self.table
+        frames = diffusion.frames_to_write(p.run.n_iter, 1 if p.run.save_chain else p.run.write_freq) or [p.run.n_iter]
         spot_of = placed.select("cell", "spot")
-        out = diffusion.diffuse(kept, table, p.run.n_iter, frames, spot_of=spot_of if p.run.regulate_expression_mean else None)
+        out = diffusion.diffuse(kept, table, p.run.n_iter, frames, spot_of=spot_of if p.run.regulate_expression_mean else None, near=self.near(placed))
         level, steps = p.run.stochastic_expression_neighbors_level, p.run.smooth_predicted_expression_steps
         if steps > 0 and level in ("spot", "cell"):
             edges = graph.hop_spot_cells(knn, spot_of) if level == "spot" else graph.two_hops(knn)
