@@ -124,20 +124,28 @@ def ordinals(df: DataFrame, by: list[str], order: list[str], name: str) -> DataF
     return placed.withColumn(name, within.cast("long")).join(offsets, [*by, part]).withColumn(name, F.col(name) + F.col(before)).drop(part, before)
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
-    """Exact quantiles (linear between order statistics) of each group: (by..., names of `at`). Null and NaN values don't count; a group of only those has no row.
+def running_counts(counts: DataFrame, by: list[str], value: str, n: str, upto: str, total: str) -> DataFrame:
+    """`counts` (by..., value, n), one row a value, with the counts up to and with each value in its group, and the group's total.
 
-    Equal values are counted before the shuffle; the counts are range-partitioned over all groups and summed up across partitions, so that no
-    task holds a group.
+    Values are range-partitioned over all groups and summed up across partitions, so that no task holds a group. Rows with a null in `by` are dropped.
     """
-    v, n, part, before, total = (fresh(df, c) for c in ("_v", "_n", "_part", "_before", "_total"))
-    counts = df.filter(usable(value)).groupBy(*by, F.col(value).cast("double").alias(v)).agg(F.count("*").alias(n))
-    placed = stage(counts.repartitionByRange(*by, v).withColumn(part, F.spark_partition_id()))
+    part, before = fresh(counts, "_part"), fresh(counts, "_before")
+    placed = stage(counts.repartitionByRange(*by, value).withColumn(part, F.spark_partition_id()))
     group = Window.partitionBy(*(by or [F.lit(1)]))
     sums = placed.groupBy(*by, part).agg(F.sum(n).alias("_m"))
     offsets = sums.select(*by, part, F.coalesce(F.sum("_m").over(group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before), F.sum("_m").over(group).alias(total))
-    upto = F.sum(n).over(Window.partitionBy(*by, part).orderBy(v).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = placed.withColumn("_upto", upto).join(offsets, [*by, part]).withColumn("_upto", F.col("_upto") + F.col(before))
+    within = F.sum(n).over(Window.partitionBy(*by, part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn(upto, within).join(offsets, [*by, part]).withColumn(upto, F.col(upto) + F.col(before)).drop(part, before)
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear between order statistics) of each group: (by..., names of `at`). Null and NaN values don't count; a group of only those has no row.
+
+    Equal values are counted before the shuffle, and no task holds a group.
+    """
+    v, n, total = (fresh(df, c) for c in ("_v", "_n", "_total"))
+    counts = df.filter(usable(value)).groupBy(*by, F.col(value).cast("double").alias(v)).agg(F.count("*").alias(n))
+    ranked = running_counts(counts, by, v, n, "_upto", total)
     picked, out = [], []
     for name, p in at.items():
         place = F.lit(p) * (F.col(total) - 1)

@@ -1,6 +1,7 @@
 """k nearest rows of every row, by shards of the space.
 
-Shards are the cells of a k-d tree, whose cut planes are fitted on a bounded sample; every vector lies in one of them. Equal vectors are one node, for
+Shards are the cells of a k-d tree, whose cut planes are fitted on a bounded sample, and cut a second time, each by a sample of its own, where there are
+more of them than that sample tells apart; every vector lies in one of them. Equal vectors are one node, for
 which the smallest identifiers stand, so that copies cost nothing. A query first looks into its own shard; the distance it finds there, or a
 distance given as limit, tells exactly which other shards may hold something nearer. What happens inside a shard is up to a kernel: the one here compares all.
 """
@@ -19,8 +20,8 @@ from tissuegrid.common import stage, usable
 
 #: Distance between the codes of different blocks, and the largest distance of one search.
 APART, FAR = 1e12, 1e11
-#: Rows of the largest sample that the cut planes are fitted on: some 40 MB.
-MOST = 500_000
+#: Rows of the largest sample that comes to the driver for cut planes (some 40 MB), and sampled rows for each shard.
+MOST, EACH = 500_000, 8
 HIT = "query long, node long, d2 double"
 
 
@@ -28,7 +29,7 @@ HIT = "query long, node long, d2 double"
 class Shards:
     """size: vectors of a shard, about; chunk: queries of one shard that one task takes.
 
-    sample: rows the cut planes are fitted on, about; eight for each shard if that is more, up to MOST. Beyond 60,000 shards, shards grow instead.
+    sample: rows the first cut planes are fitted on, about; EACH for each shard if that is more, up to MOST.
     """
 
     size: int = 1024
@@ -90,6 +91,16 @@ class Tree:
         return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(leaves or [np.zeros(0, int)])
 
 
+    def arrays(self) -> dict[str, list]:
+        return {"axis": self.axis, "cut": self.cut, "left": self.left, "right": self.right}
+
+    @classmethod
+    def of(cls, root: int, leaves: int, axis: list[int], cut: list[float], left: list[int], right: list[int]) -> Tree:
+        tree = cls.__new__(cls)
+        tree.root, tree.leaves, tree.axis, tree.cut, tree.left, tree.right = root, leaves, axis, cut, left, right
+        return tree
+
+
 def matrix(column, width: int) -> np.ndarray:
     """A column of lists of one length as an array."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -135,8 +146,76 @@ class Exact:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _visited(frame: DataFrame, tree: Tree, width: int, limit: float, first: bool) -> DataFrame:
-    """(shard, query, block, v): the shards a query has to look into. In a second search `r` is the distance found, and its own shard is left out."""
+def _seen(tree: Tree, v: np.ndarray, radius: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, home): the leaves a row has to look into, and whether a leaf is the row's own; `own` tells which rows lie in the tree at all."""
+    row, leaf = tree.visits(v, radius)
+    own_row, own_leaf = tree.visits(v, np.zeros(len(v)))
+    home = np.full(len(v), -1)
+    home[own_row] = own_leaf
+    if own is not None:
+        home[~own] = -1
+    return row, leaf, leaf == home[row]
+
+
+@dataclass(frozen=True)
+class Forest:
+    """A tree, and trees that cut its leaves again: (leaf, base, root, leaves, axis, cut, left, right), `base` being the number of the first of its leaves."""
+
+    top: Tree
+    below: DataFrame | None
+    leaves: int
+
+    @classmethod
+    def fit(cls, heads: DataFrame, width: int, n: int, shards: Shards) -> Forest:
+        wanted = -(-n // shards.size)
+        first = min(wanted, max(1, MOST // EACH))
+        step = max(1, n // min(MOST, max(shards.sample, EACH * first)))
+        sample = heads.filter(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).select("v").limit(2 * MOST).toArrow()
+        top = Tree(matrix(sample["v"], width), first)
+        if first == wanted:
+            return cls(top, None, top.leaves)
+        every = max(1, shards.size // EACH)
+        some = heads.filter(F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(every)) == 0).select(F.col("node").alias("query"), "block", "v")
+
+        def fitted(table):
+            tree = Tree(matrix(table["v"], width), max(1, round(table.num_rows * every / shards.size)))
+            return pa.Table.from_pylist([{"leaf": table["leaf"][0].as_py(), "root": tree.root, "leaves": tree.leaves, **tree.arrays()}], pa.schema([("leaf", pa.int32()), ("root", pa.int32()), ("leaves", pa.int32()), ("axis", pa.list_(pa.int32())), ("cut", pa.list_(pa.float64())), ("left", pa.list_(pa.int32())), ("right", pa.list_(pa.int32()))]))
+
+        trees = _routed(some, top, width, 0.0, True).groupBy("leaf").applyInArrow(fitted, "leaf int, root int, leaves int, axis array<int>, cut array<double>, left array<int>, right array<int>")
+        # A leaf without a sampled row stays whole.
+        spark = heads.sparkSession
+        all_ = spark.range(top.leaves).select(F.col("id").cast("int").alias("leaf")).join(trees, "leaf", "left").withColumns({"root": F.coalesce("root", F.lit(-1)), "leaves": F.coalesce("leaves", F.lit(1))})
+        upto = F.sum("leaves").over(Window.orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1))  # MOST / EACH rows at most
+        below = stage(all_.withColumn("base", F.coalesce(upto, F.lit(0)).cast("int")))
+        return cls(top, below, below.agg(F.sum("leaves").alias("n")).first()["n"])
+
+    def visited(self, frame: DataFrame, width: int, limit: float, first: bool) -> DataFrame:
+        """(shard, query, block, v): the shards a query has to look into. In a second search `r` is the distance found, and its own shard is left out."""
+        routed = _routed(frame, self.top, width, limit, first)
+        if self.below is None:
+            return routed.filter("not home" if not first else "true").select(F.col("leaf").alias("shard"), "query", "block", "v")
+
+        def run(key, rows, trees):
+            if not rows.num_rows:
+                return pa.table({"shard": pa.array([], pa.int32()), "query": rows["query"], "block": rows["block"], "v": rows["v"]})
+            of = trees.to_pylist()[0]
+            tree = Tree.of(of["root"], of["leaves"], *(of[c] or [] for c in ("axis", "cut", "left", "right")))
+            v = matrix(rows["v"], width)
+            row, leaf, home = _seen(tree, v, rows["r"].to_numpy(), rows["home"].to_numpy())
+            if not first:
+                row, leaf = row[~home], leaf[~home]
+            take = pa.array(row)
+            return pa.table({"shard": pa.array(leaf + of["base"], pa.int32()), "query": rows["query"].take(take), "block": rows["block"].take(take), "v": lists(v[row], pa.float64())})
+
+        # Rows of a leaf come in parts of a bounded number.
+        part = F.pmod(F.xxhash64("query"), F.lit(16)).cast("int")
+        rows = routed.withColumn("part", part).groupBy("leaf", "part")
+        trees = self.below.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15)))).groupBy("leaf", "part")
+        return rows.cogroup(trees).applyInArrow(run, "shard int, query long, block long, v array<double>")
+
+
+def _routed(frame: DataFrame, tree: Tree, width: int, limit: float, first: bool) -> DataFrame:
+    """(leaf, query, block, v, r, home): the leaves of the tree that a query has to look into, its distance, and whether the leaf is its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,17 +223,12 @@ def _visited(frame: DataFrame, tree: Tree, width: int, limit: float, first: bool
             if not len(v):
                 continue
             radius = np.full(len(v), limit) if first else np.minimum(batch.column("r").to_numpy(zero_copy_only=False), FAR)
-            row, leaf = tree.visits(v, radius)
-            if not first:
-                own_row, own = tree.visits(v, np.zeros(len(v)))
-                home = np.empty(len(v), int)
-                home[own_row] = own
-                row, leaf = row[leaf != home[row]], leaf[leaf != home[row]]
+            row, leaf, home = _seen(tree, v, radius, None)
             if len(row):
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), batch.column("query").take(take), batch.column("block").take(take), lists(v[row], pa.float64())], ["shard", "query", "block", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), batch.column("query").take(take), batch.column("block").take(take), lists(v[row], pa.float64()), pa.array(radius[row]), pa.array(home)], ["leaf", "query", "block", "v", "r", "home"])
 
-    return frame.mapInArrow(run, "shard int, query long, block long, v array<double>")
+    return frame.mapInArrow(run, "leaf int, query long, block long, v array<double>, r double, home boolean")
 
 
 def _tasks(spark, leaves: int, rows: int, shards: Shards, kernel) -> int:
@@ -213,14 +287,11 @@ def nearest(df: DataFrame, id: str, dimensions: list[Column | str], k: int, bloc
     n = heads.count()
     if n == 0:
         return spark.createDataFrame([], "query long, neighbour long, distance double, rank int")
-    leaves = -(-n // shards.size)
-    step = max(1, n // min(MOST, max(shards.sample, 8 * leaves)))
-    sample = heads.filter(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).select("v").limit(2 * MOST).toArrow()
-    tree = Tree(matrix(sample["v"], width), leaves)
+    forest = Forest.fit(heads, width, n, shards)
 
     as_query = heads.select(F.col("node").alias("query"), "block", "v")
-    tasks = _tasks(spark, tree.leaves, n, shards, kernel)
-    placed = stage(_visited(as_query, tree, width, 0.0, True))
+    tasks = _tasks(spark, forest.leaves, n, shards, kernel)
+    placed = stage(forest.visited(as_query, width, 0.0, True))
     index = placed.select(F.col("shard").alias("shard"), F.col("query").alias("node"), F.col("block").alias("block"), F.col("v").alias("v"))
     if kernel.schema:
         index = stage(index.repartition(tasks, "shard").groupBy("shard").applyInArrow(lambda t: kernel.rows(t, width), kernel.schema))
@@ -229,14 +300,14 @@ def nearest(df: DataFrame, id: str, dimensions: list[Column | str], k: int, bloc
         some = members.select(F.col("node").alias("query")).distinct()
         asked, placed = asked.join(some, "query", "left_semi"), stage(placed.join(some, "query", "left_semi"))
     endless = limit is None
-    first = placed if endless else stage(_visited(asked, tree, width, limit, True))
+    first = placed if endless else stage(forest.visited(asked, width, limit, True))
     hits = _search(index, first, shards, width, k, FAR if endless else limit, kernel, tasks)
     best = Window.partitionBy("query").orderBy("d2", "node")
-    if endless and tree.leaves > 1:
+    if endless and forest.leaves > 1:
         found = hits.withColumn("o", F.row_number().over(best)).filter(F.col("o") <= k).groupBy("query").agg(F.max("d2").alias("d2"), F.count("*").alias("n"))
         radius = F.when(F.col("n") == k, F.sqrt("d2") * (1 + 1e-12) + 1e-300)  # with fewer than k found, look everywhere
         known = asked.join(found.select("query", radius.alias("r")), "query", "left").withColumn("r", F.coalesce("r", F.lit(FAR)))
-        hits = hits.unionByName(_search(index, stage(_visited(known, tree, width, 0.0, False)), shards, width, k, FAR, kernel, tasks))
+        hits = hits.unionByName(_search(index, stage(forest.visited(known, width, 0.0, False)), shards, width, k, FAR, kernel, tasks))
     hits = hits.withColumn("o", F.row_number().over(best)).filter(F.col("o") <= k)
     # From nodes to rows: the candidates of a node are its own smallest ids and those of its neighbours.
     near = hits.join(heads.select("node", "ids"), "node").select(F.col("query").alias("node"), "d2", "ids")
