@@ -67,6 +67,17 @@ def test_blocks_few_rows_and_empty(spark):
     assert nearest(df.limit(1), "id", SPACE, 3).count() == 0
 
 
+def test_shards_cut_twice(spark, monkeypatch):
+    """Where the sample on the driver tells fewer shards apart than there are, each is cut again; the result stays exact."""
+    import tissuegrid.operators.nearest as core
+
+    monkeypatch.setattr(core, "MOST", 40)
+    rows = sample(900)
+    df = spark.createDataFrame(rows, SCHEMA)
+    same(collected(exact(df, "id", SPACE, 4, shards=Shards(16, 40, 50))), by_hand(rows, 4))
+    same(collected(exact(df, "id", SPACE, 3, limit=0.3, shards=Shards(16, 40))), by_hand(rows, 3, 0.3))
+
+
 def test_small_world_recall(spark):
     rows = sample(3000)
     df = spark.createDataFrame(rows, SCHEMA)

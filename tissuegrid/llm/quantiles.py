@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tissuegrid.common import stage, union, usable
+from tissuegrid.common import running_counts, stage, union, usable
 
 ALPHA = 0.01
 #: The bucket of infinite values.
@@ -96,8 +96,8 @@ def exact_percentiles(df: DataFrame, sk: DataFrame, by: str, value: str, probabi
     target = stage(at.withColumn("ranks", F.array_distinct(ranks)).filter(F.size("ranks") > 0).select(by, "sign", "bucket", (F.col("upto") - F.col("n")).alias("before"), "total", "ranks"))
     values = bucketed(df.select(by, F.col(value).cast("double").alias("_v")), "_v", alpha).join(target, [by, "sign", "bucket"])
     values = values.groupBy(by, "sign", "bucket", "before", "total", "ranks", "_v").agg(F.count("*").alias("n"))
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy(by, "sign", "bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    hit = values.withColumn("upto", upto).withColumn("rank", F.explode(F.filter("ranks", lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k))))
+    counted = running_counts(values, [by, "sign", "bucket"], "_v", "n", "_upto", "_all")  # a bucket may hold any number of values
+    hit = counted.withColumn("upto", F.col("before") + F.col("_upto")).withColumn("rank", F.explode(F.filter("ranks", lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k))))
     aggregates, columns = [], []
     for p in probabilities:
         position = F.lit(p) * (F.col("total") - 1)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tissuegrid.common import stage
+from tissuegrid.common import discard, stage
 
 #: Members of one set that one task takes.
 PART = 200_000
@@ -126,10 +126,16 @@ def similar_sets(members: DataFrame, name: str, item: str, threshold: float = 0.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    rows = members.select(F.col(name).alias("name"), F.col(item).alias("item")).dropna().distinct()
-    rows = stage(rows.select("name", F.xxhash64("name").alias("id"), "item", F.xxhash64("item").alias("h")))
-    whole = rows.groupBy("name", "id").agg(F.count("*").alias("size"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "item")).alias("y"))
-    whole = stage(whole)
+    given = members.select(F.col(name).alias("name"), F.col(item).alias("item")).dropna().distinct()
+    for seed in range(8):  # two names of one number are very unlikely; then all get other numbers
+        rows = stage(given.select("name", F.xxhash64("name", F.lit(seed)).alias("id"), "item", F.xxhash64("item").alias("h")))
+        whole = rows.groupBy("name", "id").agg(F.count("*").alias("size"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "item")).alias("y"))
+        whole = stage(whole)
+        if whole.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            break
+        discard(rows, whole)
+    else:
+        raise RuntimeError("no numbering without collisions")
     classes = whole.groupBy("size", "x", "y").agg(F.min("id").alias("class_id"))
     sets = stage(whole.join(classes, ["size", "x", "y"]).select("name", "id", "class_id", "size"))
 
