@@ -10,12 +10,27 @@ from tissuegrid.params import Params
 from tissuegrid.plans import inference, parts, registry
 
 
+def raw(spark, tables, *known):
+    """Cells of the table as it is with the columns known, whatever else they lack: (cell, clusters, known...)."""
+    cells = spark.read.parquet(f"{tables}/cell_features.parquet").select(F.col("cell_id").alias("cell"), F.nullif(F.trim("clusters"), F.lit("")).alias("clusters"), *known)
+    for c in known:
+        cells = cells.filter(F.col(c).isNotNull() & ~F.isnan(c))
+    return cells.distinct()
+
+
 def test_one_hot_keeps_every_label(spark, tables):
-    cells = parts.features(spark, tables).filter("clusters is not null")
+    cells = raw(spark, tables).filter("clusters is not null")
     got = registry.QUERIES["onehot_pivot"](spark, tables)
     assert {(r.cell, r.label, r.value) for r in got.collect()} == {(r.cell, r.clusters, 1) for r in cells.select("cell", "clusters").collect()}
 
 
+def test_cells_that_lack_something_else_stay(spark, tables):
+    complete = parts.features(spark, tables).count()
+    placed = raw(spark, tables, "x", "y")
+    got = registry.QUERIES["ring_distance"](spark, tables)
+    assert placed.count() > complete and {r.cell for r in got.select("cell").collect()} == {r.cell for r in placed.select("cell").collect()}
+
+
 def test_wrong_labels_come_from_all(spark, tables):
     cells = spark.range(6000).select(F.col("id").alias("cell"), F.when(F.col("id") % 7 < 6, F.concat(F.lit("l"), (F.col("id") % 6).cast("string"))).alias("label"))
     got = simulate.mislabelled(cells, "label", None, 0.5, 1).join(cells.withColumnRenamed("label", "was"), "cell").filter(~F.equal_null("label", "was"))
@@ -40,7 +55,7 @@ def test_simulated_genes_are_the_marker_sets(spark, tables):
 
 def test_thresholds_reach_the_logarithm_of_all_labels(spark, tables):
     most = registry.QUERIES["stratify_thresholds"](spark, tables).agg(F.max("threshold").alias("m")).first().m
-    assert most == pytest.approx(math.log(parts.features(spark, tables).select("clusters").filter("clusters is not null").distinct().count()), abs=1e-5)
+    assert most == pytest.approx(math.log(raw(spark, tables, "x", "y").select("clusters").filter("clusters is not null").distinct().count()), abs=1e-5)
     one = spark.createDataFrame([("s", 0.0)], "spot string, entropy double")
     assert {r.rows for r in labels.thresholds(one, "entropy", 1).collect()} == {1}
 
@@ -79,7 +94,7 @@ def test_every_cell_is_painted(spark, tables):
 
 
 def test_cells_of_any_positive_total_stay(spark, tables):
-    cells = parts.features(spark, tables)
+    cells = raw(spark, tables, *parts.GENES)
     want = cells.filter(" or ".join(f"{c} > 0" for c in parts.GENES)).select("cell")
     assert {r.cell for r in registry.QUERIES["filter_zero_cells"](spark, tables).collect()} == {r.cell for r in want.collect()}
 
