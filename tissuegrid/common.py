@@ -64,8 +64,10 @@ def discard(*staged: DataFrame) -> None:
     for df in staged:
         path = df.__dict__.pop("_tissuegrid_stage", None)
         if path:
-            df.sparkSession.sparkContext.__dict__["_tissuegrid_stages"].remove(path)
-            _delete(df.sparkSession, path)
+            known = df.sparkSession.sparkContext.__dict__.get("_tissuegrid_stages", [])
+            if path in known:
+                known.remove(path)
+                _delete(df.sparkSession, path)
 
 
 def clear_stages(spark: SparkSession) -> None:
