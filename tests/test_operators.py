@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tissuegrid.common import ordinals, quantiles
 from tissuegrid.functions import shapes
-from tissuegrid.functions.special import incomplete_beta, smoothing_weights, student_two_sided
+from tissuegrid.functions.special import incomplete_beta, log_tail, smoothing_weights, student_two_sided
 from tissuegrid.operators import analysis, cna, images, labels, matrix, simulate, spatial
 
 
@@ -228,3 +228,26 @@ def test_names_of_one_hot_name(spark):
     cells = spark.range(5000).select(F.col("id").alias("cell"), F.lit("s").alias("s"), F.lit("n").alias("name"))
     got = labels.unique_names(cells, ["s"], "name", ["cell"]).agg(F.count_distinct("unique_name"), F.max("ordinal")).first()
     assert tuple(got) == (5000, 4999)
+
+
+def test_tails_equal_counted_hands():
+    cases = [(m, d, o) for m in (1, 4, 9, 30) for d in (1, 5, 12, 30) for o in range(1, min(m, d) + 1)]
+    m, d, o = (np.array(v) for v in zip(*cases, strict=True))
+    got = log_tail(60.0, m, d, o)
+    for (a, b, c), g in zip(cases, got, strict=True):
+        hands = sum(math.comb(a, k) * math.comb(60 - a, b - k) for k in range(c, min(a, b) + 1))
+        assert g == pytest.approx(math.log(hands / math.comb(60, b)), abs=1e-9)
+
+
+def test_missing_pairs_are_completed(spark):
+    entries = spark.createDataFrame([(1, "a", 3.0), (1, "b", 1.0), (2, "c", 2.0), (3, "z", 5.0)], "cell long, gene string, value double")
+    sets = spark.createDataFrame([("s", "a"), ("s", "b"), ("t", "c"), ("t", "a"), ("u", "q")], "geneset string, gene string")
+    whole = analysis.over_representation(entries, sets, top=2, background=10, least_members=1).collect()
+    some = analysis.over_representation(entries, sets, top=2, background=10, least_members=1, every=False).collect()
+    assert {(r.cell, r.geneset): r.overlap for r in whole} == {(1, "s"): 2, (1, "t"): 1, (2, "s"): 0, (2, "t"): 1, (3, "s"): 0, (3, "t"): 0}
+    assert {(r.cell, r.geneset) for r in some} == {(1, "s"), (1, "t"), (2, "t")}
+    none = analysis.over_representation(entries.filter("false"), sets, top=2, background=10)
+    assert none.collect() == []
+    modules = spark.createDataFrame([("a", "m"), ("b", "n"), ("c", "n"), ("q", "o")], "gene string, module string")
+    levels = {(r.cell, r.module): r.value for r in analysis.module_means(entries, modules).collect()}
+    assert levels == {(1, "m"): 1.0, (1, "n"): pytest.approx(1 / 6), (1, "o"): 0.0, (2, "m"): 0.0, (2, "n"): 1.0, (2, "o"): 0.0}

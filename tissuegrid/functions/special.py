@@ -60,6 +60,43 @@ def student_two_sided(t: Column, df: Column) -> Column:
     return p(t, df)
 
 
+def log_tail(background: float, members: np.ndarray, drawn: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+    """ln of the chance that at least `overlap` >= 1 of `drawn` items are among `members`, drawn from `background` without replacement.
+
+    Terms are summed outwards from the largest one in the tail, until they no longer change the sum; all cases advance together.
+    """
+    m, d, o = (np.asarray(v, float) for v in (members, drawn, overlap))
+    rest, most = background - m - d, np.minimum(m, d)
+    k = np.maximum(o, np.minimum(np.floor((m + 1) * (d + 1) / (background + 2)), most))
+    ln = lambda n: log_gamma(n + 1)
+    largest = ln(m) + ln(background - m) + ln(d) + ln(background - d) - ln(background) - ln(k) - ln(m - k) - ln(d - k) - ln(rest + k)
+    total = np.ones_like(m)
+
+    def outwards(steps: np.ndarray, ratio) -> None:
+        """Each term is the one before it times ratio(step)."""
+        at, p, step = np.arange(len(m)), np.ones_like(m), 0
+        while len(at):
+            step += 1
+            on = (step <= steps[at]) & (p > 1e-20)
+            at, p = at[on], p[on]
+            p = p * ratio(at, step)
+            total[at] += p
+
+    outwards(most - k, lambda i, s: (m[i] - k[i] - s + 1) * (d[i] - k[i] - s + 1) / ((k[i] + s) * (rest[i] + k[i] + s)))
+    outwards(k - o, lambda i, s: (k[i] - s + 1) * (rest[i] + k[i] - s + 1) / ((m[i] - k[i] + s) * (d[i] - k[i] + s)))
+    return largest + np.log(total)
+
+
+def tail_score(background: int, members: Column, drawn: Column, overlap: Column) -> Column:
+    """-log10 of that chance; never below 0."""
+
+    @F.pandas_udf("double")
+    def score(m: pd.Series, d: pd.Series, o: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(log_tail(float(background), m.to_numpy(), d.to_numpy(), o.to_numpy()) / -np.log(10), 0.0))
+
+    return score(members, drawn, overlap)
+
+
 def smoothing_weights(window: int, order: int) -> list[float]:
     """Weights of a least-squares polynomial of the order over a window of even places, for its middle (between two places if the window is even)."""
     powers = np.vander(np.arange(window) - (window - 1) / 2, order + 1, increasing=True)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tissuegrid.common import ordinals, stage, with_groups
-from tissuegrid.functions.special import smoothing_weights, student_two_sided
+from tissuegrid.functions.special import smoothing_weights, student_two_sided, tail_score
 from tissuegrid.operators import spatial
 
 
@@ -220,20 +220,25 @@ def set_filter(sets: DataFrame, collection: str, keywords: list[str] = []) -> Da
     return pair.distinct()
 
 
-def _log_factorials(spark, n: int) -> DataFrame:
-    """(k, lf): ln k! for 0 to n. The table's size is the background, a parameter."""
-    numbers = spark.range(0, n + 1).select(F.col("id").alias("k"))
-    return numbers.withColumn("lf", F.sum(F.log(F.greatest("k", F.lit(1)).cast("double"))).over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
+def _completed(rows: DataFrame, names: DataFrame, key: str, absent: dict[str, Column]) -> DataFrame:
+    """One row for each of the names beside the other columns of `rows`, which has one row a cell: the fields of `_hits`, an array of structs (key, fields of
+    `absent`), or null, and those of `absent` for the names that are not among them. The missing pairs are made where the cell is, and are never shuffled."""
+    known = names.agg(F.collect_set(key).alias("_names"))  # one row of names
+    wide = rows.crossJoin(known)
+    lacking = lambda of: F.transform(of, lambda k: F.struct(k.alias(key), *(v.alias(c) for c, v in absent.items())))
+    rest = lacking(F.array_except("_names", F.transform("_hits", lambda h: h[key])))
+    both = F.when(F.col("_hits").isNull(), lacking(F.col("_names"))).otherwise(F.concat("_hits", rest))
+    return wide.withColumn("_hit", F.explode(both)).select(*(c for c in rows.columns if c != "_hits"), *(F.col(f"_hit.{c}") for c in (key, *absent)))
 
 
-def over_representation(entries: DataFrame, sets: DataFrame, top: int | None = None, background: int = 20_000, least_members: int = 5) -> DataFrame:
+def over_representation(entries: DataFrame, sets: DataFrame, top: int | None = None, background: int = 20_000, least_members: int = 5, every: bool = True) -> DataFrame:
     """(cell, geneset, overlap, score): -log10 of the chance that the `top` genes of a cell hold so many members of the set or more.
 
     sets: (geneset, gene). Without `top`, 5 % of the measured genes are drawn, rounded up; a cell with fewer entries draws those. The background has at least
-    the measured genes. Sets with fewer members among these than `least_members` drop out. Every cell meets every set; no overlap gives 0.
+    the measured genes. Sets with fewer members among these than `least_members` drop out. Every cell meets every set; no overlap gives 0, and
+    without `every` these rows are left out. Only pairs with an overlap are shuffled or written.
     The tail is summed once for each (members, drawn, overlap) that occurs: outwards from its largest term, so that neither tiny nor many terms are lost.
     """
-    spark = entries.sparkSession
     measured = stage(entries.select("gene").distinct())
     n = measured.count()
     top, background = math.ceil(n / 20) if top is None else top, max(background, n)
@@ -244,30 +249,15 @@ def over_representation(entries: DataFrame, sets: DataFrame, top: int | None = N
     sizes = members.groupBy("geneset").agg(F.count("*").alias("members")).filter(F.col("members") >= least_members)
     drawn = tops.groupBy("cell").agg(F.count("*").alias("drawn"))
     met = tops.join(members, "gene").groupBy("cell", "geneset").agg(F.count("*").alias("overlap"))
-    grid = drawn.crossJoin(sizes).join(met, ["cell", "geneset"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
-    grid = stage(grid)
-    lf = stage(_log_factorials(spark, background))
-    m, d, k = F.col("members"), F.col("drawn"), F.col("k")
-    rest = background - m - d
-    most = F.least(m, d)
-    mode = F.floor((m + 1) * (d + 1) / F.lit(background + 2.0))
-    cases = grid.select("members", "drawn", "overlap").distinct().filter("overlap > 0").withColumn("k", F.greatest("overlap", F.least(mode, most)))
-    look = lambda df, n, name: df.join(lf.select(F.col("k").alias("_key"), F.col("lf").alias(name)), n == F.col("_key")).drop("_key")
-    for n, name in ((m, "a"), (k, "b"), (m - k, "c"), (background - m, "d1"), (d - k, "e"), (rest + k, "f"), (F.lit(background), "g"), (d, "h"), (background - d, "i")):
-        cases = look(cases, n, name)
-    largest = F.col("a") - F.col("b") - F.col("c") + F.col("d1") - F.col("e") - F.col("f") - F.col("g") + F.col("h") + F.col("i")
-    start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("s"))
-
-    def outwards(first: Column, last: Column, ratio) -> Column:
-        """Sum of the terms beside the largest, as multiples of it: each is the one before it times ratio(step)."""
-        step = lambda s, x: F.struct((s["p"] * ratio(x)).alias("p"), (s["s"] + s["p"] * ratio(x)).alias("s"))
-        return F.when(first <= last, F.aggregate(F.sequence(first, F.greatest(first, last)), start, step, lambda s: s["s"])).otherwise(0.0)
-
-    up = outwards(k + 1, most, lambda x: (m - x + 1) * (d - x + 1) / (x * (rest + x)).cast("double"))
-    down = outwards(F.lit(1), k - F.col("overlap"), lambda x: (k - x + 1) * (rest + k - x + 1) / ((m - k + x) * (d - k + x)).cast("double"))
-    tails = cases.select("members", "drawn", "overlap", ((largest + F.log(1 + up + down)) / -math.log(10)).alias("tail"))
-    scored = grid.join(tails, ["members", "drawn", "overlap"], "left")
-    return scored.select("cell", "geneset", "overlap", F.when(F.col("overlap") == 0, 0.0).otherwise(F.greatest("tail", F.lit(0.0))).alias("score"))
+    met = stage(met.join(sizes, "geneset").join(drawn, "cell"))
+    cases = met.select("members", "drawn", "overlap").distinct()
+    tails = cases.withColumn("score", tail_score(background, F.col("members"), F.col("drawn"), F.col("overlap")))
+    scored = met.join(tails, ["members", "drawn", "overlap"]).select("cell", "geneset", "overlap", "score")
+    if not every:
+        return scored
+    found = scored.groupBy("cell").agg(F.collect_list(F.struct("geneset", "overlap", "score")).alias("_hits"))
+    none = {"overlap": F.lit(0).cast("long"), "score": F.lit(0.0)}
+    return _completed(drawn.select("cell").join(found, "cell", "left"), sizes, "geneset", none).select("cell", "geneset", "overlap", "score")
 
 
 def linear_scores(entries: DataFrame, network: DataFrame, genes: int, least_targets: int = 5) -> DataFrame:
@@ -278,9 +268,10 @@ def linear_scores(entries: DataFrame, network: DataFrame, genes: int, least_targ
     by_source = network.groupBy("source").agg(F.count("*").alias("targets"), F.sum("weight").alias("sw"), F.sum(F.col("weight") ** 2).alias("qw")).filter(F.col("targets") >= least_targets)
     by_cell = entries.groupBy("cell").agg(F.sum("value").alias("sv"), F.sum(F.col("value") ** 2).alias("qv"))
     cross = entries.join(network, "gene").groupBy("cell", "source").agg(F.sum(F.col("value") * F.col("weight")).alias("vw"))
-    grid = by_cell.crossJoin(by_source).join(cross, ["cell", "source"], "left")
+    found = cross.join(by_source, "source", "left_semi").groupBy("cell").agg(F.collect_list(F.struct("source", "vw")).alias("_hits"))
+    grid = _completed(by_cell.join(found, "cell", "left"), by_source, "source", {"vw": F.lit(0.0)}).join(by_source, "source")
     n = float(genes)
-    cov = F.coalesce("vw", F.lit(0.0)) - F.col("sv") * F.col("sw") / n
+    cov = F.col("vw") - F.col("sv") * F.col("sw") / n
     vv, ww = F.col("qv") - F.col("sv") ** 2 / n, F.col("qw") - F.col("sw") ** 2 / n
     r = F.when((vv > 0) & (ww > 0), cov / F.sqrt(F.when((vv > 0) & (ww > 0), vv * ww)))
     return grid.withColumn("r", r).select("cell", "source", (F.col("r") * F.sqrt((n - 2) / F.greatest(1 - F.col("r") ** 2, F.lit(1e-15)))).alias("t"))
@@ -316,8 +307,9 @@ def finite(scores: DataFrame, value: str) -> DataFrame:
 def module_means(entries: DataFrame, modules: DataFrame) -> DataFrame:
     """(module, cell, value): mean of a module's genes, scaled to [0, 1] over the modules of each cell. modules: (gene, module); absent entries are 0."""
     sizes = modules.groupBy("module").agg(F.count("*").alias("_n"))
-    means = entries.join(modules, "gene").groupBy("module", "cell").agg(F.sum("value").alias("_s")).join(sizes, "module").withColumn("v", F.col("_s") / F.col("_n"))
-    full = means.select("cell").distinct().crossJoin(sizes.select("module")).join(means.select("module", "cell", "v"), ["module", "cell"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
-    ranged = with_groups(stage(full), ["cell"], F.min("v").alias("_l"), F.max("v").alias("_u"))
-    width = F.when(F.col("_u") > F.col("_l"), F.col("_u") - F.col("_l"))
-    return ranged.select("module", "cell", F.coalesce((F.col("v") - F.col("_l")) / width, F.lit(0.0)).alias("value"))
+    means = entries.join(modules, "gene").groupBy("module", "cell").agg(F.sum("value").alias("_s")).join(sizes, "module").select("module", "cell", (F.col("_s") / F.col("_n")).alias("v"))
+    found = means.groupBy("cell").agg(F.collect_list(F.struct("module", "v")).alias("_hits"), F.min("v").alias("_l"), F.max("v").alias("_u"), F.count("*").alias("_c"))
+    whole = found.crossJoin(sizes.agg(F.count("*").alias("_m")))
+    low, high = (F.when(F.col("_c") < F.col("_m"), f(F.col(c), F.lit(0.0))).otherwise(F.col(c)) for f, c in ((F.least, "_l"), (F.greatest, "_u")))
+    ranged = _completed(whole.withColumn("_low", low).withColumn("_width", F.when(high > low, high - low)), sizes, "module", {"v": F.lit(0.0)})
+    return ranged.select("module", "cell", F.coalesce((F.col("v") - F.col("_low")) / F.col("_width"), F.lit(0.0)).alias("value"))
