@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tissuegrid.common import table
+from tissuegrid.common import shared_folder, table
 from tissuegrid.sources.delimited import PREDICTION, faults, judge, reason_counts, valid_rows
+from tissuegrid.sources.records import read_records
 
 
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,7 +31,19 @@ def p3_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return reason_counts(_judged(spark, folder), ["split_file"])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_valid, p3_reasons)}
+def p3_loaded(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines written to text files and loaded again, records put together across line feeds: valid typed rows and faults by reason, counted by type.
+
+    A file doesn't tell where a broken record was meant to end, so a line with an open quote and a line feed comes out as two faults here.
+    """
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    table(spark, folder, "cna_predictions_raw").select(F.coalesce("raw_line", F.lit("")).alias("raw_line")).write.text(path)
+    judged = judge(read_records(spark, path), "raw_line", PREDICTION)
+    known = F.when(F.col("reason").isNull(), F.lower(F.col("values.cell_type")))
+    return judged.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason"), known.alias("cell_type")).agg(F.count("*").alias("records"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_valid, p3_reasons, p3_loaded)}
 
 _FIELD = r'("(?:[^"]|"")*"|[^"\t][^\t]*|)'
 _PARSED = rf"""lines AS (SELECT line_id, split_file, regexp_replace(coalesce(raw_line, ''), '\r\z', '') AS line FROM cna_predictions_raw),
