@@ -34,7 +34,7 @@ def p3_reasons(spark: SparkSession, folder: str) -> DataFrame:
 def p3_loaded(spark: SparkSession, folder: str) -> DataFrame:
     """The lines written to text files and loaded again, records put together across line feeds: valid typed rows and faults by reason, counted by type.
 
-    A file doesn't tell where a broken record was meant to end, so a line with an open quote and a line feed comes out as two faults here.
+    A file doesn't tell where a broken record was meant to end: one with an open quote and a line feed would come out as two faults. These tables have none.
     """
     path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
     table(spark, folder, "cna_predictions_raw").select(F.coalesce("raw_line", F.lit("")).alias("raw_line")).write.text(path)
@@ -60,5 +60,6 @@ SQL = {
     "p3_found": f"WITH {_PARSED} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p3_valid": f"""WITH {_PARSED} SELECT line_id, split_file, trim(f[1]) AS cell_id, lower(trim(f[2])) AS cell_type,
 TRY_CAST(nullif(trim(f[3]), '') AS DOUBLE) AS score, f[4] AS note FROM judged WHERE reason IS NULL""",
+    "p3_loaded": f"WITH {_PARSED} SELECT coalesce(reason, 'valid') AS reason, CASE WHEN reason IS NULL THEN lower(trim(f[2])) END AS cell_type, count(*) AS records FROM judged GROUP BY ALL",
     "p3_reasons": f"WITH {_PARSED} SELECT split_file, coalesce(reason, 'valid') AS reason, count(*) AS lines FROM judged GROUP BY ALL",
 }
