@@ -135,3 +135,8 @@ def test_parameters_work_or_raise(spark):
     for given, p in ((expression, {}), (plain, {"layer": "log"}), (plain, {"conn_csr_matrix": "x"}), (plain, {"initialize": False}), (plain, {"out_prefix": "z"}), (plain, {"node_features_obs_list": ("q",)})):
         with pytest.raises(ValueError):
             make(given, **p)
+
+
+def test_cell_lists(spark, tmp_path):
+    (tmp_path / "cells.txt").write_text("c1\textra\n\n\tnothing\nc2\nc1\n")
+    assert sorted(r.cell for r in files.read_cell_list(spark, str(tmp_path / "cells.txt")).collect()) == ["c1", "c1", "c2"]

@@ -251,3 +251,27 @@ def test_missing_pairs_are_completed(spark):
     modules = spark.createDataFrame([("a", "m"), ("b", "n"), ("c", "n"), ("q", "o")], "gene string, module string")
     levels = {(r.cell, r.module): r.value for r in analysis.module_means(entries, modules).collect()}
     assert levels == {(1, "m"): 1.0, (1, "n"): pytest.approx(1 / 6), (1, "o"): 0.0, (2, "m"): 0.0, (2, "n"): 1.0, (2, "o"): 0.0}
+
+
+def test_sampled_painting(spark):
+    pixels = spark.range(0, 40).select(F.lit("s").alias("image"), (F.col("id") % 4).alias("label"), F.col("id").cast("int").alias("row"), F.lit(0).alias("col"))
+    values = spark.createDataFrame([("s", 1, "g", 0.0), ("s", 2, "g", 1.0), ("s", 3, "g", 4.0), ("s", 1, "zero", 0.0), ("s", 2, "one", 7.0), ("s", 9, "g", 2.0)], "image string, label long, gene string, value double")
+    drawn = images.sampled_painting(pixels, values, ["image"], 2.0, 1)
+    assert {(r.gene, r.label): r.n for r in drawn.groupBy("gene", "label").agg(F.count("*").alias("n")).collect()} == {("g", 2): 5, ("g", 3): 10, ("one", 2): 10}
+    assert drawn.filter("row % 4 <> label").count() == 0 and drawn.select("gene", "row").distinct().count() == 25
+    assert images.sampled_painting(pixels, values.filter("false"), ["image"]).count() == 0
+    paint = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, None)], "row int, col int, value double")
+    assert [r.value for r in images.at_least(paint, 1.0).collect()] == [1.0, 1.0] and [r.value for r in images.at_least(paint, 1.0, True, False).collect()] == [2.0]
+
+
+def test_masked_and_stored_entries(spark):
+    rows = spark.createDataFrame([(1, 0.0, 2.0), (2, None, -1.0)], "id long, a double, b double")
+    entries = matrix.stored(rows, "id", ["a", "b"])
+    assert {tuple(r) for r in entries.collect()} == {(1, "b", 2.0), (2, "b", -1.0)}
+    assert [r.cell for r in matrix.masked(entries, F.when(F.col("cell") == 1, F.lit(None).cast("boolean")).otherwise(True)).collect()] == [1]
+
+
+def test_first_polygon(spark):
+    drawn = spark.createDataFrame([("p", '{"shapes": [{"type": "line"}, {"path": "M0,0L4,0L4,4L0,4Z"}, {"type": "rect", "x0": 9, "y0": 9, "x1": 10, "y1": 10}]}'), ("none", "{}")], "name string, json string")
+    ring = shapes.first_polygon(drawn, "json", ["name"], 5).orderBy("k").collect()
+    assert [(r.x, r.y) for r in ring] == [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)] and {r.name for r in ring} == {"p"}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tissuegrid.operators.spatial import resampled
+
 _SHAPE = "struct<type: string, path: string, x0: double, y0: double, x1: double, y1: double>"
 
 
@@ -41,3 +43,10 @@ def polygons(df: DataFrame, json: str, scale: float = 1.0) -> DataFrame:
     ring = F.coalesce(polygon_from_path(F.col("_shape.path")), polygon_from_rect(F.col("_shape")))
     scaled = F.transform(ring, lambda p: F.struct((p["x"] / scale).alias("x"), (p["y"] / scale).alias("y")))
     return rows.withColumn("ring", scaled).filter("ring is not null").drop("_shape")
+
+
+def first_polygon(df: DataFrame, json: str, by: list[str], points: int = 100, scale: float = 1.0) -> DataFrame:
+    """(by..., k, x, y): the first path or rectangle of each drawing as evenly spaced points along it. A drawing without one has no rows."""
+    rings = polygons(df.select(*by, json), json, scale)
+    first = rings.groupBy(*by).agg(F.min_by("ring", "place").alias("ring"))
+    return resampled(first.select(*by, F.posexplode("ring").alias("place", "p")).select(*by, "place", "p.x", "p.y"), by, points)

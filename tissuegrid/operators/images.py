@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tissuegrid.common import quantiles, stage
+from tissuegrid.common import quantiles, stage, with_groups
 from tissuegrid.operators.spatial import context_sizes, nearest_spot, outliers
 
 
@@ -75,6 +75,27 @@ def painted(pixels: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
     return pixels.filter("label > 0").join(values.select(*by, "label", "value"), [*by, "label"]).select(*by, "row", "col", "value")
 
 
+def at_least(paint: DataFrame, least: float, strict: bool = False, unify: bool = True) -> DataFrame:
+    """Painted pixels from the threshold on, or above it if strict; unify: with the value 1. Null values stay out, and NaN counts as largest."""
+    kept = paint.filter(F.col("value") > least if strict else F.col("value") >= least)
+    return kept.withColumn("value", F.lit(1.0)) if unify else kept
+
+
+def sampled_painting(pixels: DataFrame, values: DataFrame, by: list[str], more: float = 2.0, seed: int = 0) -> DataFrame:
+    """(by..., gene, label, row, col, value): a share of each cell's pixels for each gene, `more` times the place of its value in the gene's range within `by`, at most all.
+
+    values: (by..., label, gene, value) without nulls. A gene of one value paints all pixels, or none where it is 0. Draws depend on the seed and the pixel.
+    """
+    sizes = pixels.filter("label > 0").groupBy(*by, "label").agg(F.count("*").alias("_size"))
+    ranged = with_groups(values, [*by, "gene"], F.min("value").alias("_l"), F.max("value").alias("_u"))
+    place = F.when(F.col("_u") > F.col("_l"), (F.col("value") - F.col("_l")) / (F.col("_u") - F.col("_l")))
+    share = F.least(F.coalesce(place, F.when(F.col("_u") == 0, 0.0).otherwise(1.0)) * more, F.lit(1.0))
+    wanted = ranged.join(sizes, [*by, "label"]).withColumn("_n", F.floor(F.col("_size") * share)).filter("_n > 0")
+    drawn = pixels.select(*by, "label", "row", "col").join(wanted.select(*by, "label", "gene", "value", "_n"), [*by, "label"])
+    order = F.row_number().over(Window.partitionBy(*by, "label", "gene").orderBy(F.xxhash64(F.lit(seed), "gene", "row", "col"), "row", "col"))  # a cell's pixels
+    return drawn.withColumn("_o", order).filter("_o <= _n").select(*by, "gene", "label", "row", "col", "value")
+
+
 def only_cytoplasm(cell_pixels: DataFrame, nucleus_pixels: DataFrame, by: list[str]) -> DataFrame:
     """Pixels of cells that no nucleus covers."""
     return cell_pixels.filter("label > 0").join(nucleus_pixels.filter("label > 0"), [*by, "row", "col"], "left_anti")

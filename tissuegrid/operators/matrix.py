@@ -218,3 +218,13 @@ def k_means(df: DataFrame, id: str, columns: Sequence[str], k: int, seed: int =
     vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(df)
     return KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(vectors).transform(vectors).select(id, "cluster")
 
+
+
+def masked(entries: DataFrame, mask: Column) -> DataFrame:
+    """Entries without those that the mask names, and without stored zeros. A null mask keeps the entry."""
+    return entries.filter(~F.coalesce(mask, F.lit(False)) & (F.col("value") != 0))
+
+
+def stored(rows: DataFrame, cell: str, columns: list[str]) -> DataFrame:
+    """(cell, gene, value) of a dense table: one entry for each value that is neither null nor 0."""
+    return rows.unpivot(cell, [F.col(c) for c in columns], "gene", "value").withColumnRenamed(cell, "cell").filter("value <> 0")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tissuegrid.common import rounded, stage, table
-from tissuegrid.functions import scales
+from tissuegrid.functions import scales, shapes
 from tissuegrid.operators import analysis, diffusion, graph, images, labels, matrix, simulate, spatial
 from tissuegrid.plans import cells as cell_plans
 from tissuegrid.plans import parts, profiles
@@ -113,7 +113,40 @@ def spots_per_label(spark, folder):
     return placed.groupBy("sample_id", "clusters").agg(F.count_distinct("spot").alias("spots"), F.count("*").alias("cells"))
 
 
+def mask_at_least(spark, folder):
+    """Pixels of the cells whose first component is 0 or more, in one colour."""
+    return images.at_least(profiles.paint_mask(spark, folder), 0.0)
+
+
+def sampled_molecules(spark, folder):
+    """Pixels painted for each cell and component, as many as the level asks for."""
+    pixels = profiles._pixels(spark, folder)
+    values = stage(parts.features(spark, folder)).select("sample_id", F.col("cell").alias("label"), *parts.GENES).unpivot(["sample_id", "label"], parts.GENES, "gene", "value")
+    return images.sampled_painting(pixels, values, ["sample_id"], seed=3).groupBy("sample_id", "gene", "label").agg(F.count("*").alias("pixels"))
+
+
+def masked_entries(spark, folder):
+    """Summed quantities without the parts of small size."""
+    counts = parts.counts(spark, folder)
+    small = table(spark, folder, "part").select(F.col("p_partkey").alias("gene"), (F.col("p_size") <= 5).alias("small"))
+    return matrix.masked(counts.join(small, "gene", "left"), F.col("small")).select("cell", "gene", "value")
+
+
+def stored_entries(spark, folder):
+    """Components as entries."""
+    return matrix.stored(parts.features(spark, folder, *parts.GENES), "cell", parts.GENES)
+
+
+def roi_first_polygon(spark, folder):
+    """The first of two rectangles drawn for each event type, as 100 points."""
+    box = table(spark, folder, "events").groupBy("event_type").agg(F.min("value").alias("x0"), F.max("value").alias("x1"), F.min("user_id").cast("double").alias("y0"), F.max("user_id").cast("double").alias("y1"))
+    shape = lambda d: F.struct(F.lit("rect").alias("type"), *((F.col(c) + d).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    drawn = box.select("event_type", F.to_json(F.struct(F.array(shape(0), shape(50)).alias("shapes"))).alias("json"))
+    return _r(shapes.first_polygon(drawn, "json", ["event_type"]), "x", "y", places=3)
+
+
 _NAMES = (
+    mask_at_least, sampled_molecules, masked_entries, stored_entries, roi_first_polygon,
     dge_rank_sum, dge_welch_overestimated, annotate_clusters, annotate_by_expression, marker_levels, pixel_sizes, list_set_ops, gene_symbols, transition_outward, density_smooth,
     integrated_components, likely_separation, voronoi_raster, image_features, minmax_expression, spots_per_label,
 )
@@ -122,6 +155,19 @@ QUERIES = {f.__name__: f for f in _NAMES}
 _REFERENCE = "['matrix', 'record', 'replica', 'commit', 'token']"
 _W = profiles._WELCH
 SQL = {
+    "mask_at_least": sql('SELECT p.sample_id, p."row", p.col, 1.0::DOUBLE AS value FROM pixels p JOIN features f ON f.cell = p.label AND f.sample_id = p.sample_id WHERE expr_pc1 >= 0', **{k: profiles._PIXELS[k] for k in ("pixels_all", "pixels")}),
+    "sampled_molecules": sql(
+        "SELECT sample_id, gene, label, n AS pixels FROM (SELECT levels.sample_id, gene, cell AS label, CAST(floor(size * least(share * 2.0::DOUBLE, 1)) AS BIGINT) AS n FROM levels JOIN sizes ON label = cell AND sizes.sample_id = levels.sample_id) WHERE n > 0",
+        **{k: profiles._PIXELS[k] for k in ("pixels_all", "pixels")},
+        sizes="SELECT sample_id, label, count(*) AS size FROM pixels WHERE label > 0 GROUP BY 1, 2",
+        levels="SELECT features.sample_id, cell, gene, CASE WHEN max(value) OVER w > min(value) OVER w THEN least((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w), 1) WHEN max(value) OVER w = 0 THEN 0 ELSE 1 END AS share FROM genes JOIN features USING (cell) WINDOW w AS (PARTITION BY features.sample_id, gene)",
+    ),
+    "masked_entries": sql("SELECT cell, gene, value FROM counts LEFT JOIN part ON p_partkey = gene WHERE value <> 0 AND NOT coalesce(p_size <= 5, false)"),
+    "stored_entries": sql("SELECT cell, gene, value FROM genes WHERE value <> 0"),
+    "roi_first_polygon": """WITH box AS (SELECT event_type, min(value) AS x0, max(value) AS x1, min(user_id)::DOUBLE AS y0, max(user_id)::DOUBLE AS y1 FROM events GROUP BY 1),
+placed AS (SELECT event_type, x0, x1, y0, y1, x1 - x0 AS w, y1 - y0 AS h, CAST(k AS INTEGER) AS k, 2 * (x1 - x0 + y1 - y0) * k / 99 AS s FROM box, (SELECT unnest(range(100)) AS k))
+SELECT event_type, k, round(CASE WHEN s < w THEN x0 + s WHEN s < w + h THEN x1 WHEN s < 2 * w + h THEN x1 - (s - w - h) ELSE x0 END, 3) + 0.0 AS x,
+round(CASE WHEN s < w THEN y0 WHEN s < w + h THEN y0 + s - w WHEN s < 2 * w + h THEN y1 ELSE greatest(y1 - (s - 2 * w - h), y0) END, 3) + 0.0 AS y FROM placed""",
     "dge_rank_sum": sql(
         """SELECT gene, round((w - na * (na + nb + 1) / 2.0) / sqrt(CASE WHEN v > 0 THEN v END), 5) + 0.0 AS z FROM (SELECT gene, w, na, nb, na * nb / 12.0::DOUBLE * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1))) AS v FROM summed, na)""",
         regions=_W["regions"], groups=_W["groups"], na=_W["na"],
@@ -163,5 +209,5 @@ FROM pixels p JOIN centres c ON p.sample_id = c.sample_id AND c.x BETWEEN p.col
 }
 
 #: What queries need of a cell, where it isn't everything.
-_NEEDS: dict[str, tuple[str, ...]] = {"annotate_by_expression": (*parts.GENES,), "annotate_clusters": (*parts.PLACE,), "density_smooth": (*parts.PLACE, *parts.GENES,), "likely_separation": (*parts.PLACE,), "marker_levels": (*parts.GENES,), "minmax_expression": (*parts.GENES,), "spots_per_label": (*parts.PLACE,), "transition_outward": (*parts.PLACE, *parts.MORPH,)}
+_NEEDS: dict[str, tuple[str, ...]] = {"annotate_by_expression": (*parts.GENES,), "annotate_clusters": (*parts.PLACE,), "density_smooth": (*parts.PLACE, *parts.GENES,), "likely_separation": (*parts.PLACE,), "marker_levels": (*parts.GENES,), "minmax_expression": (*parts.GENES,), "spots_per_label": (*parts.PLACE,), "stored_entries": (*parts.GENES,), "transition_outward": (*parts.PLACE, *parts.MORPH,)}
 SQL = parts.needing(SQL, {k: v for k, v in _NEEDS.items() if k in SQL})

@@ -32,6 +32,11 @@ def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("gene")).filter("gene <> ''")
 
 
+def read_cell_list(spark: SparkSession, path: str) -> DataFrame:
+    """(cell) of a file without header: what stands before the first tab of each line; lines with nothing there don't count, repeated cells stay."""
+    return spark.read.text(path).select(F.split("value", "\t")[0].alias("cell")).filter("cell <> ''")
+
+
 def read_nuclei(spark: SparkSession, path: str) -> DataFrame:
     """(label, x, y) of a table of segmented objects."""
     rows = spark.read.csv(path, header=True)
