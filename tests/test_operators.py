@@ -1,4 +1,6 @@
 import math
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from tissuegrid.common import ordinals, quantiles
 from tissuegrid.functions import shapes
 from tissuegrid.functions.special import incomplete_beta, log_tail, smoothing_weights, student_two_sided
 from tissuegrid.operators import analysis, cna, images, labels, matrix, simulate, spatial
+from tissuegrid.operators.diffusion import uniform
 
 
 def test_heterogeneity_and_entropy(spark):
@@ -149,6 +152,42 @@ def test_simulated_numbers(spark):
     assert {r.label for r in changed} == {"a", "b"} and min(r["count"] for r in changed) == pytest.approx(1000, abs=120)
 
 
+def _inverted(mean, u):
+    n, p = 0, math.exp(-mean)
+    c = p
+    while u > c and n < 400:
+        n += 1
+        p *= mean / n
+        c += p
+    return n
+
+
+def test_simulated_expression_by_hand(spark):
+    cells = spark.createDataFrame([(k, f"l{k % 4}" if k % 9 else None) for k in range(300)], "cell long, cluster string")
+    genes = spark.createDataFrame([*((f"g{k}", f"l{k % 5}") for k in range(12)), ("none", None), ("g0", "l3")], "gene string, cluster string")
+    for low, high in (((1, 3), (10, 30)), ((0.5, 25), (60, 200))):
+        got = simulate.expression(cells, genes, 5, low, high).join(cells, "cell").withColumns({"u": uniform(6, "cell", "gene"), "v": uniform(5, "gene", "cluster")}).collect()
+        owners = [tuple(r) for r in genes.collect()]
+        kinds = Counter((r.cell, r.gene, r.rate >= high[0]) for r in got)
+        assert len(got) == 300 * 14 and kinds == Counter((c.cell, g, (g, c.cluster) == (g, k)) for c in cells.collect() for g, k in owners)
+        for r in got:
+            a, b = high if r.rate >= high[0] else low
+            assert r.rate == pytest.approx(a + (b - a) * r.v, rel=1e-12) and r.value == _inverted(r.rate, r.u)
+        assert max(r.value for r in got) > high[1] / 2
+    assert {(r.rate, r.value) for r in simulate.expression(cells, genes, 5, (0, 0), (0, 0)).collect()} == {(0.0, 0)}
+
+
+def test_many_counts_are_drawn_by_several_tasks_in_time(spark):
+    cells = spark.range(0, 6000, 1, 1).select(F.col("id").alias("cell"), F.concat(F.lit("l"), (F.col("id") % 700).cast("string")).alias("cluster"))
+    genes = spark.range(800).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("gene"), F.concat(F.lit("l"), (F.col("id") % 700).cast("string")).alias("cluster")).coalesce(1)
+    began = time.monotonic()
+    got = simulate.expression(cells, genes, 1)
+    assert got.select("cell").rdd.getNumPartitions() > 2
+    sums = got.agg(F.count("*").alias("n"), F.sum("value").alias("v"), F.sum("rate").alias("r")).first()
+    assert sums.n == 4_800_000 and sums.v / sums.r == pytest.approx(1, abs=0.002)
+    assert time.monotonic() - began < 40  # where every step of every count is interpreted, it takes minutes
+
+
 def test_perturbed_keeps_degrees(spark):
     edges = spark.createDataFrame([(i, (i + d) % 200) for i in range(200) for d in (1, 2, 3)], "i long, j long")
     wider = spark.createDataFrame([(i, (i + d) % 200) for i in range(200) for d in range(1, 10)], "i long, j long")

@@ -12,6 +12,8 @@ from tissuegrid.operators.diffusion import uniform
 from tissuegrid.operators.labels import codes
 from tissuegrid.operators.nearest import nearest
 
+COUNTS_A_TASK = 2_000_000
+
 
 def grid_spots(cells: DataFrame, separation: float, block: list[str]) -> DataFrame:
     """(cell, spot): squares of a grid that starts half a separation before the first cell of the block, named SPOT_i_j."""
@@ -38,12 +40,50 @@ def poisson(mean: Column, u: Column, most: int = 200) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, lambda s, k: step(s, k.cast("double")), lambda s: s["n"])
 
 
+def reach(mean: float) -> int:
+    """The count beyond which Poisson numbers of a mean up to this have no chance that a double holds."""
+    p, k = math.exp(-mean), 0
+    while k < mean or p > 2.0**-56:
+        k += 1
+        p *= mean / k
+    return k
+
+
+def with_poisson(df: DataFrame, mean: str, u: Column, most: int, name: str) -> DataFrame:
+    """`df` with Poisson numbers by inversion. Each step is a column of its own, which the planner compiles: for many rows of small means, `most` up to some 40."""
+    kept, n = df.columns, F
+    df = df.withColumns({"_u": u, "_p": F.exp(-F.col(mean)), "_c": F.lit(0.0)})
+    for k in range(most):
+        df = df.withColumns({f"_c{k}": F.col(f"_c{k - 1}" if k else "_c") + F.col("_p"), "_p": F.col("_p") * (F.col(mean) * (1.0 / (k + 1)))})
+        n = n.when(F.col("_u") <= F.col(f"_c{k}"), k)
+    return df.select(*kept, n.otherwise(most).alias(name))
+
+
+def cumulative(mean: Column, most: int) -> Column:
+    """Cumulative Poisson probabilities of the counts from 0 to `most`."""
+    step = lambda s, k: F.struct((s["p"] * mean / k).alias("p"), F.array_append(s["c"], F.element_at(s["c"], -1) + s["p"] * mean / k).alias("c"))
+    start = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("c"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, lambda s, k: step(s, k.cast("double")), lambda s: s["c"])
+
+
 def expression(cells: DataFrame, genes: DataFrame, seed: int, low: tuple[float, float] = (1, 3), high: tuple[float, float] = (10, 30)) -> DataFrame:
-    """(cell, gene, rate, value): Poisson counts whose rate depends on gene and cluster, high in the gene's own. cells: (cell, cluster); genes: (gene, cluster)."""
-    both = cells.crossJoin(F.broadcast(genes.select("gene", F.col("cluster").alias("_own"))))
-    u = uniform(seed, "gene", "cluster")
-    rate = F.when(F.equal_null("cluster", "_own"), high[0] + (high[1] - high[0]) * u).otherwise(low[0] + (low[1] - low[0]) * u)
-    return both.withColumn("rate", rate).select("cell", "gene", "rate", poisson(F.col("rate"), uniform(seed + 1, "cell", "gene"), 120).alias("value"))
+    """(cell, gene, rate, value): Poisson counts whose rate depends on gene and cluster, high in the gene's own. cells: (cell, cluster); genes: (gene, cluster).
+
+    Cells are spread by the number of counts to draw, not by their own size. A gene's high rate is one number, whose probabilities are laid out once and searched by halving.
+    """
+    genes = stage(genes.select("gene", F.col("cluster").alias("_own")))
+    placed = cells.select("cell", "cluster").repartition(max(1, math.ceil(cells.count() * genes.count() / COUNTS_A_TASK)), "cell")
+    rate = lambda bounds, cluster: bounds[0] + (bounds[1] - bounds[0]) * uniform(seed, "gene", cluster)
+    u, own = uniform(seed + 1, "cell", "gene"), F.equal_null("cluster", "_own")
+
+    others = placed.crossJoin(F.broadcast(genes)).filter(~own).select("cell", "gene", rate(low, "cluster").alias("rate"))
+    most = reach(max(low))
+    others = with_poisson(others, "rate", u, most, "value") if most <= 40 else others.withColumn("value", poisson(F.col("rate"), u, most))
+
+    halves = [1 << k for k in reversed(range(reach(max(high)).bit_length()))]
+    tabled = stage(genes.withColumn("rate", rate(high, "_own")).withColumn("_c", cumulative(F.col("rate"), 2 * halves[0] - 1)))
+    found = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), lambda n, h: n + F.when(F.get("_c", n + h - 1) < F.col("_u"), h).otherwise(0))
+    return others.unionByName(placed.join(F.broadcast(tabled), own).withColumn("_u", u).select("cell", "gene", "rate", found.alias("value")))
 
 
 def dropout_chance(mean: Column, midpoint: float, shape: float) -> Column:
